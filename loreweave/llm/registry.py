@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import host_reputation, mixing, packing, rendezvous, simple8b, spotsigs
+from . import graph_search, host_reputation, jaccard_join, mixing, packing, rendezvous, simple8b, spotsigs, substrings, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_spotsigs": spotsigs.op1_spotsigs,
+        "op2_super_kmers": substrings.op2_super_kmers,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op5_graph_search": graph_search.op5_graph_search,
         "op6_rendezvous": rendezvous.op6_rendezvous,
         "op7_mixing": mixing.op7_mixing,
         "op8_simple8b": simple8b.op8_simple8b,
         "op9_host_reputation": host_reputation.op9_host_reputation,
+        "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
 
 

@@ -113,9 +113,9 @@ def op1_spotsigs(spark, sf_dir: str) -> DataFrame:
     # what each document must send to the one before it in descending order
     before = ranked.select(F.col("doc_id").alias("to_id"), F.floor(F.col("n_chars") / 3).cast("int").alias("wanted"), F.expr(f"(rank + 1) % {max(total, 1)}").alias("rank"))
     sends = ranked.select(F.col("doc_id").alias("from_id"), "rank").join(before, "rank").drop("rank")
-    parts = docs.join(sends, F.col("doc_id") == F.col("from_id"))
+    parts = docs.join(sends, F.col("doc_id").eqNullSafe(F.col("from_id")))
     messages = parts.select("to_id", F.substr("text", F.lit(1), F.col("wanted")).alias("start"), fingerprint(signatures_of(F.col("text"))).alias("next_fp"))
-    own = docs.join(messages, F.col("doc_id") == F.col("to_id")).withColumn("n_chars", F.length("text"))
+    own = docs.join(messages, F.col("doc_id").eqNullSafe(F.col("to_id"))).withColumn("n_chars", F.length("text"))
     edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")), F.col("start"))
     out = own.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), signatures_of(F.col("text")).alias("sigs"), signatures_of(edited).alias("edited"), signatures_in(F.col("next_fp")).alias("next"))
     return out.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited")).alias("near_edited"), likeness(F.col("sigs"), F.col("next")).alias("near_next"))

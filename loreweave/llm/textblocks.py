@@ -1,6 +1,6 @@
 """Words of Arrow text columns as 64-bit hashes, computed on the UTF-8 bytes without Python strings.
 
-A word is a run of bytes outside 0x20 and 0x09-0x0D, which is `[^\\x20\\x09-\\x0D]+` on the text.
+Unless other breaks are given, a word is a run of bytes outside 0x20 and 0x09-0x0D, which is `[^\\x20\\x09-\\x0D]+` on the text.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import pyarrow as pa
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Breaks of plain word features: every ASCII byte that is neither a letter nor a digit.
+PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 #: Bytes handled at once; a longer text is handled alone.
@@ -52,7 +54,7 @@ class Words:
     hashes: np.ndarray
 
 
-def word_blocks(column: pa.Array, lower: bool = False) -> Iterator[Words]:
+def word_blocks(column: pa.Array, lower: bool = False, blank: np.ndarray = BLANK) -> Iterator[Words]:
     """Blocks of whole texts of a string column; a null text has no words."""
     if column.null_count:
         column = column.fill_null("")
@@ -67,14 +69,14 @@ def word_blocks(column: pa.Array, lower: bool = False) -> Iterator[Words]:
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK, "right")) - 1)
         last = min(last, n)
-        yield _words(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], first, last, lower)
+        yield _words(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], first, last, lower, blank)
         first = last
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, first: int, last: int, lower: bool) -> Words:
+def _words(data: np.ndarray, offsets: np.ndarray, first: int, last: int, lower: bool, blank: np.ndarray) -> Words:
     if lower:
         data = ASCII_LOWER[data]
-    solid = ~BLANK[data]
+    solid = ~blank[data]
     begins = solid.copy()
     if len(data):
         begins[1:] &= ~solid[:-1]
