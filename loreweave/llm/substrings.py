@@ -38,22 +38,36 @@ def super_kmers(words: np.ndarray, window: int, gram: int, seed: int) -> tuple[n
     return least[first], first, np.diff(np.append(first, n))
 
 
-def _doc_runs(column: pa.Array, window: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """super_kmers of each text, computed over blocks of texts at once."""
+def _again_inside(grams: np.ndarray, least: np.ndarray, first: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    """Whether a super-k-mer holds its minimiser more than once, so that it may repeat itself.
+
+    Of all places of the minimiser the first lies in the first window and the last in the last.
+    """
+    reach, last = np.arange(width), first + n - 1
+    left = first + (grams[first[:, None] + reach] == least[:, None]).argmax(1)
+    right = last + width - 1 - (grams[last[:, None] + width - 1 - reach] == least[:, None]).argmax(1)
+    return left != right
+
+
+def _doc_runs(column: pa.Array, window: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """super_kmers of each text and whether each may repeat itself, computed over blocks of texts at once."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     for block in word_blocks(column):
         n = len(block.hashes)
         if n >= window:
-            least = windowed_min(gram_hashes(block.hashes, gram, 0), window - gram + 1)
+            grams = gram_hashes(block.hashes, gram, 0)
+            least = windowed_min(grams, window - gram + 1)
             change = np.concatenate([[True], least[1:] != least[:-1]])
         for k in range(block.last - block.first):
             a, z = int(block.first_word[k]), int(block.first_word[k + 1])
             if z - a < window:
-                yield np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                yield none
                 continue
             mine = change[a : z - window + 1].copy()
             mine[0] = True
             first = np.flatnonzero(mine)
-            yield least[a + first], first, np.diff(np.append(first, z - a - window + 1))
+            sizes = np.diff(np.append(first, z - a - window + 1))
+            yield least[a + first], first, sizes, _again_inside(grams, least[a + first], a + first, sizes, window - gram + 1)
 
 
 def repeated_windows(strings: list[bytes], times: np.ndarray, window: int) -> list[tuple[int, list[int], list[int]]]:
@@ -106,11 +120,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = MINIMISER)
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = list(_doc_runs(b.column(2), window, gram))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m.view(np.int64) for m, _, _ in found], pa.list_(pa.int64())), pa.array([s.astype(np.int32) for _, s, _ in found], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, _, c in found], pa.list_(pa.int32()))], names=["doc_id", "_hash", "minis", "starts", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0].view(np.int64) for f in found], pa.list_(pa.int64())), pa.array([f[1].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[2].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[3] for f in found], pa.list_(pa.bool_()))], names=["doc_id", "_hash", "minis", "starts", "counts", "selves"])
 
-    table = ws.write(plain.mapInArrow(runs, "doc_id long, _hash long, minis array<long>, starts array<int>, counts array<int>"), "runs")
-    spans = table.select("doc_id", "_hash", F.explode(F.arrays_zip("minis", "starts", "counts")).alias("s")).select("doc_id", "_hash", F.col("s.minis").alias("mini"), F.col("s.starts").alias("start"), F.col("s.counts").alias("n"))
-    counts = ws.write(spans.groupBy("mini").count().filter("count > 1").select("mini", (F.col("count") >= CROWDED).alias("crowded")), "counts")
+    table = ws.write(plain.mapInArrow(runs, "doc_id long, _hash long, minis array<long>, starts array<int>, counts array<int>, selves array<boolean>"), "runs")
+    spans = table.select("doc_id", "_hash", F.explode(F.arrays_zip("minis", "starts", "counts", "selves")).alias("s")).select("doc_id", "_hash", F.col("s.minis").alias("mini"), F.col("s.starts").alias("start"), F.col("s.counts").alias("n"), F.col("s.selves").alias("self"))
+    counts = ws.write(spans.groupBy("mini").agg(F.count("*").alias("count"), F.max("self").alias("self")).filter("count > 1 or self").select("mini", (F.col("count") >= CROWDED).alias("crowded")), "counts")
     ws.release()
     chosen = spans.join(counts, "mini").groupBy("doc_id", "_hash").agg(F.sort_array(F.collect_set(F.struct("start", "n", "mini", "crowded"))).alias("spans"))
     chosen = ws.write(chosen, "chosen")
