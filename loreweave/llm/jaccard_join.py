@@ -31,7 +31,7 @@ FRAGMENTS = 4
 #: A shingle is common if a batch of texts has it in so many different sets ...
 LOCAL_LEAST = 4
 #: ... and all of them together in one of so many sets (at least 16); so at most this times the mean set size are common.
-COMMON_SHARE = 1000
+COMMON_SHARE = 5000
 
 
 def shingle_sets(column: pa.Array, n_words: int = SHINGLE_WORDS) -> Iterator[tuple[int, np.ndarray]]:
@@ -106,28 +106,34 @@ def link_documents(docs: DataFrame, n_words: int = SHINGLE_WORDS, percent: int =
 
     sets = ws.write(docs.mapInArrow(prefixes, "doc_id long, n long, rare long, one long, two long, prefix array<long>"), "sets")
     classes = sets.filter("n > 0 and doc_id is not null").groupBy("one", "two", "n").agg(F.min("doc_id").alias("id"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
-    classes = ws.write(classes, "classes")
+    wide = ws.write(classes, "classes-wide")
+    classes = ws.write(wide.select("one", "two", "n", "id"), "classes")
+    sets = ws.write(sets.drop("prefix", "rare"), "members")
+    ws.drop("sets")
     ws.release()
 
     # prefix shingles that at least two classes hold; 31 bits of the shingle are enough to drop the rest
-    spots = classes.select("id", F.col("n").cast("int").alias("n"), F.col("rare").cast("int").alias("rare"), F.posexplode("prefix").alias("pos", "shingle")).withColumn("low", F.col("shingle").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    spots = wide.select("id", F.col("n").cast("int").alias("n"), F.col("rare").cast("int").alias("rare"), F.posexplode("prefix").alias("pos", "shingle")).withColumn("low", F.col("shingle").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     shared = spots.groupBy("low").count().filter("count > 1").select("low")
     shared = ws.write(shared, "shared")
     hits = ws.write(spots.join(shared, "low", "left_semi").drop("low"), "hits")
+    ws.drop("classes-wide", "shared")
     ws.release()
 
     fits = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
     need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent) - 1e-9)
     reach = 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("n2") - 1 - F.col("pos2")) >= need
+    # shingles that a pair shares outside both prefixes all lie behind the prefix of one and the same set
+    behind = F.greatest(F.ceil(F.col("n") * percent / 100 - 1e-9), F.ceil(F.col("n2") * percent / 100 - 1e-9)) - 1
+    in_prefix = F.greatest(need - behind, F.lit(1))
 
-    # one leader for each class
+    # one leader for each class: the head of many of its shingles; a choice that costs no link
     heads = hits.groupBy("shingle").agg(F.min(F.struct("rare", "id", "n", "pos")).alias("h"), F.count("*").alias("c")).filter("c > 1")
     heads = heads.select("shingle", F.col("h.rare").alias("rare2"), F.col("h.id").alias("id2"), F.col("h.n").alias("n2"), F.col("h.pos").alias("pos2"))
-    led = hits.join(heads, "shingle").filter((F.col("id") != F.col("id2")) & fits & reach)
-    led = ws.write(led.groupBy("id").agg(F.min(F.struct("rare2", "id2")).alias("h")).select("id", F.col("h.id2").alias("leader")), "led")
+    led = hits.join(heads, "shingle").filter((F.col("id") != F.col("id2")) & fits)
+    led = led.groupBy("id", "id2").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("n2").alias("n2"), F.first("rare2").alias("rare2")).filter(F.col("c") * 2 >= in_prefix)
+    led = ws.write(led.groupBy("id").agg(F.max(F.struct("c", (-F.col("rare2")).alias("r"), (-F.col("id2")).alias("l"))).alias("h"), F.first("n").alias("n")).select("id", "n", (-F.col("h.l")).alias("leader")), "led")
 
-    # whole sets of all classes that share a prefix shingle, cut into segments
-    wanted = hits.groupBy("id").agg(F.first("n").alias("n")).join(led, "id", "left").join(led.select(F.col("leader").alias("id"), F.lit(True).alias("leads")).distinct(), "id", "left")
     bound = [(f * (1 << 64)) // fragments for f in range(1, fragments)]
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +148,12 @@ def link_documents(docs: DataFrame, n_words: int = SHINGLE_WORDS, percent: int =
                 one = b.slice(k, 1)
                 yield pa.RecordBatch.from_arrays([pa.array([v] * len(parts), t) for v, t in zip((c[0].as_py() for c in one.columns[:4]), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))] + [pa.array(range(len(parts)), pa.int32()), pa.array([p.view(np.int64) for p in parts], pa.list_(pa.int64()))], names=["id", "n", "leader", "leads", "fragment", "shingles"])
 
-    texts = docs.join(wanted, F.col("doc_id") == F.col("id")).select("id", "n", "leader", "leads", "text")
-    cut = ws.write(texts.mapInArrow(segments, "id long, n long, leader long, leads boolean, fragment int, shingles array<long>"), "segments")
-    ws.release()
+    def cut_sets(wanted: DataFrame, name: str) -> DataFrame:
+        """Segments of the sets of wanted(id, n, leader, leads), from the whole texts."""
+        texts = docs.join(wanted, F.col("doc_id") == F.col("id")).select("id", "n", "leader", "leads", "text")
+        out = ws.write(texts.mapInArrow(segments, "id long, n long, leader long, leads boolean, fragment int, shingles array<long>"), name)
+        ws.release()
+        return out
 
     def linked(parts: DataFrame) -> DataFrame:
         """Pairs (a, b, n, n2, part) whose summed partial overlaps reach the threshold."""
@@ -152,9 +161,13 @@ def link_documents(docs: DataFrame, n_words: int = SHINGLE_WORDS, percent: int =
         return sums.filter(F.col("both") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent).select("a", "b")
 
     overlap = F.size(F.array_intersect("shingles", "shingles2")).alias("part")
+    chiefs = led.select(F.col("leader").alias("id"), F.lit(True).alias("leads")).distinct()
+    sizes = led.join(chiefs, "id", "full").join(classes.select("id", F.col("n").alias("n_all")), "id")
+    cut = cut_sets(sizes.select("id", F.col("n_all").alias("n"), "leader", "leads"), "segments-1")
     heads = cut.filter("leads").select(F.col("id").alias("b"), F.col("n").alias("n2"), "fragment", F.col("shingles").alias("shingles2"))
     members = cut.filter("leader is not null").select(F.col("id").alias("a"), F.col("leader").alias("b"), "n", "fragment", "shingles")
     first = ws.write(linked(members.join(heads, ["b", "fragment"]).select("a", "b", "n", "n2", overlap)), "links-1")
+    ws.drop("segments-1")
     joined = ws.write(components(first, ws, "stars"), "joined")
     ws.release()
 
@@ -163,11 +176,16 @@ def link_documents(docs: DataFrame, n_words: int = SHINGLE_WORDS, percent: int =
     open_ = known.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("shingle")
     known = ws.write(known.join(open_, "shingle", "left_semi"), "open")
     other = known.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "component")))
-    pairs = known.join(other, "shingle").filter((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & fits & reach)
-    pairs = ws.write(pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct(), "pairs")
-    left = pairs.join(cut.select(F.col("id").alias("a"), "n", "fragment", "shingles"), "a")
+    pairs = known.join(other, "shingle").filter((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & fits)
+    pairs = pairs.groupBy("id", "id2").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("n2").alias("n2"), F.max(reach).alias("near")).filter(F.col("near") & (F.col("c") >= in_prefix))
+    pairs = ws.write(pairs.select(F.col("id").alias("a"), F.col("id2").alias("b"), "n", "n2"), "pairs")
+    ends = pairs.select(F.col("a").alias("id"), "n").unionAll(pairs.select(F.col("b").alias("id"), F.col("n2").alias("n"))).distinct()
+    cut = cut_sets(ends.select("id", F.col("n").cast("long").alias("n"), F.lit(None).cast("long").alias("leader"), F.lit(None).cast("boolean").alias("leads")), "segments-2")
+    left = pairs.select("a", "b").join(cut.select(F.col("id").alias("a"), "n", "fragment", "shingles"), "a")
     right = cut.select(F.col("id").alias("b"), F.col("n").alias("n2"), "fragment", F.col("shingles").alias("shingles2"))
     second = ws.write(linked(left.join(right, ["b", "fragment"]).select("a", "b", "n", "n2", overlap)), "links-2")
+    ws.drop("segments-2", "open", "hits")
+    ws.release()
     final = components(first.unionAll(second), ws, "components")
     of_class = classes.select("one", "two", "n", "id").join(final, "id", "left").select("one", "two", "n", F.coalesce("component", "id").alias("component_id"))
     out = sets.select("doc_id", "one", "two", "n").join(of_class, ["one", "two", "n"], "left")
