@@ -71,6 +71,23 @@ class Workspace:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def numbered(df: DataFrame, order: list[str], ws: Workspace, name: str) -> DataFrame:
+    """Adds `rank` (long): the place of each row in `order` over the whole table, from 0; built-in functions only.
+
+    A range partition numbers its own rows, and adds the rows of the partitions before it.
+    """
+    from pyspark.sql import Window
+
+    t = ws.write(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), name)
+    t = t.withColumn("_part", F.shiftright("_id", 33))
+    sizes = ws.write(t.groupBy("_part").count(), f"{name}-sizes")
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("_offset"))
+    if sizes.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    return t.join(offsets, "_part").select(*df.columns, (F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_offset")).alias("rank"))
+
+
 def with_ranks(df: DataFrame, group: str, order: list[str], value: str, ws: Workspace, name: str) -> DataFrame:
     """Adds `before` (long): the sum of `value` over the group's rows that come earlier in `order`.
 

@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Workspace, read_table, with_ranks
+from .common import Workspace, numbered, read_table
 
 #: Common words of the corpus' four languages (fixed values): articles, prepositions, pronouns, auxiliaries.
 ANCHORS = (
@@ -107,8 +107,8 @@ def op1_spotsigs(spark, sf_dir: str) -> DataFrame:
     ws = Workspace(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     slim = ws.write(docs.select("doc_id", F.length("text").cast("long").alias("n_chars")), "slim")
-    ordered = slim.select((-F.col("doc_id")).alias("order"), "n_chars", F.lit(1).cast("long").alias("one"), F.lit(0).alias("all"))
-    ranked = ws.write(with_ranks(ordered, "all", ["order"], "one", ws, "ranks").select((-F.col("order")).alias("doc_id"), "n_chars", F.col("before").alias("rank")), "ranked")
+    ordered = numbered(slim.select((-F.col("doc_id")).alias("order"), "n_chars"), ["order"], ws, "ordered")
+    ranked = ws.write(ordered.select((-F.col("order")).alias("doc_id"), "n_chars", "rank"), "ranked")
     total = ranked.count()
     # what each document must send to the one before it in descending order
     before = ranked.select(F.col("doc_id").alias("to_id"), F.floor(F.col("n_chars") / 3).cast("int").alias("wanted"), F.expr(f"(rank + 1) % {max(total, 1)}").alias("rank"))
