@@ -114,7 +114,9 @@ def mix_spans(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
                 slot = permute(place, np.full(len(j), row.of), np.full(len(j), mix64(np.array([row.shard + (seed << 40)], np.uint64))[0]))
                 yield pd.DataFrame({"shard": row.shard, "slot": slot, "src": row.src, "block": permute(j % size, size, key)})
 
-    laid = runs.mapInPandas(lay, "shard long, slot long, src int, block long")
+    # a run of slots is a row: dealt over all tasks before they are laid out, as its size is not a row's
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = runs.repartition(parallel, "shard", "src").mapInPandas(lay, "shard long, slot long, src int, block long")
     # null-safe numbers for the sources; their table is as small as the driver's list of them
     numbers = spark.createDataFrame([(r["source"], i) for i, r in enumerate(found)], "_s string, src int")
     streams = with_ranks(sized.filter("size > 0"), "source", ["doc_id"], "size", ws, "streams")
@@ -124,7 +126,8 @@ def mix_spans(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
         .withColumn("first_word", F.greatest(F.lit(0), F.col("block") * block_words - F.col("before")))
         .withColumn("n_words", F.least(F.col("size"), (F.col("block") + 1) * block_words - F.col("before")) - F.col("first_word"))
     )
-    spans = laid.join(parts.select("src", "block", "source", "doc_id", "first_word", "n_words"), ["src", "block"])
+    # both sides grow with the input, whatever size the planner expects of them
+    spans = laid.hint("merge").join(parts.select("src", "block", "source", "doc_id", "first_word", "n_words"), ["src", "block"])
     return spans.select("shard", "slot", "source", "block", "doc_id", "first_word", "n_words"), sources
 
 
