@@ -117,7 +117,7 @@ def link_documents(docs: DataFrame, n_words: int = SHINGLE_WORDS, percent: int =
     shared = spots.groupBy("low").count().filter("count > 1").select("low")
     shared = ws.write(shared, "shared")
     hits = ws.write(spots.join(shared, "low", "left_semi").drop("low"), "hits")
-    ws.drop("classes-wide", "shared")
+    ws.drop("shared")
     ws.release()
 
     fits = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
@@ -174,17 +174,26 @@ def link_documents(docs: DataFrame, n_words: int = SHINGLE_WORDS, percent: int =
     # pairs that share a prefix shingle and are not yet connected
     known = hits.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("rare")
     open_ = known.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("shingle")
-    known = ws.write(known.join(open_, "shingle", "left_semi"), "open")
-    other = known.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "component")))
-    pairs = known.join(other, "shingle").filter((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & fits)
-    pairs = pairs.groupBy("id", "id2").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("n2").alias("n2"), F.max(reach).alias("near")).filter(F.col("near") & (F.col("c") >= in_prefix))
+    # shared: prefix shingles that another class holds too; only these can be in both prefixes of a pair
+    shared = hits.groupBy("id").agg(F.count("*").alias("shared"))
+    known = ws.write(known.join(open_, "shingle", "left_semi").join(shared, "id"), "open")
+    other = known.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "component", "shared")))
+    # of the two prefixes one ends first in the order: its set can only share what lies behind it and those
+    possible = F.greatest(*(F.ceil(F.col(f"n{k}") * percent / 100 - 1e-9) - 1 + F.col(f"shared{k}") for k in ("", "2"))) >= need
+    # the first shingle that a pair shares lies within reach of the threshold in both sets
+    pairs = known.join(other, "shingle").filter((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & fits & reach & possible)
+    pairs = ws.write(pairs.select("id", "id2", "n", "n2").distinct(), "near")
+    # and enough of both prefixes is shared
+    pairs = pairs.join(wide.select("id", "prefix"), "id").join(wide.select(F.col("id").alias("id2"), F.col("prefix").alias("prefix2")), "id2").filter(F.size(F.array_intersect("prefix", "prefix2")) >= in_prefix)
     pairs = ws.write(pairs.select(F.col("id").alias("a"), F.col("id2").alias("b"), "n", "n2"), "pairs")
+    ws.drop("classes-wide", "near", "open", "hits")
+    ws.release()
     ends = pairs.select(F.col("a").alias("id"), "n").unionAll(pairs.select(F.col("b").alias("id"), F.col("n2").alias("n"))).distinct()
     cut = cut_sets(ends.select("id", F.col("n").cast("long").alias("n"), F.lit(None).cast("long").alias("leader"), F.lit(None).cast("boolean").alias("leads")), "segments-2")
     left = pairs.select("a", "b").join(cut.select(F.col("id").alias("a"), "n", "fragment", "shingles"), "a")
     right = cut.select(F.col("id").alias("b"), F.col("n").alias("n2"), "fragment", F.col("shingles").alias("shingles2"))
     second = ws.write(linked(left.join(right, ["b", "fragment"]).select("a", "b", "n", "n2", overlap)), "links-2")
-    ws.drop("segments-2", "open", "hits")
+    ws.drop("segments-2")
     ws.release()
     final = components(first.unionAll(second), ws, "components")
     of_class = classes.select("one", "two", "n", "id").join(final, "id", "left").select("one", "two", "n", F.coalesce("component", "id").alias("component_id"))
