@@ -167,9 +167,9 @@ def timestamp_parse(spark, d):
 
 
 @query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)
-SELECT vec_id, (i - 1)::INT AS pos, round(CASE WHEN n > 0 THEN v[i] / n ELSE v[i] END, 5) AS value FROM n, unnest(range(1, 65)) t(i)""")
+SELECT vec_id, (i - 1)::INT AS pos, round(CASE WHEN n > 0 THEN v[i] / n ELSE v[i] END, 5) + 0.0 AS value FROM n, unnest(range(1, 65)) t(i)""")
 def l2_normalise(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.posexplode(vc.l2_normalise(F.col("embedding"))).alias("pos", "value")).select("vec_id", "pos", F.round("value", 5).alias("value"))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(vc.l2_normalise(F.col("embedding"))).alias("pos", "value")).select("vec_id", "pos", (F.round("value", 5) + F.lit(0.0)).alias("value"))  # no negative zero
 
 
 @query("SELECT vec_id, embedding[1]::FLOAT AS first, len(embedding[1:16])::INT AS dimension FROM embeddings")
