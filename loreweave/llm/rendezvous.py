@@ -50,7 +50,8 @@ def rendezvous(hashed: Column, weights: list[float]) -> Column:
 
 def shard_records(df: DataFrame, key: str, weights: list[float]) -> DataFrame:
     """Adds shard to any rows; clashing columns named shard are replaced."""
-    return df.withColumn("shard", rendezvous(key_hash(F.col(key)), weights))
+    # hashed in a projection of its own: every shard's score refers to it
+    return df.withColumn("_hash", key_hash(F.col(key))).withColumn("shard", rendezvous(F.col("_hash"), weights)).drop("_hash")
 
 
 def op6_rendezvous(spark, sf_dir: str) -> DataFrame:
