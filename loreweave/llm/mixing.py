@@ -161,6 +161,11 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     most = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: F.greatest(a, s["times"]))
     copies = F.flatten(F.transform(F.sequence(F.lit(1).cast("long"), most), lambda k: F.filter("_spans", lambda s: s["times"] >= k)))
-    text = F.array_join(F.flatten(F.transform(copies, lambda s: F.slice("_words", (s["first_word"] + 1).cast("int"), s["n_words"].cast("int")))), " ")
-    out = docs.join(lists, F.col("doc_id") == F.col("_d")).withColumn("_words", words).withColumn("text", text)
+
+    def taken(w):
+        return F.array_join(F.flatten(F.transform(copies, lambda s: F.slice(w, (s["first_word"] + 1).cast("int"), s["n_words"].cast("int")))), " ")
+
+    # the words are bound once, as the element of a one-row array, and not split anew for each span
+    text = F.element_at(F.transform(F.array(words), taken), 1)
+    out = docs.join(lists, F.col("doc_id") == F.col("_d")).withColumn("text", text)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
