@@ -61,21 +61,32 @@ class IdEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null or empty text has none."""
-        cut = [_PIECES.findall(t) if t and not _UNUSUAL.search(t) else None for t in texts]
-        new: dict[str, bytes] = self._new({p for c in cut if c for p in c if p not in self.cache})
+        get, missing = self.cache.get, set()
+        cut: list[tuple[list[str], list[bytes | None]] | None] = []
+        for t in texts:
+            if not t or _UNUSUAL.search(t):
+                cut.append(None)
+                continue
+            pieces = _PIECES.findall(t)
+            ids = list(map(get, pieces))
+            if None in ids:
+                missing.update([p for p, x in zip(pieces, ids) if x is None])
+                cut.append((pieces, ids))
+            else:
+                cut.append(([], ids))
+        new = self._new(missing) if missing else {}
         out = []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
+        for text, found in zip(texts, cut):
+            if found is None:
                 out.append(self._whole([text])[0] if text else b"")
-                continue
-            try:
-                out.append(b"".join([self.cache[p] for p in pieces]))
-            except KeyError:
-                out.append(b"".join([self.cache.get(p) or new[p] for p in pieces]))
+            elif found[0]:
+                out.append(b"".join([new[p] if x is None else x for p, x in zip(*found)]))
+            else:
+                out.append(b"".join(found[1]))
         return out
 
 
-def in_slices(texts: list, size: int = 200):
+def in_slices(texts: list, size: int = 500):
     """Lists of at most so many texts, to bound what is held at once."""
     for at in range(0, len(texts), size):
         yield texts[at : at + size]
