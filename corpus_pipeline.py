@@ -41,7 +41,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("near copies", drop_near_copies), ("substrings", drop_repeated_passages), ("mixing", mix), ("packing", pack)]
-#: Learning, hashing and tokenizing have no SQL form; tests hold the stages against plain Python.
+#: Learning, hashing and tokenizing have no SQL form; tests hold the operators behind the stages against plain Python.
 ORACLE_SQL = None
 
 
