@@ -9,7 +9,9 @@ partial counts are summed per pair.
 Dense groups are not expanded into all their pairs: first every class is compared with one leader
 (of all proposed by its prefix, the one with the fewest uncommon shingles); then only pairs that
 share a prefix shingle and are not yet connected. So every link that could join two components is
-counted, and connectivity is exact.
+counted, and connectivity is exact. A pair is proposed where its prefixes first meet: a row knows the
+shingles just before it, and a pair that shares one of them was proposed there. Before whole sets
+move, a parity bitmap of a few bits a shingle bounds a pair's overlap from above.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import Workspace, read_table
 from .components import components
@@ -32,6 +34,8 @@ FRAGMENTS = 4
 LOCAL_LEAST = 4
 #: ... and all of them together in one of so many sets (at least 16); so at most this times the mean set size are common.
 COMMON_SHARE = 5000
+#: Prefix shingles before its own that a row knows; any number gives the same pairs.
+BEFORE = 4
 
 
 def shingle_sets(column: pa.Array, n_words: int = SHINGLE_WORDS) -> Iterator[tuple[int, np.ndarray]]:
@@ -46,6 +50,28 @@ def shingle_sets(column: pa.Array, n_words: int = SHINGLE_WORDS) -> Iterator[tup
                 yield block.first + k, gram_hashes(block.hashes[a:z], z - a, 1) if z > a else np.zeros(0, np.uint64)
 
 
+def parity_bits(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of at least 2 * len(s) slots (a power of two), in 64-bit words.
+
+    The slots in which two sets differ are at most as many as the shingles that only one of them holds.
+    """
+    slots = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _may_link(bits: str, bits2: str, percent: int) -> Column:
+    """Whether parity bitmaps leave sets of n and n2 shingles enough to share; the longer one is folded to the other's length."""
+
+    def fold(x: str, y: str) -> Column:
+        k = F.size(y)
+        return F.when(F.size(x) > k, F.zip_with(F.slice(x, F.lit(1), k), F.slice(x, k + 1, k), lambda a, b: a.bitwiseXOR(b))).otherwise(F.col(x))
+
+    apart = F.aggregate(F.zip_with(fold(bits, bits2), fold(bits2, bits), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, x: t + x)
+    total = F.col("n") + F.col("n2")
+    return (total - apart) * (100 + percent) >= total * 2 * percent
+
+
 def common_shingles(docs: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted shingles, level 1 and up) that many sets hold, counted over all documents."""
 
@@ -96,19 +122,20 @@ def link_documents(docs: DataFrame, n_words: int = SHINGLE_WORDS, percent: int =
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, level = common.value
         for b in batches:
-            n, rare, one, two, first = [], [], [], [], []
+            n, rare, one, two, first, bits = [], [], [], [], [], []
             for _, s in shingle_sets(b.column(1), n_words):
                 ordered, r = _in_order(s, shingles, level)
                 key = np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), "<i8")
                 n.append(len(s)), rare.append(r), one.append(int(key[0])), two.append(int(key[1]))
+                bits.append(parity_bits(s))
                 first.append(ordered[: len(s) - -(-percent * len(s) // 100) + 1].view(np.int64) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "n", "rare", "one", "two", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n", "rare", "one", "two", "prefix", "bits"])
 
-    sets = ws.write(docs.mapInArrow(prefixes, "doc_id long, n long, rare long, one long, two long, prefix array<long>"), "sets")
-    classes = sets.filter("n > 0 and doc_id is not null").groupBy("one", "two", "n").agg(F.min("doc_id").alias("id"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
+    sets = ws.write(docs.mapInArrow(prefixes, "doc_id long, n long, rare long, one long, two long, prefix array<long>, bits array<long>"), "sets")
+    classes = sets.filter("n > 0 and doc_id is not null").groupBy("one", "two", "n").agg(F.min("doc_id").alias("id"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     wide = ws.write(classes, "classes-wide")
     classes = ws.write(wide.select("one", "two", "n", "id"), "classes")
-    sets = ws.write(sets.drop("prefix", "rare"), "members")
+    sets = ws.write(sets.drop("prefix", "bits", "rare"), "members")
     ws.drop("sets")
     ws.release()
 
@@ -132,7 +159,16 @@ def link_documents(docs: DataFrame, n_words: int = SHINGLE_WORDS, percent: int =
     heads = heads.select("shingle", F.col("h.rare").alias("rare2"), F.col("h.id").alias("id2"), F.col("h.n").alias("n2"), F.col("h.pos").alias("pos2"))
     led = hits.join(heads, "shingle").filter((F.col("id") != F.col("id2")) & fits)
     led = led.groupBy("id", "id2").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("n2").alias("n2"), F.first("rare2").alias("rare2")).filter(F.col("c") * 2 >= in_prefix)
-    led = ws.write(led.groupBy("id").agg(F.max(F.struct("c", (-F.col("rare2")).alias("r"), (-F.col("id2")).alias("l"))).alias("h"), F.first("n").alias("n")).select("id", "n", (-F.col("h.l")).alias("leader")), "led")
+    led = led.groupBy("id").agg(F.max(F.struct("c", (-F.col("rare2")).alias("r"), (-F.col("id2")).alias("l"), "n2")).alias("h"), F.first("n").alias("n")).select("id", "n", (-F.col("h.l")).alias("leader"), F.col("h.n2").alias("n2"))
+    bitmaps = wide.select("id", "bits")
+
+    def likely(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        """Pairs (a, b, n, n2) whose bitmaps don't rule a link out."""
+        known = pairs.join(bitmaps.withColumnRenamed("id", a), a).join(bitmaps.select(F.col("id").alias(b), F.col("bits").alias("bits2")), b)
+        return known.filter(_may_link("bits", "bits2", percent)).select(*pairs.columns)
+
+    led = ws.write(likely(led, "id", "leader").drop("n2"), "led")
+    ws.release()
 
     bound = [(f * (1 << 64)) // fragments for f in range(1, fragments)]
 
@@ -173,19 +209,19 @@ def link_documents(docs: DataFrame, n_words: int = SHINGLE_WORDS, percent: int =
 
     # pairs that share a prefix shingle and are not yet connected
     known = hits.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("rare")
-    open_ = known.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("shingle")
+    open_ = known.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("shingle", F.lit(True).alias("open"))
     # shared: prefix shingles that another class holds too; only these can be in both prefixes of a pair
-    shared = hits.groupBy("id").agg(F.count("*").alias("shared"))
-    known = ws.write(known.join(open_, "shingle", "left_semi").join(shared, "id"), "open")
-    other = known.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "component", "shared")))
+    known = known.join(open_, "shingle", "left").withColumn("shared", F.count("*").over(Window.partitionBy("id"))).filter("open").drop("open")
+    earlier = Window.partitionBy("id").orderBy("pos")
+    known = ws.write(known.withColumn("before", F.array(*(F.lag("shingle", k).over(earlier) for k in range(1, BEFORE + 1)))), "open")
+    other = known.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "component", "shared", "before")))
     # of the two prefixes one ends first in the order: its set can only share what lies behind it and those
     possible = F.greatest(*(F.ceil(F.col(f"n{k}") * percent / 100 - 1e-9) - 1 + F.col(f"shared{k}") for k in ("", "2"))) >= need
     # the first shingle that a pair shares lies within reach of the threshold in both sets
-    pairs = known.join(other, "shingle").filter((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & fits & reach & possible)
+    first_met = ~F.coalesce(F.arrays_overlap("before", "before2"), F.lit(False))
+    pairs = known.join(other, "shingle").filter((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & fits & reach & possible & first_met)
     pairs = ws.write(pairs.select("id", "id2", "n", "n2").distinct(), "near")
-    # and enough of both prefixes is shared
-    pairs = pairs.join(wide.select("id", "prefix"), "id").join(wide.select(F.col("id").alias("id2"), F.col("prefix").alias("prefix2")), "id2").filter(F.size(F.array_intersect("prefix", "prefix2")) >= in_prefix)
-    pairs = ws.write(pairs.select(F.col("id").alias("a"), F.col("id2").alias("b"), "n", "n2"), "pairs")
+    pairs = ws.write(likely(pairs, "id", "id2").select(F.col("id").alias("a"), F.col("id2").alias("b"), "n", "n2"), "pairs")
     ws.drop("classes-wide", "near", "open", "hits")
     ws.release()
     ends = pairs.select(F.col("a").alias("id"), "n").unionAll(pairs.select(F.col("b").alias("id"), F.col("n2").alias("n"))).distinct()
