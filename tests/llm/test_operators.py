@@ -86,6 +86,18 @@ def test_jaccard_components(docs, n, percent):
     assert got == {i: (len(s), at[i]) for i, s in enumerate(sets)} and len(set(at)) < len(at)
 
 
+def test_parity_bitmaps_rule_no_link_out(spark):
+    rng = np.random.default_rng(1)
+    for n in (1, 4, 31, 32, 33, 60, 64, 70, 500, 1100):
+        for gone, new in ((0, 0), (n // 12, 0), (0, n // 7), (n // 20, n // 20), (n // 3, n // 3)):
+            x = rng.integers(0, 1 << 63, n + new).astype(np.uint64)
+            a, b = x[:n], x[gone:]
+            links = 100 * (n - gone) >= 85 * (n + new)
+            rows = [(n, n + new - gone, jj.parity_bits(a).tolist(), jj.parity_bits(b).tolist())]
+            kept = spark.createDataFrame(rows, "n long, n2 long, bits array<long>, bits2 array<long>").select(jj._may_link("bits", "bits2", 85)).first()[0]
+            assert kept or not links
+
+
 def test_components_of_a_chain(spark):
     got = cc.components(spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (None, 3)], "a long, b long"), Workspace(spark), "chain").collect()
     assert {(r["id"], r["component"]) for r in got} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
