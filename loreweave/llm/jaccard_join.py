@@ -234,7 +234,7 @@ def link_documents(docs: DataFrame, n_words: int = SHINGLE_WORDS, percent: int =
     final = components(first.unionAll(second), ws, "components")
     of_class = classes.select("one", "two", "n", "id").join(final, "id", "left").select("one", "two", "n", F.coalesce("component", "id").alias("component_id"))
     out = sets.select("doc_id", "one", "two", "n").join(of_class, ["one", "two", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

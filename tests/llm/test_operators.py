@@ -86,6 +86,13 @@ def test_jaccard_components(docs, n, percent):
     assert got == {i: (len(s), at[i]) for i, s in enumerate(sets)} and len(set(at)) < len(at)
 
 
+def test_jaccard_of_no_rows_and_null_ids(spark, empty):
+    assert jj.link_documents(empty).collect() == []
+    rows = spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (9, "A b\tc d e"), (7, None)], "doc_id long, text string")
+    got = sorted(jj.link_documents(rows).collect(), key=str)
+    assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in got) == [("4", 2, 4), ("4", 2, 4), ("7", 0, 7), ("9", 2, 4), ("None", 2, None)]
+
+
 def test_parity_bitmaps_rule_no_link_out(spark):
     rng = np.random.default_rng(1)
     for n in (1, 4, 31, 32, 33, 60, 64, 70, 500, 1100):
