@@ -112,6 +112,15 @@ def upsert_by_key(spark, d):
     return out.select("pid", "source", "n")
 
 
+@query("""WITH s AS (SELECT doc_id::INT AS pid, CASE WHEN lang <> 'de' THEN source END AS source, n_chars AS n, lang FROM documents), i AS (SELECT pid, source, n + 1 AS n FROM s WHERE lang IN ('de', 'en'))
+SELECT pid, source, n FROM s WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.pid = s.pid AND i.source IS NOT DISTINCT FROM s.source) UNION ALL SELECT * FROM i""")
+def upsert_all(spark, d):
+    """The whole table is the store; the articles of two languages come in anew, those of one of them under a null source."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("int").alias("pid"), F.when(F.col("lang") != "de", F.col("source")).alias("source"), F.lit(1).alias("chunk_index"), F.lit(None).cast("timestamp").alias("last_modified_date"), F.col("n_chars").alias("n"), "lang")
+    incoming = docs.filter(F.col("lang").isin("de", "en")).withColumn("n", F.col("n") + 1)
+    return st.upsert(docs.drop("lang"), incoming.drop("lang")).select("pid", "source", "n")
+
+
 @query("SELECT doc_id, source FROM documents WHERE doc_id % 10 <> 0")
 def delete_by_key(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "source")

@@ -123,6 +123,14 @@ def test_store_replaces_articles(spark, tmp_path):
     assert store.read().count() == 1
 
 
+def test_upsert_of_a_whole_table(spark, tmp_path):
+    langs = ("de", "en", "fr")
+    rows = [(i, langs[i % 3], None if i % 5 == 0 else f"s{i % 4}", i) for i in range(1000)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r["pid"], r["source"] or "", r["n"]) for r in QUERIES["upsert_all"](spark, str(tmp_path)).collect())
+    assert got == [(i, "" if lang == "de" else s or "", n + (lang != "fr")) for i, lang, s, n in rows]
+
+
 def test_latest_dump_date_takes_the_newest_row(spark, tmp_path):
     clock = iter(dt.datetime(2024, 1, d) for d in (1, 2))
     h = hs.RunHistory(spark, str(tmp_path / "h"), lambda: next(clock))
