@@ -34,11 +34,23 @@ _MARKUP = (
 )
 
 
+#: XML entities and what they stand for; the ampersand comes last, so that one level is decoded.
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#91;", "["), ("&#93;", "]"), ("&#123;", "{"), ("&#125;", "}"), ("&#61;", "="), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def escape_markup(text: Column) -> Column:
+    """Text that strip_markup gives back as it was."""
+    for name, char in reversed(_ENTITIES):
+        if char != " ":
+            text = F.replace(text, F.lit(char), F.lit(name))
+    return text
+
+
 def strip_markup(text: Column) -> Column:
     """Plain text of wiki markup, then one level of XML entities is decoded."""
     for pattern, to in _MARKUP:
         text = F.regexp_replace(text, pattern, to)
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for name, char in _ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
 

@@ -220,11 +220,9 @@ def feed_check(spark, d):
 
 @query("SELECT doc_id, text AS plain FROM documents")
 def markup_strip(spark, d):
-    """Every text wrapped in markup comes back plain; texts with markup characters of their own are escaped first."""
-    t = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;amp;")), F.lit("<"), F.lit("&amp;lt;")), F.lit(">"), F.lit("&amp;gt;"))
-    plain = t.rlike(r"[\[\]{}=']") | F.contains(F.col("text"), F.lit("&"))
-    marked = F.concat(F.lit("{{Infobox|a=b}}<!-- c --><ref name='x'>y</ref>"), F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.when(plain | F.contains("text", F.lit("<")), F.col("text")).otherwise(tx.strip_markup(marked)).alias("plain"))
+    """Every text wrapped in markup comes back plain; markup characters of the texts' own are escaped first."""
+    marked = F.concat(F.lit("{{Infobox|a=b}}<!-- c --><ref name='x'>y</ref>"), tx.escape_markup(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", tx.strip_markup(marked).alias("plain"))
 
 
 @query()

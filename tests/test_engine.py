@@ -97,6 +97,16 @@ def test_markup(spark):
     assert got == "Head\nBold the city  <b> y"
 
 
+def test_every_text_has_its_markup_stripped(spark, tmp_path, monkeypatch):
+    texts = ["plain", "a & b < c > d", "[[File:x|y]] [[a|b]] {{t|a=b}} {| x |}", "== h ==\n'''b''' <ref>r</ref><!-- c -->", "&amp;lt; &#91; &amp; &nbsp;", '"q" = [http://x y]', "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = lambda: [r["plain"] for r in QUERIES["markup_strip"](spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got() == texts
+    strip = tx.strip_markup
+    monkeypatch.setattr(tx, "strip_markup", lambda t: F.concat(F.lit("seen "), strip(t)))
+    assert got() == [t if t is None else "seen " + t for t in texts]
+
+
 def test_vectors(spark):
     v = [1.0, 0.0]
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [0.0, 1.0]), (6, [1.0])], "id int, embedding array<float>")
