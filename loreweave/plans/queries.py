@@ -140,6 +140,11 @@ def run_history_desc(spark, d):
     return hs.newest_first(table(spark, d, "events").withColumn("id", F.col("event_id"))).limit(50).select("event_id", "user_id", "event_type", "ts")
 
 
+@query("SELECT event_id, user_id, event_type, ts FROM events ORDER BY event_id DESC")
+def run_history_all(spark, d):
+    return hs.newest_first(table(spark, d, "events").withColumn("id", F.col("event_id"))).select("event_id", "user_id", "event_type", "ts")
+
+
 @query("SELECT count(*) > 0 AS found FROM events WHERE user_id = 13")
 def run_exists(spark, d):
     return hs.run_exists(table(spark, d, "events").select(F.col("user_id").alias("run_id")), 13).agg((F.count("*") > 0).alias("found"))

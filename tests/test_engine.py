@@ -141,6 +141,12 @@ def test_upsert_of_a_whole_table(spark, tmp_path):
     assert got == [(i, "" if lang == "de" else s or "", n + (lang != "fr")) for i, lang, s, n in rows]
 
 
+def test_history_of_all_rows(spark, tmp_path):
+    rows = [(i, i % 7, "t", dt.datetime(2024, 1, 1)) for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    assert [r["event_id"] for r in QUERIES["run_history_all"](spark, str(tmp_path)).collect()] == list(range(299, -1, -1))
+
+
 def test_latest_dump_date_takes_the_newest_row(spark, tmp_path):
     clock = iter(dt.datetime(2024, 1, d) for d in (1, 2))
     h = hs.RunHistory(spark, str(tmp_path / "h"), lambda: next(clock))
