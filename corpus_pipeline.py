@@ -19,9 +19,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    groups = jaccard_join.link_documents(docs, NEAR_WORDS, NEAR_PERCENT).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
-    return docs.join(groups, F.col("doc_id") == F.col("_keep"), "left_semi")
+    """Of each group of linked rows the one with the smallest doc_id stays, of equal ids one row.
+
+    Rows are told apart by a number of their own, so rows with a null or repeated doc_id are compared by their texts
+    like any others; a null doc_id comes last. Rows without words are in no group and stay.
+    """
+    ws = common.Workspace(spark)
+    rows = ws.write(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    linked = jaccard_join.link_documents(rows.select(F.col("_row").alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
+    groups = linked.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
