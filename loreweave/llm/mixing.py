@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import Workspace, read_table, with_ranks
 from .textblocks import mix64
@@ -23,6 +23,8 @@ SHARD_SLOTS = 8192
 SHARE = 1.5
 MOST = 2.0
 WEIGHTS = (3.0, 1.0, 2.0)
+#: Rows known by a number of their own (doc_id here) keep the order of their documents (key); equal ones go by text.
+ROW_ORDER = ("key", "hash", "doc_id")
 
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float = MOST) -> list[float]:
@@ -62,8 +64,8 @@ def permute(index: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> np.ndarra
     return out.astype(np.int64)
 
 
-def mix_spans(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Mixes sized(doc_id, source, size): (spans, sources).
+def mix_spans(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7, order: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+    """Mixes sized(doc_id, source, size): (spans, sources). doc_id names one row; order may name other columns of sized.
 
     spans: shard, slot, source, block, doc_id, first_word, n_words - a row per document in a slot's
     block. sources: source, source_size, target; a null source is one of its own and comes last.
@@ -75,7 +77,7 @@ def mix_spans(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     multinomial draw on the fractions, so that totals stay near the targets.
     """
     spark, ws = sized.sparkSession, Workspace(sized.sparkSession)
-    sized = ws.write(sized.select("doc_id", "source", "size"), "sized")
+    sized = ws.write(sized.select("doc_id", "source", "size", *(c for c in order if c != "doc_id")), "sized")
     found = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [int(r["n"]) for r in found]
@@ -119,7 +121,7 @@ def mix_spans(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     laid = runs.repartition(parallel, "shard", "src").mapInPandas(lay, "shard long, slot long, src int, block long")
     # null-safe numbers for the sources; their table is as small as the driver's list of them
     numbers = spark.createDataFrame([(r["source"], i) for i, r in enumerate(found)], "_s string, src int")
-    streams = with_ranks(sized.filter("size > 0"), "source", ["doc_id"], "size", ws, "streams")
+    streams = with_ranks(sized.filter("size > 0"), "source", list(order), "size", ws, "streams")
     parts = (
         streams.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("_s")))
         .withColumn("block", F.explode(F.sequence(F.expr(f"before div {block_words}"), F.expr(f"(before + size - 1) div {block_words}"))))
@@ -131,20 +133,20 @@ def mix_spans(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return spans.select("shard", "slot", "source", "block", "doc_id", "first_word", "n_words"), sources
 
 
-def sized_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words of each text (null: 0)."""
+def sized_documents(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source and the number of words of each text (null: 0), and more columns."""
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    return docs.select("doc_id", "source", words.cast("long").alias("size"))
+    return docs.select("doc_id", "source", words.cast("long").alias("size"), *more)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document, added up from its spans."""
+    """What the mix takes of every row, added up from its spans; rows with a null or repeated doc_id each have their own share."""
     ws = Workspace(spark)
-    sized = ws.write(sized_documents(read_table(spark, sf_dir, "documents")), "documents")
-    spans, sources = mix_spans(sized)
-    taken = spans.groupBy("doc_id").agg(F.sum("n_words").alias("taken"))
+    sized = ws.write(sized_documents(read_table(spark, sf_dir, "documents"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row")), "documents")
+    spans, sources = mix_spans(sized.withColumnsRenamed({"doc_id": "key", "row": "doc_id"}), order=ROW_ORDER)
+    taken = spans.groupBy(F.col("doc_id").alias("row")).agg(F.sum("n_words").alias("taken"))
     sources = F.broadcast(sources.withColumnRenamed("source", "_s"))
-    out = sized.join(taken.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d"), "left").join(sources, F.col("source").eqNullSafe(F.col("_s")), "left")
+    out = sized.join(taken, "row", "left").join(sources, F.col("source").eqNullSafe(F.col("_s")), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -152,12 +154,15 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each text replaced by the words that the mix takes of it, in their order, a second pass after the first.
 
     Documents of which nothing is taken go. Null texts and texts without words are in no block and go too.
-    Documents are told apart by doc_id; n_chars is counted anew; other columns stay.
+    Rows are told apart by a number of their own, so a null or repeated doc_id loses none and mixes up no texts;
+    n_chars is counted anew; other columns stay.
     """
-    spans, _ = mix_spans(sized_documents(docs), **options)
+    rows = Workspace(docs.sparkSession).write(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    sized = sized_documents(rows.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("key"), "source", "text"), F.col("key"), F.xxhash64("text").alias("hash"))
+    spans, _ = mix_spans(sized, order=ROW_ORDER, **options)
     # a block taken twice has one span with a count of 2
     times = spans.groupBy("doc_id", "first_word", "n_words").agg(F.count("*").alias("times"))
-    lists = times.groupBy(F.col("doc_id").alias("_d")).agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words", "times"))).alias("_spans"))
+    lists = times.groupBy(F.col("doc_id").alias("_row")).agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words", "times"))).alias("_spans"))
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     most = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: F.greatest(a, s["times"]))
     copies = F.flatten(F.transform(F.sequence(F.lit(1).cast("long"), most), lambda k: F.filter("_spans", lambda s: s["times"] >= k)))
@@ -167,5 +172,5 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     # the words are bound once, as the element of a one-row array, and not split anew for each span
     text = F.element_at(F.transform(F.array(words), taken), 1)
-    out = docs.join(lists, F.col("doc_id") == F.col("_d")).withColumn("text", text)
+    out = rows.join(lists, "_row").withColumn("text", text)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

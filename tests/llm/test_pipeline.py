@@ -3,6 +3,7 @@ import os
 import pytest
 
 import corpus_pipeline as cp
+from loreweave.llm import mixing
 
 DATA = "/root/testdata/sf0.001"
 
@@ -50,3 +51,13 @@ def test_one_of_two_equal_rows_stays(spark, tmp_path):
     assert near == cut == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
     assert [(i, set(t.split())) for i, t in mixed] == [(i, set(t.split())) for i, t in near]
     assert [i for i, *_ in packed] == [1, 2, 5, 5]
+
+
+def test_rows_without_a_doc_id_stay(spark, tmp_path):
+    rows = [(None, prose("a")), (None, prose("a")), (None, prose("b")), (4, prose("b")), (None, prose("c")), (7, prose("d"))]
+    _, near, cut, mixed, packed = through_all_stages(spark, str(tmp_path), rows)
+    assert near == cut == sorted([rows[0], rows[3], rows[4], rows[5]], key=str)
+    assert [(i, set(t.split())) for i, t in mixed] == [(i, set(t.split())) for i, t in near]
+    assert [i for i, *_ in packed] == [4, 7, None, None]
+    sizes = {r["doc_id"]: (r["size"], r["taken"] > 0) for r in mixing.op7_mixing(spark, str(tmp_path)).collect()}
+    assert sizes == {None: (60, True), 4: (60, True), 7: (60, True)}
