@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import read_table
-from .textblocks import PUNCTUATED, mix64, word_blocks
+from .textblocks import PUNCTUATED, word_blocks
 
 #: Hash space of words; the model is a vector of this many weights.
 BUCKETS = 1 << 20
@@ -50,11 +50,11 @@ def distinct_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def one_of_each(texts: list[np.ndarray]) -> list[np.ndarray]:
-    """The first of each group of likely copies: texts whose smallest mixed word is the same."""
-    found: dict[int, np.ndarray] = {}
+    """The first of each group of copies: texts with the same set of words; texts without words go."""
+    found: dict[bytes, np.ndarray] = {}
     for t in texts:
         if len(t):
-            found.setdefault(int(mix64(t.astype(np.uint64)).min()), t)
+            found.setdefault(t.tobytes(), t)
     return list(found.values())
 
 

@@ -236,6 +236,11 @@ def test_toxicity_held_out(spark):
     assert right > 0.95 and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_only_equal_word_sets_train_once():
+    texts = [np.array(t, np.int64) for t in ([1, 2], [1, 3], [1, 2], [], *([1, k] for k in range(4, 50)))]
+    assert [t.tolist() for t in tox.one_of_each(texts)] == [[1, 2], [1, 3], *([1, k] for k in range(4, 50))]
+
+
 def test_toxicity_without_labels(docs, empty):
     labels = docs.select("doc_id", F.lit(None).cast("int").alias("toxic"))
     out = tox.score_documents(docs, tox.fit(docs, labels))
