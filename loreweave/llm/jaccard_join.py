@@ -186,7 +186,7 @@ def link_documents(docs: DataFrame, n_words: int = SHINGLE_WORDS, percent: int =
 
     def cut_sets(wanted: DataFrame, name: str) -> DataFrame:
         """Segments of the sets of wanted(id, n, leader, leads), from the whole texts."""
-        texts = docs.join(wanted, F.col("doc_id") == F.col("id")).select("id", "n", "leader", "leads", "text")
+        texts = docs.join(wanted, F.col("doc_id") == F.col("id")).select("id", "n", "leader", "leads", "text").dropDuplicates(["id"])
         out = ws.write(texts.mapInArrow(segments, "id long, n long, leader long, leads boolean, fragment int, shingles array<long>"), name)
         ws.release()
         return out

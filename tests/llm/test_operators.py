@@ -93,6 +93,15 @@ def test_jaccard_of_no_rows_and_null_ids(spark, empty):
     assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in got) == [("4", 2, 4), ("4", 2, 4), ("7", 0, 7), ("9", 2, 4), ("None", 2, None)]
 
 
+def test_jaccard_counts_a_repeated_row_once(spark):
+    rows = []
+    for k in range(12):  # 97 shingles each, 89 of them shared: 84.8 %
+        w = [f"p{k}w{i}" for i in range(100)]
+        rows += [(2 * k, " ".join(w))] * 2 + [(2 * k + 1, " ".join(w[:92] + [f"p{k}z{i}" for i in range(8)]))] * (1 + k % 2)
+    got = jj.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r["n_shingles"] == 97 and r["component_id"] == r["doc_id"] for r in got)
+
+
 def test_parity_bitmaps_rule_no_link_out(spark):
     rng = np.random.default_rng(1)
     for n in (1, 4, 31, 32, 33, 60, 64, 70, 500, 1100):
