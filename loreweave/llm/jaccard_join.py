@@ -25,13 +25,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import Workspace, read_table
 from .components import components
-from .textblocks import gram_hashes, word_blocks
+from .textblocks import gram_hashes, slices, word_blocks
 
 SHINGLE_WORDS = 4
 PERCENT = 85
 FRAGMENTS = 4
 #: A shingle is common if a batch of texts has it in so many different sets ...
 LOCAL_LEAST = 4
+#: A batch of texts is counted in parts of so many shingles, for memory.
+LOCAL_SHINGLES = 2_000_000
 #: ... and all of them together in one of so many sets (at least 16); so at most this times the mean set size are common.
 COMMON_SHARE = 5000
 #: Prefix shingles before its own that a row knows; any number gives the same pairs.
@@ -76,17 +78,25 @@ def common_shingles(docs: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarr
     """(sorted shingles, level 1 and up) that many sets hold, counted over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen, sets = set(), []
-            for _, s in shingle_sets(b.column(0), n_words):
-                key = blake2b(s.tobytes(), digest_size=16).digest()
-                if len(s) and key not in seen:
-                    seen.add(key)
-                    sets.append(s)
+        def counted(sets: list[np.ndarray], n: int) -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
             keep = counts >= LOCAL_LEAST
             # the number of sets travels under shingle null
-            yield pa.RecordBatch.from_arrays([pa.array([None, *values[keep].view(np.int64).tolist()], pa.int64()), pa.array([len(sets), *counts[keep].tolist()], pa.int64())], names=["shingle", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([None, *values[keep].view(np.int64).tolist()], pa.int64()), pa.array([n, *counts[keep].tolist()], pa.int64())], names=["shingle", "n"])
+
+        for b in batches:
+            seen, sets, held = set(), [], 0
+            for part in slices(iter([b]), 0):
+                for _, s in shingle_sets(part.column(0), n_words):
+                    key = blake2b(s.tobytes(), digest_size=16).digest()
+                    if len(s) and key not in seen:
+                        seen.add(key)
+                        sets.append(s)
+                        held += len(s)
+                    if held > LOCAL_SHINGLES:
+                        yield counted(sets, len(sets))
+                        sets, held = [], 0
+            yield counted(sets, len(sets))
 
     counts = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).persist()
     total = counts.filter("shingle is null").first()
@@ -121,7 +131,7 @@ def link_documents(docs: DataFrame, n_words: int = SHINGLE_WORDS, percent: int =
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, level = common.value
-        for b in batches:
+        for b in slices(batches, 1):
             n, rare, one, two, first, bits = [], [], [], [], [], []
             for _, s in shingle_sets(b.column(1), n_words):
                 ordered, r = _in_order(s, shingles, level)
@@ -175,7 +185,7 @@ def link_documents(docs: DataFrame, n_words: int = SHINGLE_WORDS, percent: int =
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, _ = common.value
         cuts = np.array(bound, np.uint64)
-        for b in batches:
+        for b in slices(batches, 4):
             for k, s in shingle_sets(b.column(4), n_words):
                 usual = np.isin(s, shingles, assume_unique=True)
                 rest = s[~usual]

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import BROADCAST_ROWS, Workspace, read_table
+from .textblocks import slices
 from .tokens import encoder, in_slices
 
 CAPACITY = 1024
@@ -165,7 +166,7 @@ def token_pieces(docs: DataFrame, ws: Workspace, capacity: int = CAPACITY, end_i
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in slices(batches, 1):
             out: list[list] = [[] for _ in range(6)]
             docs_, texts_ = b.column(0).to_pylist(), b.column(1).to_pylist()
             at = 0

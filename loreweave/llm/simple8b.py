@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import BROADCAST_ROWS, Workspace
+from .textblocks import slices
 from .tokens import encoder, in_slices
 
 #: Selector -> (ids in a word, bits of each); 0 and 1 are runs of id 0, 15 is the escape.
@@ -108,48 +109,44 @@ BLOCKS = "shard int, block int, start long, doc_ids array<long>, counts array<lo
 def write_token_files(docs: DataFrame, ws: Workspace, name: str = "token-files", tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Tokenizes docs(doc_id, text), appends end_id to each and writes blocks in ascending doc_id order.
 
-    Null and empty texts hold the end id alone. A null doc_id sorts first. `start` counts ids before
-    the block in its shard; shards are ranges of doc_id, so lower shards come first. Repeated rows
-    are written as often as they occur.
+    Null and empty texts hold the end id alone. A null doc_id sorts first. Rows with one doc_id are in
+    order of their texts' hashes, and equal rows are written as often as they occur. `start` counts
+    ids before the block in its shard; shards are ranges of that order, so lower shards come first and
+    a doc_id that very many rows share, null for one, spreads over shards. A block holds at least one
+    document and otherwise at most BLOCK_IDS ids. An empty table makes no blocks; further columns are ignored.
     """
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            counts, payloads = [], []
-            for texts in in_slices(b.column(1).to_pylist()):
-                raw = [x + end for x in enc.encode(texts)]
-                sizes = [len(x) // 4 for x in raw]
-                words, firsts = pack_all(np.frombuffer(b"".join(raw), "<u4"), np.array(sizes))
-                counts += sizes
-                payloads += [words[a:z].astype("<u8").tobytes() for a, z in zip(firsts, [*firsts[1:], len(words)])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(payloads, pa.binary())], names=["doc_id", "n", "payload"])
+    fields = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, number, start = TaskContext.get().partitionId(), 0, 0
-        ids, counts, offsets, payload, words = [], [], [], [], 0
+        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        ids, held, size = [], [], 0
 
-        def flush():
-            return pa.RecordBatch.from_pylist([{"shard": shard, "block": number, "start": start, "doc_ids": ids, "counts": counts, "offsets": offsets, "payload": b"".join(payload)}], schema=pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())]))
+        def flush() -> pa.RecordBatch:
+            counts = np.array([len(x) // 4 for x in held])
+            words, offsets = pack_all(np.frombuffer(b"".join(held), "<u4"), counts)
+            return pa.RecordBatch.from_pylist([{"shard": shard, "block": number, "start": start, "doc_ids": ids, "counts": counts.tolist(), "offsets": offsets.tolist(), "payload": words.astype("<u8").tobytes()}], schema=fields)
 
-        for b in batches:
-            for doc, n, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ids.append(doc), counts.append(n), offsets.append(words), payload.append(p)
-                words += len(p) // 8
-                if sum(counts[-1:]) and words * 2 >= BLOCK_IDS:
-                    yield flush()
-                    number, start = number + 1, start + sum(counts)
-                    ids, counts, offsets, payload, words = [], [], [], [], 0
-        if ids:
+        for b in slices(batches, 1):
+            at, docs_ = 0, b.column(0).to_pylist()
+            for texts in in_slices(b.column(1).to_pylist()):
+                for raw in enc.encode(texts):
+                    if held and size + len(raw) // 4 >= BLOCK_IDS:
+                        yield flush()
+                        number, start = number + 1, start + size
+                        ids, held, size = [], [], 0
+                    ids.append(docs_[at]), held.append(raw + end)
+                    size += len(raw) // 4 + 1
+                    at += 1
+        if held:
             yield flush()
 
-    # encoded once before the range exchange, which samples its input
-    coded = ws.write(docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n long, payload binary"), f"{name}-coded")
-    files = ws.write(coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(block, BLOCKS), name)
-    ws.drop(f"{name}-coded")
-    return files
+    # texts are dealt into ranges before they are encoded, so that the sample of the exchange encodes nothing
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    order = ["doc_id", "_hash", "_row"]
+    return ws.write(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(block, BLOCKS), name)
 
 
 def read_token_files(files: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import Workspace, read_table
-from .textblocks import gram_hashes, mix64, windowed_min, word_blocks
+from .textblocks import gram_hashes, mix64, slices, windowed_min, word_blocks
 
 WINDOW = 35
 MINIMISER = 8
@@ -118,7 +118,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = MINIMISER)
     plain = keyed.select("doc_id", "_hash", "text")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             found = list(_doc_runs(b.column(2), window, gram))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0].view(np.int64) for f in found], pa.list_(pa.int64())), pa.array([f[1].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[2].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[3] for f in found], pa.list_(pa.bool_()))], names=["doc_id", "_hash", "minis", "starts", "counts", "selves"])
 
@@ -132,7 +132,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = MINIMISER)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("_hash", pa.int64()), ("start", pa.int32())])
-        for b in batches:
+        for b in slices(batches, 2):
             ids, keys, texts, lists = (b.column(k) for k in range(4))
             hashed = {}
             for block in word_blocks(texts):
@@ -200,7 +200,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = MINIMISER)
     schema = T.StructType([*(keyed.schema[c] for c in names), T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, at):
             kept, n_words, n_removed = [], [], []
             for text, covers in zip(b.column(at), b.column(len(names))):
                 words = (text.as_py() or "").encode().split()

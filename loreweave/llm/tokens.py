@@ -2,24 +2,31 @@
 
 Byte-level BPE splits a text by a fixed pattern and merges inside the pieces only, so a piece's ids
 do not depend on its surroundings. Texts of ASCII and Latin-1 letters are cut by that pattern and
-looked up piece by piece; pieces not seen yet go to the library together, and any other text goes
-to the library whole.
+looked up piece by piece. Pieces not found go to the library together, as lines of one string whose
+ids are cut by the bytes that each token stands for. Any other text goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
-#: Pieces kept per worker; later ones are encoded each time they occur.
-CACHE_PIECES = 1_000_000
-#: Any character for which Python's classes and the library's may differ, or that could start a special token.
-_UNUSUAL = re.compile("[^\\x00-\\x1b\\x20-\\x7eÀ-ÖØ-öø-ÿ]|<\\|")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_PLAIN = re.compile(r" [^\W\d_]+")
+#: Pieces kept per worker, of at most LONGEST characters each: at most about 100 MB.
+CACHED, LONGEST = 500_000, 48
+#: Characters cut at once, and texts and characters that are held together.
+SEGMENT, SLICE_TEXTS, SLICE_CHARS = 1 << 18, 500, 1 << 20
+#: Pieces that go to the library in one string.
+TOGETHER = 2000
+#: Bytes of texts that may be cut here: ASCII but for a few control characters, and letters of Latin-1.
+_USUAL = bytes([*range(0x1C), *range(0x20, 0x7F), 0xC3, *range(0x80, 0xC0)])
+_SIGNS = (b"\xc3\x97", b"\xc3\xb7", b"<|")  # two signs that are no letters; what could start a special token
+#: The pre-token pattern of byte-level BPE, for such texts.
+_LETTERS, _BLANKS = "A-Za-zÀ-ÖØ-öø-ÿ", "\\t-\\r "
+_PIECES = re.compile(f" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^{_BLANKS}{_LETTERS}0-9]+|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+")
 
 
 def default_tokenizer() -> str:
@@ -37,59 +44,101 @@ class IdEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path or default_tokenizer())
-        self.cache: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a character per byte
+        # two generations: what was not asked for while one filled is forgotten
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, encoded as one string. A piece starts with a space or follows a line break, which is a piece of its own."""
+        lines = ["\n" + p if p[0] != " " else p for p in pieces]
+        ids = np.array(self.library.encode_batch_fast(["".join(lines)], add_special_tokens=False)[0].ids, "<u4")
+        sizes, ends = np.array([len(p.encode()) for p in pieces]), np.cumsum([len(p.encode()) for p in lines])
+        reached = np.concatenate([[0], np.cumsum(self.bytes_of[ids])])
+        starts, stops = np.searchsorted(reached, ends - sizes), np.searchsorted(reached, ends)
+        if reached[-1] != ends[-1] or (reached[starts] != ends - sizes).any() or (reached[stops] != ends).any():
+            return self._whole(pieces)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * z] for a, z in zip(starts.tolist(), stops.tolist())]
+
     def _new(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that are not in the cache, which takes them while it has room."""
-        found: dict[str, bytes] = {}
-        plain = [p for p in pieces if _PLAIN.fullmatch(p)]
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            e = self.library.encode("".join(some), add_special_tokens=False)
-            words, ids = np.array(e.word_ids), np.array(e.ids, "<u4").tobytes()
-            cuts = (np.flatnonzero(np.diff(words, prepend=-1)) * 4).tolist()
-            if len(cuts) == len(some):
-                found.update(zip(some, map(ids.__getitem__, map(slice, cuts, [*cuts[1:], len(ids)]))))
+        """Ids of pieces that are not young; they are young from now on."""
+        found = {p: x for p in pieces if (x := self.old.get(p)) is not None}
         rest = [p for p in pieces if p not in found]
-        found.update(zip(rest, self._whole(rest)))
-        if len(self.cache) < CACHE_PIECES:
-            self.cache.update(found)
+        lines = [p for p in rest if not p.isspace()]
+        for at in range(0, len(lines), TOGETHER):
+            found.update(zip(lines[at : at + TOGETHER], self._together(lines[at : at + TOGETHER])))
+        blanks = [p for p in rest if p.isspace()]
+        found.update(zip(blanks, self._whole(blanks)))
+        if len(self.young) + len(found) > CACHED // 2:
+            self.young, self.old = {}, self.young
+        if len(found) <= CACHED // 2:
+            self.young.update((p, x) for p, x in found.items() if len(p) <= LONGEST)
         return found
 
+    def _cut(self, text: str) -> Iterator[list[str]]:
+        """Pieces of a text, so many characters at once; a segment ends where a letter or a digit is followed by a space."""
+        at = 0
+        while len(text) - at > SEGMENT:
+            stop = at + SEGMENT
+            while (stop := text.find(" ", stop)) >= 0 and not text[stop - 1].isalnum():
+                stop += 1
+            if stop < 0:
+                break
+            yield _PIECES.findall(text, at, stop)
+            at = stop
+        yield _PIECES.findall(text, at)
+
+    def _usual(self, text: str) -> bool:
+        raw = text.encode()
+        return not raw.translate(None, _USUAL) and not any(s in raw for s in _SIGNS)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null or empty text has none."""
-        get, missing = self.cache.get, set()
-        cut: list[tuple[list[str], list[bytes | None]] | None] = []
-        for t in texts:
-            if not t or _UNUSUAL.search(t):
-                cut.append(None)
+        out, open_, missing = [b""] * len(texts), [], set()
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if not self._usual(t):
+                out[i] = self._whole([t])[0]
+                continue
+            if len(t) > SEGMENT:
+                out[i] = b"".join(map(self._look_up, self._cut(t)))
                 continue
             pieces = _PIECES.findall(t)
-            ids = list(map(get, pieces))
+            ids = list(map(self.young.get, pieces))
             if None in ids:
                 missing.update([p for p, x in zip(pieces, ids) if x is None])
-                cut.append((pieces, ids))
+                open_.append((i, pieces, ids))
             else:
-                cut.append(([], ids))
+                out[i] = b"".join(ids)
         new = self._new(missing) if missing else {}
-        out = []
-        for text, found in zip(texts, cut):
-            if found is None:
-                out.append(self._whole([text])[0] if text else b"")
-            elif found[0]:
-                out.append(b"".join([new[p] if x is None else x for p, x in zip(*found)]))
-            else:
-                out.append(b"".join(found[1]))
+        for i, pieces, ids in open_:
+            out[i] = b"".join([new[p] if x is None else x for p, x in zip(pieces, ids)])
         return out
 
-
-def in_slices(texts: list, size: int = 500):
-    """Lists of at most so many texts, to bound what is held at once."""
-    for at in range(0, len(texts), size):
-        yield texts[at : at + size]
+    def _look_up(self, pieces: list[str]) -> bytes:
+        ids = list(map(self.young.get, pieces))
+        new = self._new({p for p, x in zip(pieces, ids) if x is None})
+        return b"".join([new[p] if x is None else x for p, x in zip(pieces, ids)])
+
+
+def in_slices(texts: list) -> Iterator[list]:
+    """Runs of texts, bounded in number and characters (a longer text is alone), to bound what is held at once."""
+    at, chars = 0, 0
+    for k, t in enumerate(texts):
+        n = len(t) if t else 0
+        if k > at and (k - at == SLICE_TEXTS or chars + n > SLICE_CHARS):
+            yield texts[at:k]
+            at, chars = k, 0
+        chars += n
+    if at < len(texts):
+        yield texts[at:]
 
 
 @lru_cache(maxsize=2)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import read_table
-from .textblocks import PUNCTUATED, word_blocks
+from .textblocks import PUNCTUATED, slices, word_blocks
 
 #: Hash space of words; the model is a vector of this many weights.
 BUCKETS = 1 << 20
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
     sample = docs.join(chosen, F.col("doc_id") == F.col("_id")).select("_id", "kind", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             words = [w.astype("<i4").tobytes() for _, w in distinct_words(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.binary())], names=["_id", "kind", "words"])
 
@@ -150,7 +150,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
-        for b in batches:
+        for b in slices(batches, at):
             sums = np.zeros(b.num_rows)
             for i, words in distinct_words(b.column(at)):
                 sums[i] = weights[words].sum(dtype=np.float64)
