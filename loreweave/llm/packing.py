@@ -2,11 +2,12 @@
 
 A configuration says how many pieces of each length one sequence holds. The covering program
 (fewest sequences so that every length is covered as often as it occurs) is solved by
-multiplicative weights: a length's weight falls as it is covered, and a knapsack dynamic program
-prices the configurations. The fractional solution is rounded on the integer histogram, and what
-is left is placed best-fit. Only the length histogram (at most `capacity` rows) reaches the driver;
-the plan is a table of ranges (so many copies of a configuration), and every piece finds its place
-by its rank among the pieces of its length.
+multiplicative weights: a length's price falls as it is covered, and a knapsack dynamic program
+prices the configurations. The fractional solution is rounded down on the integer histogram, then
+its configurations are taken once each while their pieces last; the program is solved again for what
+is left, until little is. Only that remainder is placed best-fit. Only the length histogram (at most
+`capacity` rows) reaches the driver; the plan is a table of ranges (so many copies of a
+configuration), and every piece finds its place by its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -25,93 +26,118 @@ from .tokens import encoder, in_slices
 
 CAPACITY = 1024
 END_ID = 2
-ROUNDS = 160
-
-
-def _price(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: best value within each capacity, and the item taken there (-1: none)."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(lengths)
-    lengths, value = lengths[order], value[order]
-    fitting = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+#: Rounds in which the program covers the whole histogram, an equal share of each length's need in each.
+ROUNDS = 10
+#: A length's price falls by exp(-STEP) while it is covered once.
+STEP = 0.02
+#: What a configuration may be worth less than the best one, and the best one of a round's later prices less than of its first.
+SLACK, TIRED = 0.006, 0.01
+#: The program is solved again while more than this share of the ids is left.
+LITTLE = 0.02
+#: Configurations drawn at one set of prices.
+DRAWS = 64
+
+Items = list[tuple[int, int]]
+
+
+def _price(value: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Unbounded knapsack: the best value within each capacity; lengths ascend."""
+    best = np.zeros(capacity + 1)
+    fitting = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
     for w in range(int(lengths[0]), capacity + 1):
         n = fitting[w]
-        got = best[w - lengths[:n]] + value[:n]
-        k = int(got.argmax())
-        if got[k] > best[w - 1]:
-            best[w], took[w] = got[k], order[k]
-        else:
-            best[w], took[w] = best[w - 1], -1
-    return best, took
-
-
-def _configurations(value: np.ndarray, lengths: np.ndarray, capacity: int, slack: float) -> list[tuple[tuple[int, int], ...]]:
-    """For each length a best configuration that holds it, where it is worth at least 1 - slack of the best."""
-    best, took = _price(value, lengths, capacity)
-    out = set()
-    good = np.flatnonzero(best[capacity - lengths] + value >= (1 - slack) * best[capacity])
-    for k in good.tolist():
-        items, w = Counter([k]), capacity - int(lengths[k])
-        while w > 0:
-            if took[w] < 0:
-                w -= 1
-            else:
-                items[int(took[w])] += 1
-                w -= int(lengths[took[w]])
-        out.add(tuple(sorted(items.items())))
-    return sorted(out)
-
-
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, list[tuple[int, int]]]]:
-    """[(copies, [(length, pieces of it in a sequence)])] that holds each piece of the histogram once."""
+        best[w] = max(best[w - 1], (best[w - lengths[:n]] + value[:n]).max())
+    return best
+
+
+def _draw(best: np.ndarray, value: np.ndarray, lengths: np.ndarray, quota: np.ndarray, first: int, spare: float) -> Counter | None:
+    """A configuration that starts with `first`, goes on with the longest pieces that fit and is worth `spare` less than the best at most."""
+    items, w, k = Counter(), len(best) - 1, first
+    while True:
+        spare -= max(best[w] - best[w - lengths[k]] - value[k], 0.0)
+        if spare < 0:
+            return None
+        items[k] += 1
+        w -= int(lengths[k])
+        n = int(np.searchsorted(lengths, w, "right"))
+        fits = np.flatnonzero((quota[:n] > 0) & (best[w] - best[w - lengths[:n]] - value[:n] <= spare))
+        if not len(fits):
+            return items if best[w] <= spare + 1e-12 else None
+        k = int(fits[-1])
+
+
+def fractional(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[Counter, np.ndarray]:
+    """({configuration: sequences of it}, how many times each length is covered); lengths ascend, configurations name their indices.
+
+    Each configuration rises by its own bottleneck, the least that its lengths may still gain in a
+    round, so the number of rounds does not depend on the scarcest length. Lengths that have gained
+    all they may leave the dynamic program until the next round; what a round could not cover well is
+    left to the later ones at a higher price.
+    """
+    covered, use = np.zeros(len(lengths)), Counter()
+    for r in range(1, rounds + 1):
+        ratio = covered / need
+        value = lengths / capacity * np.exp(-STEP * (ratio - ratio.min()))
+        quota, top, made = r / rounds * need - covered, 0.0, 1
+        quota[quota < 1e-9 * need] = 0
+        while made and len(open_ := np.flatnonzero(quota)):
+            best = _price(value[open_], lengths[open_], capacity)
+            top, made = top or best[capacity], 0
+            if best[capacity] < (1 - TIRED) * top:
+                break
+            good = open_[best[capacity] - best[capacity - lengths[open_]] - value[open_] <= SLACK * top]
+            for k in good[::-1][:DRAWS].tolist():  # long pieces first
+                if quota[k] <= 0 or (items := _draw(best, value, lengths, quota, k, SLACK * top)) is None:
+                    continue
+                at, a = np.array(list(items)), np.array(list(items.values()), float)
+                step, made = float((quota[at] / a).min()), made + 1
+                use[tuple(sorted(items.items()))] += step
+                covered[at] += step * a
+                quota[at] -= step * a
+                quota[quota < 1e-9 * need] = 0
+    return use, covered / need
+
+
+def plan_parts(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list, list, list]:
+    """The plan in three parts: sequences that one piece fills, those of the program's configurations, and the remainder's."""
     left = {int(k): int(v) for k, v in histogram.items() if v > 0}
-    plan: list[tuple[int, list[tuple[int, int]]]] = []
-    if not left:
-        return plan
-    if min(left) < 1 or max(left) > capacity:
+    if left and (min(left) < 1 or max(left) > capacity):
         raise ValueError("lengths must lie between 1 and the capacity")
-    if n := left.pop(capacity, 0):
-        plan.append((n, [(capacity, 1)]))
-    if left:
-        lengths = np.array(sorted(left))
-        need = np.array([left[k] for k in lengths.tolist()], float)
-        covered, weight, use = np.zeros(len(lengths)), np.ones(len(lengths)), Counter()
-        for _ in range(rounds):
-            configs = _configurations(weight / need, lengths, capacity, 0.02)
-            gain = np.zeros(len(lengths))
-            for c in configs:
-                for k, a in c:
-                    gain[k] += a
-            # every chosen configuration rises together, until one length has gained 1/rounds * 4 of its need
-            step = (4.0 / rounds) * float(np.min(need[gain > 0] / gain[gain > 0]))
-            for c in configs:
-                use[c] += step
-            covered += step * gain
-            ratio = covered / need
-            weight = np.exp(-8.0 * (ratio - ratio.min()))
-            if ratio.min() >= 1:
-                break
-        scale = 1 / max(float((covered / need).min()), 1e-9)
-        rest = need.astype(np.int64)
-        # rounded so that the running total of sequences follows the fractional one
-        owed = 0.0
-        for c, x in sorted(use.items(), key=lambda t: (-t[1], t[0])):
-            owed += x * min(scale, 1.0)
-            copies = min(int(owed + 0.5), *(int(rest[k]) // a for k, a in c))
-            if copies > 0 and sum(a * int(lengths[k]) for k, a in c) >= 0.98 * capacity:
-                plan.append((copies, [(int(lengths[k]), a) for k, a in c]))
-                for k, a in c:
-                    rest[k] -= copies * a
-                owed -= copies
-        # full configurations on what is left, priced by length itself, then the remainder best-fit
-        while rest.any():
-            have = np.flatnonzero(rest)
-            config = _fullest(lengths[have], rest[have], capacity)
-            copies = min(int(rest[have[k]]) // a for k, a in config)
-            plan.append((copies, [(int(lengths[have[k]]), a) for k, a in config]))
-            for k, a in config:
+    whole = [(n, [(capacity, 1)])] if (n := left.pop(capacity, 0)) else []
+    program: list[tuple[int, Items]] = []
+    remainder: list[tuple[int, Items]] = []
+    lengths = np.array(sorted(left), np.int64)
+    rest = np.array([left[k] for k in lengths.tolist()], np.int64)
+
+    def take(to: list, have: np.ndarray, items, copies: int) -> int:
+        """Takes so many copies, or as many as the pieces left allow."""
+        copies = min(copies, *(int(rest[have[k]]) // a for k, a in items))
+        if copies > 0:
+            to.append((copies, [(int(lengths[have[k]]), a) for k, a in items]))
+            for k, a in items:
                 rest[have[k]] -= copies * a
-    return plan
+        return copies
+
+    most = float((rest * lengths).sum())
+    while float((rest * lengths).sum()) > LITTLE * most:
+        have = np.flatnonzero(rest)
+        use, ratio = fractional(lengths[have], rest[have].astype(float), capacity, rounds)
+        scale = 1 / max(float(ratio.mean()), 1e-9)
+        ordered = sorted(use.items(), key=lambda t: (-t[1], t[0]))
+        got = sum(take(program, have, c, int(x * scale)) for c, x in ordered if x * scale >= 1)
+        got += sum(take(program, have, c, 1) for c, _ in ordered)
+        if not got:
+            break
+    while rest.any():
+        have = np.flatnonzero(rest)
+        take(remainder, have, _fullest(lengths[have], rest[have], capacity), int(rest.max()))
+    return whole, program, remainder
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, Items]]:
+    """[(copies, [(length, pieces of it in a sequence)])] that holds each piece of the histogram once."""
+    whole, program, remainder = plan_parts(histogram, capacity, rounds)
+    return whole + program + remainder
 
 
 def _fullest(lengths: np.ndarray, rest: np.ndarray, capacity: int) -> list[tuple[int, int]]:
@@ -219,11 +245,19 @@ def pack_pieces(pieces: DataFrame, ws: Workspace, capacity: int = CAPACITY) -> D
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
-    """Packs docs(doc_id, text): a row per piece with its place. Null and empty texts are the end id alone."""
+    """Packs docs(doc_id, text): a row per piece with its place.
+
+    Null and empty texts are the end id alone, so every row has a piece. doc_id is only carried: rows
+    with a null or repeated doc_id each have pieces of their own. A text of any length is cut into
+    pieces of `capacity` ids, of which the first may be shorter. Pieces of equal length (ties) are
+    placed in the order of tasks and rows. An empty table gives no rows; further columns are left out,
+    whatever their names.
+    """
     ws = Workspace(docs.sparkSession)
     packed = pack_pieces(token_pieces(docs, ws, capacity, end_id, tokenizer), ws, capacity)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """The pieces of all documents; rows, nulls, ties and an empty table are as pack_documents has them."""
     return pack_documents(read_table(spark, sf_dir, "documents"))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import read_table
@@ -58,10 +59,8 @@ def one_of_each(texts: list[np.ndarray]) -> list[np.ndarray]:
     return list(found.values())
 
 
-def telling(in_positive: np.ndarray, cols: np.ndarray, n_words: int, n_pos: int, n_unl: int, least: float = LEAST_RATIO) -> np.ndarray:
-    """Words whose share of texts differs between the samples by a log-likelihood ratio of `least` or more."""
-    a = np.bincount(cols[in_positive], minlength=n_words).astype(float)
-    b = np.bincount(cols[~in_positive], minlength=n_words).astype(float)
+def telling(a: np.ndarray, b: np.ndarray, n_pos: int, n_unl: int, least: float = LEAST_RATIO) -> np.ndarray:
+    """Words, held by a positive and b unlabelled texts, whose share differs between the samples by a log-likelihood ratio of `least` or more."""
 
     def part(k, n, p):
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -70,44 +69,60 @@ def telling(in_positive: np.ndarray, cols: np.ndarray, n_words: int, n_pos: int,
         return np.nan_to_num(x) + np.nan_to_num(y)
 
     p = (a + b) / (n_pos + n_unl)
-    return (2 * (part(a, n_pos, p) + part(b, n_unl, p)) >= least) & (a + b >= LEAST_TEXTS)
+    return 2 * (part(a, n_pos, p) + part(b, n_unl, p)) >= least
+
+
+def counted(texts: list[np.ndarray]) -> np.ndarray:
+    """How many texts hold each word."""
+    out = np.zeros(BUCKETS, np.int32)
+    for t in texts:
+        out[t] += 1
+    return out
+
+
+def risk_gradient(z: np.ndarray, is_pos: np.ndarray, prior: float) -> np.ndarray:
+    """Gradient by the scores z of the non-negative risk; below zero its bracket is over-fitted, and the step goes back along it."""
+    n_pos, n_unl = int(is_pos.sum()), int((~is_pos).sum())
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    rest = np.logaddexp(0, z[~is_pos]).mean() - prior * np.logaddexp(0, z[is_pos]).mean()
+    g = np.zeros(len(z))
+    if rest >= 0:
+        g[is_pos] = prior * (s[is_pos] - 1) / n_pos - prior * s[is_pos] / n_pos
+        g[~is_pos] = s[~is_pos] / n_unl
+    else:
+        g[is_pos] = prior * s[is_pos] / n_pos
+        g[~is_pos] = -s[~is_pos] / n_unl
+    return g
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = ROUNDS, l2: float = 1e-4, rate: float = 0.1) -> Model:
     """Fits the model by Adam on the whole sample; without any positive text every score is that of the prior."""
     weights = np.zeros(BUCKETS)
     prior = min(max(prior, 1e-3), 0.999)
+    positive, unlabelled = one_of_each(positive), one_of_each(unlabelled)
     if not positive or not unlabelled:
         return Model(weights, float(np.log(prior / (1 - prior))))
-    positive, unlabelled = one_of_each(positive), one_of_each(unlabelled)
-    texts = positive + unlabelled
-    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    words, cols = np.unique(np.concatenate(texts), return_inverse=True)
-    keep = telling(rows < len(positive), cols, len(words), len(positive), len(unlabelled))[cols]
-    rows, cols = rows[keep], cols[keep]
-    used, cols = np.unique(cols, return_inverse=True)
     n_pos, n_unl = len(positive), len(unlabelled)
-    is_pos = np.arange(len(texts)) < n_pos
-    w, b = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
+    a, b = counted(positive), counted(unlabelled)
+    words = np.flatnonzero(a + b >= LEAST_TEXTS)
+    words = words[telling(a[words].astype(float), b[words].astype(float), n_pos, n_unl)]
+    place = np.full(BUCKETS, -1, np.int32)
+    place[words] = np.arange(len(words))
+    kept = [p[p >= 0] for p in (place[t] for t in positive + unlabelled)]
+    rows = np.repeat(np.arange(len(kept)), [len(t) for t in kept])
+    cols = np.concatenate(kept)
+    is_pos = np.arange(len(kept)) < n_pos
+    w, b = np.zeros(len(words)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(rows, w[cols], len(texts)) + b
-        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        rest = np.logaddexp(0, z[~is_pos]).mean() - prior * np.logaddexp(0, z[is_pos]).mean()
-        g = np.zeros(len(texts))
-        if rest >= 0:
-            g[is_pos] = prior * (s[is_pos] - 1) / n_pos - prior * s[is_pos] / n_pos
-            g[~is_pos] = s[~is_pos] / n_unl
-        else:  # the negative part is over-fitted: step back along it
-            g[is_pos] = prior * s[is_pos] / n_pos
-            g[~is_pos] = -s[~is_pos] / n_unl
+        g = risk_gradient(np.bincount(rows, w[cols], len(kept)) + b, is_pos, prior)
         gw, gb = np.bincount(cols, g[rows], len(w)) + l2 * w, g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         fix = np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w -= rate * fix * m / (np.sqrt(v) + 1e-8)
         b -= rate * fix * mb / (np.sqrt(vb) + 1e-8)
-    weights[words[used]] = w
+    weights[words] = w
     return Model(weights, float(b))
 
 
@@ -136,8 +151,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
             words = [w.astype("<i4").tobytes() for _, w in distinct_words(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.binary())], names=["_id", "kind", "words"])
 
-    rows = sorted(sample.mapInArrow(features, "_id long, kind int, words binary").collect(), key=lambda r: (r["_id"], r["kind"], r["words"]))
-    of = lambda kind: [np.frombuffer(r["words"], "<i4").astype(np.int64) for r in rows if r["kind"] == kind]
+    # one buffer of bytes, of which the texts are views: bounded by the two numbers above
+    table = sample.mapInArrow(features, "_id long, kind int, words binary").toArrow()
+    table = table.take(pc.sort_indices(table, [(c, "ascending") for c in table.column_names])).combine_chunks()
+    kinds, words = table.column("kind").to_numpy(), table.column("words").combine_chunks()
+    words = words.chunk(0) if isinstance(words, pa.ChunkedArray) and words.num_chunks else words
+    of = lambda kind: [np.frombuffer(words[i].as_buffer(), "<i4") for i in np.flatnonzero(kinds == kind).tolist()]
     return train(of(1), of(0), float(prior) if prior is not None else 0.01)
 
 
@@ -163,6 +182,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Every document's score. Null and empty texts score as a text without words; a null doc_id is held out as the empty text is not.
+
+    Rows with a repeated doc_id are scored each for itself; equal texts have equal scores. An empty
+    table gives no rows, and without labels every score is that of the prior.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, read_table(spark, sf_dir, "labels"))
     return score_documents(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

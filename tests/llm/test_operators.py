@@ -169,8 +169,32 @@ def test_solver_covers_each_piece_once():
         assert sum(n * a for n, a in items) <= 1024
         for n, a in items:
             held[n] += copies * a
-    assert held == h and sum(c for c, _ in plan) <= -(-sum(k * v for k, v in h.items()) // 1024) + 2
-    assert pk.solve({}) == []
+    assert held == h and sum(c for c, _ in plan) <= -(-sum(k * v for k, v in h.items()) // 1024) + 3
+    assert pk.solve({}) == [] and pk.solve({1024: 3}) == [(3, [(1024, 1)])]
+
+
+@pytest.mark.parametrize("pieces", [20_000, 2_000_000])
+def test_sequences_come_from_the_program(pieces):
+    sizes = np.random.default_rng(3).lognormal(5.5, 1.0, 20_000).astype(int) + 1
+    h = Counter()
+    for n in sizes.tolist():
+        h[(n - 1) % 1024 + 1] += pieces // 20_000
+        h[1024] += (n - 1) // 1024 * (pieces // 20_000)
+    whole, program, remainder = (sum(c for c, _ in part) for part in pk.plan_parts(h))
+    bound = -(-sum(k * v for k, v in h.items()) // 1024)
+    assert program >= 0.95 * (program + remainder) and whole + program + remainder <= 1.001 * bound + 3
+
+
+def test_the_program_covers_the_lengths_well():
+    lengths, need = np.arange(1, 1024), np.random.default_rng(4).integers(1, 400, 1023).astype(float)
+    use, ratio = pk.fractional(lengths, need, 1024)
+    covered = np.zeros(1023)
+    for items, x in use.items():
+        assert sum(int(lengths[k]) * a for k, a in items) <= 1024
+        for k, a in items:
+            covered[k] += x * a
+    assert np.allclose(covered / need, ratio) and ratio.max() < 1 + 1e-6 and (lengths * covered).sum() > 0.97 * (lengths * need).sum()
+    assert sum(use.values()) < 1.01 * (lengths * covered).sum() / 1024
 
 
 def test_one_more_shard_takes_rows_only_into_itself(spark):
@@ -241,8 +265,9 @@ def test_toxicity_held_out(spark):
         pytest.skip("no tables")
     d = "/root/testdata/sf0.1"
     rows = registry.queries()["op3_toxicity"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out").select("score", "predicted", "toxic").collect()
-    right = sum(r["predicted"] == r["toxic"] for r in rows) / len(rows)
-    assert right > 0.95 and all(0 <= r["score"] <= 1 for r in rows)
+    found = Counter((r["predicted"], r["toxic"]) for r in rows)
+    assert found[1, 1] / (found[1, 1] + found[0, 1]) > 0.8 and found[1, 1] / (found[1, 1] + found[1, 0]) > 0.95
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
 def test_only_equal_word_sets_train_once():
@@ -250,6 +275,18 @@ def test_only_equal_word_sets_train_once():
     assert [t.tolist() for t in tox.one_of_each(texts)] == [[1, 2], [1, 3], *([1, k] for k in range(4, 50))]
 
 
+def test_risk_gradient_against_differences():
+    rng = np.random.default_rng(2)
+    is_pos, prior = np.arange(30) < 10, 0.3
+    for shift in (0.0, -6.0):  # the second makes the bracket negative
+        z = rng.standard_normal(30) + np.where(is_pos, 2.0, shift)
+        soft = lambda x: np.logaddexp(0, x)
+        bracket = lambda z: soft(z[~is_pos]).mean() - prior * soft(z[is_pos]).mean()
+        risk = (lambda z: prior * soft(-z[is_pos]).mean() + bracket(z)) if bracket(z) >= 0 else (lambda z: -bracket(z))
+        want = [(risk(z + 1e-6 * np.eye(30)[i]) - risk(z - 1e-6 * np.eye(30)[i])) / 2e-6 for i in range(30)]
+        assert np.allclose(tox.risk_gradient(z, is_pos, prior), want, atol=1e-6)
+
+
 def test_toxicity_without_labels(docs, empty):
     labels = docs.select("doc_id", F.lit(None).cast("int").alias("toxic"))
     out = tox.score_documents(docs, tox.fit(docs, labels))
