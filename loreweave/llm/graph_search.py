@@ -140,8 +140,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column:
 
     vectors(key, column); queries has rows of the same kind. Only vectors of equal length are
     compared. Equal vectors are one point of a graph; of each, the k + 1 smallest keys can be asked
-    for, so no more are kept with the point. The number of shards grows with the square root of the
-    number of points, which balances searches per query against the size of a graph.
+    for, so no more are kept with the point; ties go to the smaller key. The number of shards grows with
+    the square root of the number of points, which balances searches per query against the size of a
+    graph. Null keys, and vectors that are null, empty, zero or hold null or non-finite components take no
+    part, as rows or as queries; repeated rows count once; an empty table gives no rows. Other columns
+    are ignored, whatever their names.
     """
     spark, ws = vectors.sparkSession, Workspace(vectors.sparkSession)
     good = valid_vectors(vectors, key, column).select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<float>").alias("v"))
@@ -163,7 +166,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column:
         edges, entry = build_graph(x)
         return pa.Table.from_pylist([{"dim": t.column("dim")[0].as_py(), "shard": t.column("shard")[0].as_py(), "entry": entry, "ids": t.column("point").to_numpy().astype("<i8").tobytes(), "x": x.astype("<f4").tobytes(), "edges": edges.astype("<i4").tobytes()}], schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("entry", pa.int32()), ("ids", pa.binary()), ("x", pa.binary()), ("edges", pa.binary())]))
 
-    graphs = ws.write(sharded.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, entry int, ids binary, x binary, edges binary"), "graphs")
+    # a task per shard and no fewer: building costs far more than the rows weigh
+    spread = sharded.repartition(shards, "dim", "shard")
+    graphs = ws.write(spread.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, entry int, ids binary, x binary, edges binary"), "graphs")
 
     asked = valid_vectors(queries, key, column).select(F.col(key).cast("long").alias("query_id"), F.col(column).cast("array<float>").alias("q")).distinct()
     asked = ws.write(asked.withColumn("dim", F.size("q")), "queries")
@@ -172,28 +177,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column:
     def stack(t: pa.Table) -> pa.Table:
         return pa.Table.from_pylist([{"dim": t.column("dim")[0].as_py(), "block": t.column("block")[0].as_py(), "qids": t.column("query_id").to_numpy().astype("<i8").tobytes(), "q": matrix(t, "q").astype("<f4").tobytes()}], schema=pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("qids", pa.binary()), ("q", pa.binary())]))
 
-    packed = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInArrow(stack, "dim int, block int, qids binary, q binary")
-    # every block of the stated query set goes to every shard
-    tasks = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, ["dim", "shard"])
-
-    def search(t: pa.Table) -> pa.Table:
-        out = []
-        for row in t.to_pylist():
-            ids, dim = np.frombuffer(row["ids"], "<i8"), row["dim"]
-            x, q = np.frombuffer(row["x"], "<f4").reshape(-1, dim), np.frombuffer(row["q"], "<f4").reshape(-1, dim)
-            edges, qids = np.frombuffer(row["edges"], "<i4").reshape(len(ids), -1).astype(np.int64), np.frombuffer(row["qids"], "<i8")
-            found, _ = beam_search(x, edges, row["entry"], q, beam)
-            found = found[:, : 2 * k + 2]  # ordered in single precision; the exact order follows
-            d = x[found].astype(np.float64) - q[:, None, :].astype(np.float64)
-            score = np.sqrt((d * d).sum(2))
-            score[found < 0] = np.inf
-            best = np.lexsort((ids[found], score), axis=1)[:, : k + 1]
-            score, found = np.take_along_axis(score, best, 1), np.take_along_axis(found, best, 1)
-            keep = np.isfinite(score)
-            out.append(pa.table({"query_id": np.repeat(qids, keep.sum(1)), "point": ids[found[keep]], "score": score[keep]}))
-        return pa.concat_tables(out)
-
-    hits = tasks.groupBy("dim", "shard", "block").applyInArrow(search, "query_id long, point long, score double")
+    packed = ws.write(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInArrow(stack, "dim int, block int, qids binary, q binary"), "query-blocks")
+    # every block of the stated query set goes to every shard; a graph moves once and stays while its shard's blocks pass
+    none = F.lit(None).cast("binary")
+    left = graphs.select("dim", "shard", F.lit(-1).alias("block"), "entry", "ids", "x", "edges")
+    right = packed.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", F.lit(0).alias("entry"), F.col("qids").alias("ids"), F.col("q").alias("x"), none.alias("edges"))
+    order = ["dim", "shard", "block"]
+
+    def search(batches):
+        held = None
+        for b in batches:
+            for i in range(b.num_rows):
+                dim, shard, block, entry, ids, x, edges = (c[i].as_py() for c in b.columns)
+                ids, x = np.frombuffer(ids, "<i8"), np.frombuffer(x, "<f4").reshape(-1, dim)
+                if block < 0:
+                    held = dim, shard, entry, ids, x, np.frombuffer(edges, "<i4").reshape(len(ids), -1).astype(np.int64)
+                elif held is not None and held[:2] == (dim, shard):
+                    _, _, start, points_, v, links = held
+                    found, _ = beam_search(v, links, start, x, beam)
+                    # the beam's own order is in single precision; all of it is ordered anew, in parts
+                    for at in range(0, len(ids), 64):
+                        f = found[at : at + 64]
+                        d = v[f].astype(np.float64) - x[at : at + 64, None, :].astype(np.float64)
+                        score = np.sqrt((d * d).sum(2))
+                        score[f < 0] = np.inf
+                        best = np.lexsort((points_[f], score), axis=1)[:, : k + 1]
+                        score, f = np.take_along_axis(score, best, 1), np.take_along_axis(f, best, 1)
+                        keep = np.isfinite(score)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 64], keep.sum(1))), pa.array(points_[f[keep]]), pa.array(score[keep])], names=["query_id", "point", "score"])
+
+    hits = left.unionAll(right).repartition(shards, "dim", "shard").sortWithinPartitions(*order).select(*order, "entry", "ids", "x", "edges").mapInArrow(search, "query_id long, point long, score double")
     # a query's own vector may be among its k + 1 nearest points
     best = Window.partitionBy("query_id").orderBy("score", "point")
     hits = hits.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 1).drop("_r")
@@ -203,5 +216,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column:
 
 
 def op5_graph_search(spark, sf_dir: str) -> DataFrame:
+    """The ten nearest of every row whose vec_id is divisible by 100; nulls, ties and repeats are as nearest has them."""
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))

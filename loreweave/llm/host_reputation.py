@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import read_table
+from .common import BROADCAST_ROWS, Workspace, read_table
 
 #: Suffixes of two labels that count as one, besides the last label of any host.
 WIDE_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
@@ -84,15 +84,18 @@ def _level(counts: DataFrame, key: str, parents: DataFrame | None, up: str | Non
     return base.join(F.broadcast(fit)).select(*counts.columns, (F.col("k") + F.col("s") * F.col("m")).alias("a"), (F.col("n") - F.col("k") + F.col("s") * (1 - F.col("m"))).alias("b"), "s")
 
 
-def reputations(outcomes: DataFrame) -> dict[str, DataFrame]:
-    """Beta posteriors (a, b) by host, domain and suffix of outcomes(host, good 0/1); null outcomes are no evidence."""
+def reputations(outcomes: DataFrame, ws: Workspace) -> dict[str, DataFrame]:
+    """Beta posteriors (a, b) by host, domain and suffix of outcomes(host, good 0/1); null outcomes are no evidence.
+
+    Each level is written before the next one reads it: it is read for its own strength and for the level below.
+    """
     hosts = outcomes.filter("good is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("good").cast("double").alias("k"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    s = _level(suffixes, "suffix", None, None)
-    d = _level(domains, "domain", s, "suffix")
-    return {"suffix": s, "domain": d, "host": _level(hosts, "host", d, "domain")}
+    hosts = ws.write(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
+    domains = ws.write(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
+    suffixes = ws.write(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "suffixes")
+    s = ws.write(_level(suffixes, "suffix", None, None), "suffix-posteriors")
+    d = ws.write(_level(domains, "domain", s, "suffix"), "domain-posteriors")
+    return {"suffix": s, "domain": d, "host": ws.write(_level(hosts, "host", d, "domain"), "host-posteriors")}
 
 
 def upper_bound(a: Column, b: Column, z: float = BOUND_Z) -> Column:
@@ -100,38 +103,57 @@ def upper_bound(a: Column, b: Column, z: float = BOUND_Z) -> Column:
     return mean + z * F.sqrt(mean * (1 - mean) / (a + b + 1))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, floor: float = FLOOR) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, floor: float = FLOOR, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Adds host, path, rule, bound and verdict to pages(url, ...); clashing columns are replaced.
 
-    outcomes(url, good): 1 for a good page, 0 for a bad one. A url that is null or has no `://` has
-    an empty host and path and is judged like any host. Unknown hosts fall back to their domain,
-    then their suffix, and are allowed when nothing is known of either.
+    outcomes(url, good): 1 for a good page, 0 for a bad one, null for none. A url that is null or has no
+    `://` has an empty host and path and is judged like any host. Unknown hosts fall back to their domain,
+    then their suffix, and are allowed when nothing is known of either; a bound at the floor is allowed.
+    Every row is judged for itself, so repeated rows stay as often as they occur; an empty table gives no
+    rows. Judged hosts are broadcast if they are at most broadcast_rows. Beyond that only the hosts of at
+    least a thousandth of all pages are, of which there are at most a thousand, and the pages of the others,
+    none of them hot, meet theirs by a shuffle.
     """
-    known = reputations(outcomes.select(host_of(F.col("url")).alias("host"), F.col("good")))
-    hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    spark, ws = pages.sparkSession, Workspace(pages.sparkSession)
+    known = reputations(outcomes.select(host_of(F.col("url")).alias("host"), F.col("good")), ws)
+    hosts = pages.select(host_of(F.col("url")).alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
+    hosts = ws.write(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "page-hosts")
+    judged = hosts
     for level, post in known.items():
         prior = post.select(F.col(level).alias("_k"), F.col("a").alias(f"a_{level}"), F.col("b").alias(f"b_{level}"), F.col("s").alias(f"s_{level}"))
-        hosts = hosts.join(prior, F.col(level) == F.col("_k"), "left").drop("_k")
+        judged = judged.join(prior, F.col(level) == F.col("_k"), "left").drop("_k")
 
     def shrunk(level: str) -> Column:  # a child without labels: its parent's mean at the strength of that parent's own prior
         mean = F.col(f"a_{level}") / (F.col(f"a_{level}") + F.col(f"b_{level}"))
         return upper_bound(mean * F.col(f"s_{level}"), (1 - mean) * F.col(f"s_{level}"))
 
     bound = F.coalesce(upper_bound(F.col("a_host"), F.col("b_host")), shrunk("domain"), shrunk("suffix"), F.lit(1.0))
-    judged = hosts.select(F.col("host").alias("_h"), bound.alias("bound"))
-    base = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    judged = ws.write(judged.select(F.col("host").alias("_h"), bound.alias("bound"), "pages"), "judged")
+    base = pages.drop("bound").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    n, total = judged.agg(F.count("*"), F.sum("pages")).first()
+    narrow = judged.drop("pages")
+    if n <= broadcast_rows:
+        out = base.join(F.broadcast(narrow), F.col("host") == F.col("_h"))
+    else:
+        hot = F.broadcast(judged.filter(F.col("pages") * 1000 >= total).drop("pages"))
+        out = base.join(hot, F.col("host") == F.col("_h"))
+        cold = base.join(hot, F.col("host") == F.col("_h"), "left_anti").join(narrow.hint("merge"), F.col("host") == F.col("_h"))
+        out = out.unionByName(cold)
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    out = base.join(judged, F.col("host") == F.col("_h"), "left").drop("_h")
-    return out.withColumn("rule", name).withColumn("verdict", F.coalesce(verdict, F.when(F.col("bound") < floor, "block").otherwise("allow")))
+    return out.drop("_h").withColumn("rule", name).withColumn("verdict", F.coalesce(verdict, F.when(F.col("bound") < floor, "block").otherwise("allow")))
 
 
 def op9_host_reputation(spark, sf_dir: str) -> DataFrame:
-    """Every page; its labelled outcome is the quality and toxicity that labels holds under its page_id."""
+    """Every page; its labelled outcome is the quality and toxicity that labels holds under its page_id.
+
+    bound is the posterior bound of the page's host, which decides where no rule does, to six digits. A
+    null page_id has no label; a page_id in several rows, of pages or of labels, counts each pair as an
+    outcome. Null urls, ties and an empty table are as filter_urls has them.
+    """
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0).alias("good"))
     outcomes = pages.join(labels, F.col("page_id") == F.col("_id")).select("url", "good")
-    return filter_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict", F.round("bound", 6).alias("bound"))
 
 
 OP9_SQL = """
@@ -172,6 +194,6 @@ r AS (
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
   FROM p)
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound < 0.5 THEN 'block' ELSE 'allow' END AS verdict
+  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound < 0.5 THEN 'block' ELSE 'allow' END AS verdict, round(bound, 6) AS bound
 FROM r JOIN j USING (host)
 """

@@ -72,13 +72,14 @@ def fractional(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int
     Each configuration rises by its own bottleneck, the least that its lengths may still gain in a
     round, so the number of rounds does not depend on the scarcest length. Lengths that have gained
     all they may leave the dynamic program until the next round; what a round could not cover well is
-    left to the later ones at a higher price.
+    left to the later ones at a higher price, and after the last to rounds of their own, until every
+    length is covered within 1 %.
     """
-    covered, use = np.zeros(len(lengths)), Counter()
-    for r in range(1, rounds + 1):
-        ratio = covered / need
+    covered, use, r, before = np.zeros(len(lengths)), Counter(), 0, -1.0
+    while (ratio := covered / need).min() < 0.99 and (r < rounds or covered.sum() > before):
+        r, before = r + 1, covered.sum()
         value = lengths / capacity * np.exp(-STEP * (ratio - ratio.min()))
-        quota, top, made = r / rounds * need - covered, 0.0, 1
+        quota, top, made = min(r / rounds, 1.0) * need - covered, 0.0, 1
         quota[quota < 1e-9 * need] = 0
         while made and len(open_ := np.flatnonzero(quota)):
             best = _price(value[open_], lengths[open_], capacity)
@@ -123,7 +124,10 @@ def plan_parts(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int
         have = np.flatnonzero(rest)
         use, ratio = fractional(lengths[have], rest[have].astype(float), capacity, rounds)
         scale = 1 / max(float(ratio.mean()), 1e-9)
-        ordered = sorted(use.items(), key=lambda t: (-t[1], t[0]))
+        empty = {c: capacity - sum(a * int(lengths[have[k]]) for k, a in c) for c in use}
+        # what only emptier sequences cover is left to the next program, whose pieces are others
+        full = min(empty.values()) + (SLACK + TIRED) * capacity
+        ordered = sorted(((c, x) for c, x in use.items() if empty[c] <= full), key=lambda t: (-t[1], t[0]))
         got = sum(take(program, have, c, int(x * scale)) for c, x in ordered if x * scale >= 1)
         got += sum(take(program, have, c, 1) for c, _ in ordered)
         if not got:

@@ -101,21 +101,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def op1_spotsigs(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses.
 
-    The next document is found by rank over narrow rows; texts then move once by doc_id, and only
-    the needed start of a text and its fingerprint go on to the document before it.
+    The next document is found by rank over narrow rows, in descending doc_id, then by the texts' hashes;
+    a null doc_id comes last. Texts then move once by the row's number, and only the needed start of a text and its
+    fingerprint go on to the row before it. Rows are told apart by that number, so repeated rows stay as
+    often as they occur and equal ones follow each other. A null text is empty: without signatures, like
+    another empty one and unlike any other. A single row is its own next; an empty table gives no rows.
     """
     ws = Workspace(spark)
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    slim = ws.write(docs.select("doc_id", F.length("text").cast("long").alias("n_chars")), "slim")
-    ordered = numbered(slim.select((-F.col("doc_id")).alias("order"), "n_chars"), ["order"], ws, "ordered")
-    ranked = ws.write(ordered.select((-F.col("order")).alias("doc_id"), "n_chars", "rank"), "ranked")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_row", F.monotonically_increasing_id())
+    slim = ws.write(docs.select("_row", F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), F.xxhash64("text").alias("hash"), F.length("text").cast("long").alias("n_chars")), "slim")
+    ordered = numbered(slim, ["none", "down", "hash", "_row"], ws, "ordered")
+    ranked = ws.write(ordered.select("_row", "n_chars", "rank"), "ranked")
     total = ranked.count()
-    # what each document must send to the one before it in descending order
-    before = ranked.select(F.col("doc_id").alias("to_id"), F.floor(F.col("n_chars") / 3).cast("int").alias("wanted"), F.expr(f"(rank + 1) % {max(total, 1)}").alias("rank"))
-    sends = ranked.select(F.col("doc_id").alias("from_id"), "rank").join(before, "rank").drop("rank")
-    parts = docs.join(sends, F.col("doc_id").eqNullSafe(F.col("from_id")))
-    messages = parts.select("to_id", F.substr("text", F.lit(1), F.col("wanted")).alias("start"), fingerprint(signatures_of(F.col("text"))).alias("next_fp"))
-    own = docs.join(messages, F.col("doc_id").eqNullSafe(F.col("to_id"))).withColumn("n_chars", F.length("text"))
+    # what each row must send to the one before it
+    before = ranked.select(F.col("_row").alias("to_row"), F.floor(F.col("n_chars") / 3).cast("int").alias("wanted"), F.expr(f"(rank + 1) % {max(total, 1)}").alias("rank"))
+    sends = ranked.select(F.col("_row").alias("from_row"), "rank").join(before, "rank").drop("rank")
+    parts = docs.join(sends, F.col("_row") == F.col("from_row"))
+    messages = parts.select("to_row", F.substr("text", F.lit(1), F.col("wanted")).alias("start"), fingerprint(signatures_of(F.col("text"))).alias("next_fp"))
+    own = docs.join(messages, F.col("_row") == F.col("to_row")).withColumn("n_chars", F.length("text"))
     edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")), F.col("start"))
     out = own.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), signatures_of(F.col("text")).alias("sigs"), signatures_of(edited).alias("edited"), signatures_in(F.col("next_fp")).alias("next"))
     return out.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited")).alias("near_edited"), likeness(F.col("sigs"), F.col("next")).alias("near_next"))

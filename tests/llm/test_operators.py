@@ -185,7 +185,7 @@ def test_sequences_come_from_the_program(pieces):
     assert program >= 0.95 * (program + remainder) and whole + program + remainder <= 1.001 * bound + 3
 
 
-def test_the_program_covers_the_lengths_well():
+def test_the_program_covers_every_length():
     lengths, need = np.arange(1, 1024), np.random.default_rng(4).integers(1, 400, 1023).astype(float)
     use, ratio = pk.fractional(lengths, need, 1024)
     covered = np.zeros(1023)
@@ -193,8 +193,8 @@ def test_the_program_covers_the_lengths_well():
         assert sum(int(lengths[k]) * a for k, a in items) <= 1024
         for k, a in items:
             covered[k] += x * a
-    assert np.allclose(covered / need, ratio) and ratio.max() < 1 + 1e-6 and (lengths * covered).sum() > 0.97 * (lengths * need).sum()
-    assert sum(use.values()) < 1.01 * (lengths * covered).sum() / 1024
+    assert np.allclose(covered / need, ratio) and ratio.max() < 1 + 1e-6 and ratio.min() >= 0.99
+    assert sum(use.values()) < 1.05 * (lengths * covered).sum() / 1024
 
 
 def test_one_more_shard_takes_rows_only_into_itself(spark):
@@ -292,3 +292,98 @@ def test_toxicity_without_labels(docs, empty):
     out = tox.score_documents(docs, tox.fit(docs, labels))
     assert out.count() == len(TEXTS) and "source" in out.columns
     assert tox.score_documents(empty, tox.fit(empty, labels)).count() == 0
+
+
+def written(spark, folder, rows):
+    spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+ODD = [(3, "the cat sat on the mat"), (3, "the cat sat on the mat"), (None, "of mice and men"), (None, None), (5, None), (7, ""), (8, "the cat sat"), (2, "a" * 5000 + " the end of it")]
+
+
+def test_fingerprints_of_repeated_rows(spark, tmp_path):
+    got = registry.queries()["op1_spotsigs"](spark, written(spark, tmp_path, ODD)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in ODD)
+    by = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    texts = [t or "" for _, t in sorted(((i, t) for i, t in ODD if i is not None), key=lambda x: -x[0])]
+    assert by[8]["edited_sha256"] == __import__("hashlib").sha256(texts[0][: len(texts[0]) - len(texts[0]) // 3].encode() + texts[1][: len(texts[0]) // 3].encode()).hexdigest()
+    assert sum(r["near_next"] == 1.0 for r in got if r["doc_id"] == 3) >= 1 and by[7]["fingerprint"] == "" and by[7]["near_next"] == 1.0
+
+
+@pytest.mark.parametrize("name", ["op1_spotsigs", "op2_super_kmers", "op4_best_fit_packing", "op6_rendezvous", "op7_mixing", "op8_simple8b", "op10_jaccard_join"])
+def test_queries_of_odd_and_of_no_rows(spark, tmp_path, name):
+    query = registry.queries()[name]
+    got = query(spark, written(spark, tmp_path / "a", ODD)).collect()
+    assert Counter(r["doc_id"] for r in got if name[:4] != "op4_" or r["piece"] == 0) == Counter(i for i, _ in ODD)
+    assert query(spark, written(spark, tmp_path / "b", [])).count() == 0
+
+
+def test_shards_against_brute_force(spark, tmp_path):
+    got = registry.queries()["op6_rendezvous"](spark, written(spark, tmp_path, ODD)).collect()
+    for i, t in ODD:
+        raw = (t or "").encode()
+        assert any(r["doc_id"] == i and r["size"] == len(raw) + 16 and r["text_crc32"] == zlib.crc32(raw) for r in got)
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        assert r["grown_shard"] in (r["shard"], 40)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_pieces_against_brute_force(spark, tmp_path):
+    rows = [*ODD, (9, "word " * 3000)]
+    e, pieces = tk.encoder(), Counter()
+    for r in registry.queries()["op4_best_fit_packing"](spark, written(spark, tmp_path, rows)).collect():
+        pieces[r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]] += 1
+    want = Counter()
+    for i, t in rows:
+        ids, start, k = e.encode([t])[0] + np.array([2], "<u4").tobytes(), 0, 0
+        while start < len(ids) // 4:
+            n = (len(ids) // 4 - start - 1) % 1024 + 1
+            want[i, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])] += 1
+            start, k = start + n, k + 1
+    assert pieces == want
+
+
+def test_mix_against_its_contract(spark, tmp_path):
+    rows = [(i, " ".join(R.choice(VOCAB) for _ in range(R.randrange(0, 400))), f"s{i % 4}") for i in range(300)] + [(1, "a b c", None), (1, "a b c", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["op7_mixing"](spark, str(tmp_path)).collect()
+    again = registry.queries()["op7_mixing"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(rows)
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    goal = dict(zip(names, mx.targets([sizes[s] for s in names], [mx.WEIGHTS[k % 3] for k in range(5)], 1.5 * sum(sizes.values()))))
+    assert Counter((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6)) for r in got) == Counter((i, len(t.split()), sizes[s], round(goal[s], 6)) for i, t, s in rows)
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    for total, target in {(r["source_size"], r["target"]) for r in got}:
+        taken = sum(r["taken"] for r in got if r["source_size"] == total)
+        assert abs(taken - target) <= max(2 * mx.BLOCK_WORDS, 0.02 * target)
+
+
+def test_hosts_are_blocked_with_and_without_a_broadcast(spark):
+    pages = spark.createDataFrame([(i, f"x://{'bad' if i % 3 else 'good'}.net/{i}") for i in range(90)] + [(None, None), (4, "x://bad.net/4")], "page_id long, url string")
+    seen = spark.createDataFrame([("x://bad.net/1", 0)] * 60 + [("x://good.net/1", 1)] * 60, "url string, good int")
+    one = sorted(hr.filter_urls(pages, seen).collect(), key=str)
+    assert one == sorted(hr.filter_urls(pages, seen, broadcast_rows=0).collect(), key=str) and len(one) == 92
+    assert Counter(r["verdict"] for r in one) == {"block": 61, "allow": 31}
+
+
+def test_recall_of_the_registered_search(spark):
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no tables")
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    found = {}
+    for r in registry.queries()["op5_graph_search"](spark, d).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q, got in found.items():
+        dist = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        dist[ids == q] = np.inf
+        hits += len(got & set(ids[np.lexsort((ids, dist))[:10]].tolist()))
+    assert len(found) == sum(i % 100 == 0 for i in ids) and hits >= 0.9 * 10 * len(found)
