@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loreweave.llm import common, jaccard_join, mixing, packing, substrings, toxicity
@@ -55,10 +53,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written and read again."""
-    root = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    ws = common.Workspace(spark)  # its tables go when the driver program ends
     docs = common.read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{root}/{k}")
-        docs = spark.read.schema(out.schema).parquet(f"{root}/{k}")
+        docs = ws.write(stage(spark, docs, sf_dir), f"stage-{k}")
     return docs

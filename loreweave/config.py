@@ -25,6 +25,7 @@ class Config:
     dimension: int = 512
     max_tokens: int = 4096
     overlap: int = 10
+    progress_lines: int = 1_000_000
     seed: int = 0
     probes: int = 150
     lists: int = 3464

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 BLANKS = "[ \\t\\n\\r]+"
@@ -18,11 +20,23 @@ def window_starts(n: Column, size: int, overlap: int) -> Column:
     return F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride))
 
 
-def chunks(text: Column, size: int, overlap: int = 10) -> Column:
-    """Overlapping token windows. At most `size` tokens: the text itself; the last windows may lie inside the one before."""
-    words = tokens(text)
-    cut = F.transform(window_starts(F.size(words), size, overlap), lambda s: F.array_join(F.slice(words, s + 1, F.lit(size)), " "))
-    return F.when(F.size(words) <= size, F.array(text)).otherwise(cut)
+def joined(words: Column) -> Column:
+    return F.array_join(words, " ")
+
+
+def chunks(text: Column, size: int, overlap: int = 10, tokenize: Callable[[Column], Column] = tokens, detokenize: Callable[[Column], Column] = joined) -> Column:
+    """Overlapping token windows. At most `size` tokens: the text itself; the last windows may lie inside the one before.
+
+    tokenize makes an array of a text, detokenize a text of such an array: functions of columns, built-in ones or
+    a tokenizer's in a Pandas UDF. A null text is one null chunk.
+    """
+
+    def cut(words: Column) -> Column:
+        parts = F.transform(window_starts(F.size(words), size, overlap), lambda s: detokenize(F.slice(words, s + 1, F.lit(size))))
+        return F.when(F.size(words) <= size, F.array(text)).otherwise(parts)
+
+    # the words are bound once, as the element of a one-row array, and not split anew for each window
+    return F.element_at(F.transform(F.array(tokenize(text)), cut), 1)
 
 
 #: Markup that goes, in this order: comments, tables, references, templates, files, tags; then links and emphasis keep their text.

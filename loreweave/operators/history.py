@@ -10,6 +10,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
+from ..shared import numbered
 
 
 def latest_dump_date(history: DataFrame, service: str, status: str = schemas.DUMP_LINK_UPDATED) -> DataFrame:
@@ -27,11 +28,9 @@ def run_exists(history: DataFrame, run_id: int) -> DataFrame:
 
 
 def batch_averages(ticks: DataFrame, interval: int, order: str, value: str) -> DataFrame:
-    """Means of each `interval` consecutive ticks; a last partial group gives none. One run's ticks are few: a row a batch."""
-    from pyspark.sql import Window
-
-    numbered = ticks.withColumn("_g", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / interval))
-    return numbered.groupBy(F.col("_g").cast("long").alias("batch_group")).agg(F.avg(value).alias("average"), F.count("*").alias("_n")).filter(F.col("_n") == interval).drop("_n")
+    """Means of each `interval` consecutive ticks; a last partial group gives none."""
+    grouped = numbered(ticks, order).groupBy(F.expr(f"row_no div {interval}").cast("long").alias("batch_group"))
+    return grouped.agg(F.avg(value).alias("average"), F.count("*").alias("_n")).filter(F.col("_n") == interval).drop("_n")
 
 
 def run_fingerprint(files: list[str]) -> int:

@@ -1,8 +1,8 @@
-"""The chunk store: Parquet partitioned by source, replaced article by article without a gap.
+"""The chunk store: Parquet in parts by source and bucket of pids, replaced article by article without a gap.
 
-Each write makes a new version folder and then moves a one-line pointer, so readers see all of an
-article's old chunks or all of its new ones. Partitions that a write does not touch are not copied:
-the pointer names the version that holds each source.
+Each write makes a new version folder and then a new one-line pointer, so readers see all of an
+article's old chunks or all of its new ones. Parts that a write does not touch are not copied: the
+pointer names the version that holds each part.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas
 
@@ -59,65 +59,106 @@ def retrieve(store: DataFrame, title: str, source: str = "enwiki") -> DataFrame:
 
 
 class ChunkStore:
-    """The store in a folder that all executors share."""
+    """The store in a folder that all executors share.
+
+    POINTER-<n> files name, for each part (source and bucket of pids), the version folder that holds it; the
+    highest n that is complete counts, so there is a store at any time. A writer makes pointer n + 1 only if
+    nobody else has. The last KEPT pointers and what they name stay; older versions go.
+    """
+
+    KEPT = 3
+    BUCKETS = 16
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/CURRENT")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path, jvm
-
-    def _pointer(self) -> dict[str, str]:
-        fs, path, jvm = self._fs()
-        if not fs.exists(path):
-            return {}
-        rows = self.spark.read.text(f"{self.folder}/CURRENT").collect()  # one line
-        return json.loads(rows[0][0]) if rows else {}
-
-    def _point(self, to: dict[str, str]) -> None:
-        fs, path, jvm = self._fs()
-        draft = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/.next-{uuid.uuid4().hex}")
-        out = fs.create(draft, True)
+        root = jvm.org.apache.hadoop.fs.Path(self.folder)
+        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), root, jvm.org.apache.hadoop.fs.Path
+
+    def _pointers(self) -> list[tuple[int, dict[str, str]]]:
+        """(number, part -> version) of the complete pointers, ascending: KEPT of them or a few more."""
+        fs, root, path = self._fs()
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        found = []
+        for name in sorted(n for n in names if n.startswith("POINTER-")):
+            text = "".join(r[0] for r in self.spark.read.text(f"{self.folder}/{name}").collect())  # one line
+            try:
+                found.append((int(name[8:]), json.loads(text)))
+            except ValueError:  # its writer has not finished
+                continue
+        return found
+
+    def _pointer(self) -> tuple[int, dict[str, str]]:
+        found = self._pointers()
+        return found[-1] if found else (0, {})
+
+    def _point(self, number: int, to: dict[str, str]) -> None:
+        fs, _, path = self._fs()
+        out = fs.create(path(f"{self.folder}/POINTER-{number:012d}"), False)  # fails if another writer was first
         out.write(bytearray(json.dumps(to).encode()))
         out.close()
-        fs.delete(path, False)
-        fs.rename(draft, path)
+
+    def _clean(self) -> None:
+        fs, root, path = self._fs()
+        found = self._pointers()
+        kept = found[-self.KEPT :]
+        named = {v for _, parts in kept for v in parts.values()}
+        gone = {v for _, parts in found[: -self.KEPT] for v in parts.values()} - named
+        for n, _ in found[: -self.KEPT]:
+            fs.delete(path(f"{self.folder}/POINTER-{n:012d}"), False)
+        for version in gone:
+            fs.delete(path(f"{self.folder}/{version}"), True)
+
+    def _parts(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_source", F.coalesce("source", F.lit("__null__"))).withColumn("_bucket", F.pmod(F.xxhash64("pid"), F.lit(self.BUCKETS)).cast("int"))
+
+    def _touched(self, rows: DataFrame) -> list[tuple[str, int]]:
+        return [(r[0], r[1]) for r in self._parts(rows.select("pid", "source")).select("_source", "_bucket").distinct().collect()]  # BUCKETS for each source at most
+
+    def _read(self, pointer: dict[str, str], only: list[tuple[str, int]] | None = None) -> DataFrame:
+        """Rows of all parts, or of some; parts not asked for are not read."""
+        wanted = None if only is None else {f"{s}/{b}" for s, b in only}
+        by_version: dict[str, list[str]] = {}
+        for part, version in pointer.items():
+            if wanted is None or part in wanted:
+                by_version.setdefault(version, []).append(part)
+        out = None
+        schema = T.StructType([*[f for f in schemas.CHUNKS.fields if f.name != "source"], T.StructField("_source", T.StringType()), T.StructField("_bucket", T.IntegerType())])
+        for version, parts in sorted(by_version.items()):
+            rows = self.spark.read.schema(schema).parquet(f"{self.folder}/{version}")
+            keep = F.lit(False)
+            for source in sorted({p.rsplit("/", 1)[0] for p in parts}):
+                keep = keep | ((F.col("_source") == source) & F.col("_bucket").isin([int(p.rsplit("/", 1)[1]) for p in parts if p.rsplit("/", 1)[0] == source]))
+            rows = rows.filter(keep).withColumn("source", F.when(F.col("_source") != "__null__", F.col("_source")))
+            out = rows if out is None else out.unionByName(rows)
+        return self.spark.createDataFrame([], schemas.CHUNKS) if out is None else out.select(*COLUMNS)
 
     def read(self) -> DataFrame:
-        parts = [f"{self.folder}/{version}/source={source}" for source, version in sorted(self._pointer().items())]
-        if not parts:
-            return self.spark.createDataFrame([], schemas.CHUNKS)
-        frames = []
-        for source, version in sorted(self._pointer().items()):
-            rows = self.spark.read.schema(schemas.CHUNKS).parquet(f"{self.folder}/{version}/source={source}")
-            frames.append(rows.withColumn("source", F.lit(None if source == "__null__" else source).cast("string")))
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out.select(*COLUMNS)
-
-    def _write(self, rows: DataFrame, touched: list[str]) -> None:
+        return self._read(self._pointer()[1])
+
+    def _write(self, number: int, pointer: dict[str, str], rows: DataFrame, touched: list[tuple[str, int]]) -> None:
         version = f"v-{uuid.uuid4().hex}"
-        named = F.coalesce(F.col("source"), F.lit("__null__"))
-        current = self._pointer()
-        for source in touched:  # a few sources
-            own = rows.filter(named == source).drop("source").repartitionByRange("pid").sortWithinPartitions("pid", "chunk_index")
-            own.write.parquet(f"{self.folder}/{version}/source={source}")
-        self._point(current | {s: version for s in touched})
+        own = self._parts(rows).drop("source").repartitionByRange("_source", "_bucket", "pid").sortWithinPartitions("_source", "_bucket", "pid", "chunk_index")
+        own.write.partitionBy("_source", "_bucket").parquet(f"{self.folder}/{version}")
+        self._point(number + 1, pointer | {f"{s}/{b}": version for s, b in touched})
+        self._clean()
 
     def upsert(self, incoming: DataFrame) -> None:
-        touched = [r[0] or "__null__" for r in incoming.select("source").distinct().collect()]
+        """Puts each incoming article in place of its old chunks; only the parts that hold such articles are written anew."""
+        touched = self._touched(incoming)
         if touched:
-            self._write(upsert(self.read(), incoming.select(*COLUMNS)), touched)
+            number, pointer = self._pointer()
+            self._write(number, pointer, upsert(self._read(pointer, touched), incoming.select(*COLUMNS)), touched)
 
     append = upsert
 
     def delete(self, keys: DataFrame) -> None:
-        touched = [r[0] or "__null__" for r in keys.select("source").distinct().collect() if (r[0] or "__null__") in self._pointer()]
+        number, pointer = self._pointer()
+        touched = [(s, b) for s, b in self._touched(keys) if f"{s}/{b}" in pointer]
         if touched:
-            self._write(without_articles(self.read(), keys), touched)
+            self._write(number, pointer, without_articles(self._read(pointer, touched), keys), touched)
 
 
 def size_by_source(store: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import text as tx, vectors as vc
 from ..operators import history as hs, pages as pg, search as sr, store as st
 from ..operators.chunking import chunk_rows
+from ..shared import scratch
 from ..sources import dumps as dp, index as ix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,7 +79,7 @@ def offset_ranges(spark, d):
 
 @query("WITH r AS (SELECT value, (row_number() OVER (ORDER BY event_id) - 1) // 20 AS g FROM events) SELECT g::BIGINT AS batch_group, round(avg(value), 6) AS average FROM r GROUP BY g HAVING count(*) = 20")
 def batch_average(spark, d):
-    return hs.batch_averages(table(spark, d, "events"), 20, "event_id", "value").select("batch_group", F.round("average", 6).alias("average"))
+    return hs.batch_averages(table(spark, d, "events").select("event_id", "value"), 20, "event_id", "value").select("batch_group", F.round("average", 6).alias("average"))
 
 
 @query("""WITH i AS (SELECT user_id, event_type, max(ts) AS ts FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1, 2), s AS (SELECT user_id, event_type, ts FROM events WHERE ts < TIMESTAMP '2024-01-20')
@@ -101,20 +102,9 @@ def article_filter(spark, d):
     return pg.articles(pg.parse_pages(pg.split_pages(xml).withColumn("page", F.concat(F.lit("<page>"), "page", F.lit("</page>"))))).select("pid", "name", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
-@query("""WITH i AS (SELECT doc_id::INT AS pid, source, n_chars + 1 AS n FROM documents WHERE doc_id % 3 = 0 AND doc_id < 300), s AS (SELECT doc_id::INT AS pid, source, n_chars AS n FROM documents WHERE doc_id < 200)
-SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.pid = s.pid AND i.source IS NOT DISTINCT FROM s.source) UNION ALL SELECT * FROM i""")
-def upsert_by_key(spark, d):
-    def rows(df, n):
-        return df.select(F.col("doc_id").cast("int").alias("pid"), "source", F.lit(1).alias("chunk_index"), F.lit(None).cast("timestamp").alias("last_modified_date"), n.alias("n"))
-
-    docs = table(spark, d, "documents")
-    out = st.upsert(rows(docs.filter("doc_id < 200"), F.col("n_chars")), rows(docs.filter("doc_id % 3 = 0 and doc_id < 300"), F.col("n_chars") + 1))
-    return out.select("pid", "source", "n")
-
-
 @query("""WITH s AS (SELECT doc_id::INT AS pid, CASE WHEN lang <> 'de' THEN source END AS source, n_chars AS n, lang FROM documents), i AS (SELECT pid, source, n + 1 AS n FROM s WHERE lang IN ('de', 'en'))
 SELECT pid, source, n FROM s WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.pid = s.pid AND i.source IS NOT DISTINCT FROM s.source) UNION ALL SELECT * FROM i""")
-def upsert_all(spark, d):
+def upsert_by_key(spark, d):
     """The whole table is the store; the articles of two languages come in anew, those of one of them under a null source."""
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("int").alias("pid"), F.when(F.col("lang") != "de", F.col("source")).alias("source"), F.lit(1).alias("chunk_index"), F.lit(None).cast("timestamp").alias("last_modified_date"), F.col("n_chars").alias("n"), "lang")
     incoming = docs.filter(F.col("lang").isin("de", "en")).withColumn("n", F.col("n") + 1)
@@ -135,13 +125,8 @@ def retrieve_by_title(spark, d):
     return lines.join(F.broadcast(st.pid_of_title(part, title, "enwiki")), "pid", "left_semi").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("SELECT event_id, user_id, event_type, ts FROM events ORDER BY event_id DESC LIMIT 50")
-def run_history_desc(spark, d):
-    return hs.newest_first(table(spark, d, "events").withColumn("id", F.col("event_id"))).limit(50).select("event_id", "user_id", "event_type", "ts")
-
-
 @query("SELECT event_id, user_id, event_type, ts FROM events ORDER BY event_id DESC")
-def run_history_all(spark, d):
+def run_history_desc(spark, d):
     return hs.newest_first(table(spark, d, "events").withColumn("id", F.col("event_id"))).select("event_id", "user_id", "event_type", "ts")
 
 
@@ -161,11 +146,13 @@ def url_rewrite_filename(spark, d):
     return table(spark, d, "pages").select("page_id", tx.https_url(F.col("url")).alias("secure_url"), tx.file_name(F.col("url")).alias("file_name"))
 
 
-@query("SELECT * FROM (VALUES ('/d/enwiki-p1.xml.bz2', '/d/enwiki-p-index1.txt.bz2'), ('/d/frwiki.xml.bz2', '/d/frwiki-index.txt.bz2')) t(dump, path)")
+@query("""SELECT '/d/' || lower(n_name) || n_nationkey || '.xml.bz2' AS dump, '/d/' || lower(n_name) || '-index' || n_nationkey || '.txt.bz2' AS path FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'""")
 def dump_pairing(spark, d):
-    names = ["/d/enwiki-p-index1.txt.bz2", "/d/frwiki-index.txt.bz2", "/d/frwiki-index.txt.bz2:Zone.Identifier", "/d/lone-index.txt.bz2"]
-    i = spark.createDataFrame([(n, n.rsplit("/", 1)[-1], 1) for n in names], "path string, name string, length long")
-    x = spark.createDataFrame([("/d/enwiki-p1.xml.bz2", 5), ("/d/frwiki.xml.bz2", 6)], "path string, length long")
+    """An index for each nation, beside side files of the same names; dumps for those outside one region."""
+    nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    sides = nations.withColumn("end", F.explode(F.array(F.lit(".txt.bz2"), F.lit(".txt.bz2:Zone.Identifier"))))
+    i = sides.select(F.concat(F.lit("/d/"), F.lower("n_name"), F.lit("-index"), "n_nationkey", "end").alias("path")).select("path", tx.file_name(F.col("path")).alias("name"))
+    x = nations.filter("r_name <> 'ASIA'").select(F.concat(F.lit("/d/"), F.lower("n_name"), F.col("n_nationkey"), F.lit(".xml.bz2")).alias("path"), F.lit(1).cast("long").alias("length"))
     return ix.pair_dumps(i, x).select("dump", "path")
 
 
@@ -198,10 +185,12 @@ def run_fingerprint(spark, d):
     return joined.select(F.conv(F.substring(F.sha2(F.col("j").cast("binary"), 256), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(2147483647)).alias("run_id"))
 
 
-@query("SELECT 'bbb' AS checksum")
+@query("SELECT md5(text) AS checksum FROM documents WHERE contains(lang || '-' || source, (SELECT max(source) FROM documents)) ORDER BY doc_id LIMIT 1")
 def checksum_lookup(spark, d):
-    lines = spark.createDataFrame([(1, "aaa  other.bz2"), (2, "bbb  dump.xml.bz2.part"), (3, "ccc  dump.xml.bz2")], "line_no int, value string")
-    return dp.checksum_for(lines, F.lit("dump.xml.bz2"))
+    """A list with a line per document: the hash of its text, then its language and source as a file name."""
+    docs = table(spark, d, "documents")
+    lines = docs.select(F.col("doc_id").alias("line_no"), F.concat(F.md5(F.col("text").cast("binary")), F.lit("  "), "lang", F.lit("-"), "source").alias("value"))
+    return dp.checksum_for(lines, F.lit(docs.agg(F.max("source")).first()[0]))  # one name
 
 
 @query("SELECT doc_id, text AS content, source, NULL::VARCHAR AS last_modified_date, true AS keeps_nulls FROM documents")
@@ -216,11 +205,14 @@ def size_by_source(spark, d):
     return st.size_by_source(table(spark, d, "documents").withColumn("pid", F.col("doc_id"))).select(F.coalesce("source", F.lit("")).alias("source"), "chunks", "articles")
 
 
-@query("SELECT DISTINCT 'https://x/enwiki.bz2' AS link, 'Mon, 01 Jan 2024 00:00:00 GMT' AS published, true AS is_new FROM region")
+@query("SELECT page_id, url AS link, 'day ' || (page_id // 100) AS published, page_id // 100 <> 0 AS is_new FROM pages")
 def feed_check(spark, d):
-    xml = '<rss><channel><item><description>&lt;a href="https://x/enwiki.bz2"&gt;f&lt;/a&gt;</description><pubDate>Mon, 01 Jan 2024 00:00:00 GMT</pubDate></item></channel></rss>'
-    x = spark.createDataFrame([(xml,)], "x string")
-    return x.select(dp.feed_link(F.col("x")).alias("link"), dp.feed_date(F.col("x")).alias("published"), dp.is_new(dp.feed_date(F.col("x")), F.lit("Sun")).alias("is_new"))
+    """A feed for each page that links to its url, dated by its id; the first days' feeds are known."""
+    url = F.replace(F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    day = F.concat(F.lit("day "), F.expr("page_id div 100"))
+    xml = F.concat(F.lit('<rss><channel><item><description>&lt;p&gt;&lt;a class="x" href="'), url, F.lit('"&gt;f&lt;/a&gt;</description><pubDate>'), day, F.lit("</pubDate></item><item><description>other</description></item></channel></rss>"))
+    feeds = table(spark, d, "pages").select("page_id", xml.alias("x"))
+    return feeds.select("page_id", dp.feed_link(F.col("x")).alias("link"), dp.feed_date(F.col("x")).alias("published"), dp.is_new(dp.feed_date(F.col("x")), F.lit("day 0")).alias("is_new"))
 
 
 @query("SELECT doc_id, text AS plain FROM documents")
@@ -246,10 +238,7 @@ def embedding_codec(spark, d):
 @query("""SELECT vec_id, round(s, 6) AS similarity FROM (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q) ORDER BY s DESC, vec_id LIMIT 10""")
 def ivf_topk(spark, d):
     """With as many probes as lists the inverted lists give the exact answer."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
     e = table(spark, d, "embeddings")
-    lists = sr.InvertedLists(e, f"{base.rstrip('/')}/lists-{uuid.uuid4().hex}", 8)
+    lists = sr.InvertedLists(e, scratch(spark, "lists"), 8)
     q = e.filter("vec_id = 1").select("embedding").first()[0]
     return lists.search(q, 10, probes=8, ties=("vec_id",)).select("vec_id", F.round("similarity", 6).alias("similarity"))

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..config import Config
-from ..functions.text import source_of
+from ..functions.text import joined, source_of, tokens
 from ..functions.vectors import RandomEmbedder, embed_with, query_text
 from ..operators import history as hs, pages as pg, search as sr, store as st
 from ..operators.chunking import chunk_rows
 from ..sources import index as ix
-from ..sources.multistream import read_pages
+from ..shared import scratch
+from ..sources.multistream import pages_of
 from ..streaming import stages
 
 
@@ -43,24 +44,44 @@ class Dumps:
     def fingerprint(self, spark: SparkSession) -> int:
         return hs.run_fingerprint([r[k].removeprefix("file:") for r in self._pairs(spark) for k in ("path", "dump")])
 
+    def ranges(self, spark: SparkSession) -> DataFrame:
+        """path (of the index), dump, name, line_no, start, end of all dumps."""
+        pairs = self._pairs(spark)  # a row per index file
+        of = spark.createDataFrame([(r["path"], r["dump"], r["name"]) for r in pairs], "path string, dump string, name string")
+        lines = ix.parse_lines(ix.read_index(spark, *[r["path"] for r in pairs]))
+        return ix.byte_ranges(lines, by="path").join(F.broadcast(of), "path")
+
+    def pages_of(self, ranges: DataFrame) -> DataFrame:
+        """Parsed pages. Ranges that cannot be read give no pages."""
+        spark = ranges.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        raw = pages_of(ranges.repartition(parts, "dump", "start")).filter("page is not null")
+        if self.config.debug_pages:
+            pg.debug_pages(raw, f"{self.config.work_folder}/debug_extracted_pages")
+        return pg.parse_pages(raw, source=source_of(F.element_at(F.split("path", "/"), -1)))
+
     def pages(self, spark: SparkSession) -> DataFrame:
-        """Parsed pages of all dumps. Ranges that cannot be read give no pages; see errors()."""
-        out = None
-        for r in self._pairs(spark):
-            ranges = ix.byte_ranges(ix.parse_lines(ix.read_index(spark, r["path"]))).orderBy("line_no").collect()  # a range holds many pages
-            raw = read_pages(spark, r["dump"], [(x["start"], x["end"]) for x in ranges])
-            if self.config.debug_pages:
-                pg.debug_pages(raw.filter("page is not null"), f"{self.config.work_folder}/debug_extracted_pages")
-            one = pg.parse_pages(raw.filter("page is not null"), source=source_of(F.lit(r["name"])))
-            out = one if out is None else out.unionByName(one)
-        return out if out is not None else pg.parse_pages(spark.createDataFrame([], "page string"))
+        return self.pages_of(self.ranges(spark))
+
+    def batches(self, spark: SparkSession, progress: ix.Progress, run_id: int) -> Iterator[tuple[DataFrame, DataFrame]]:
+        """(pages, lines read of each file) of so many index lines of every file at a time, from where the run has stopped."""
+        step = self.config.progress_lines
+        todo = self.ranges(spark).join(F.broadcast(progress.load(run_id)), "path", "left")  # a row per index file
+        todo = ix.after_progress(todo, F.coalesce("lines", F.lit(0)), by="path").withColumn("batch", F.expr(f"line_no div {step}")).drop("lines")
+        folder = scratch(spark, "ranges")
+        todo.write.partitionBy("batch").parquet(folder)
+        todo = spark.read.schema(todo.schema).parquet(folder)
+        for (batch,) in todo.select("batch").distinct().orderBy("batch").collect():  # one per `step` lines of the longest file
+            some = todo.filter(F.col("batch") == batch)
+            yield self.pages_of(some), some.groupBy("path").agg(F.max("line_no").alias("lines"))
 
 
 class Service:
     """One run at a time, in stages that resume from their checkpoints."""
 
-    def __init__(self, spark: SparkSession, config: Config, source: Knowledge | None = None, embed: Callable[[Column], Column] | None = None):
+    def __init__(self, spark: SparkSession, config: Config, source: Knowledge | None = None, embed: Callable[[Column], Column] | None = None, tokenize: Callable[[Column], Column] = tokens, detokenize: Callable[[Column], Column] = joined):
         self.spark, self.config, self.source = spark, config, source or Dumps(config)
+        self.tokenize, self.detokenize = tokenize, detokenize
         dimension, seed = config.dimension, config.seed
         self.embed = embed or embed_with(lambda: RandomEmbedder(dimension, seed), config.batch_size)
         w = config.work_folder
@@ -78,9 +99,13 @@ class Service:
 
     def _wait(self, query) -> int:
         self._active.append(query)
-        query.awaitTermination()
+        rows: dict[int, int] = {}
+        over = False
+        while not over:  # Spark keeps the last progress reports only, so they are looked at again and again
+            over = query.awaitTermination(0.5)
+            rows.update((p["batchId"], p["numInputRows"]) for p in query.recentProgress if p["numInputRows"])
         self._active.remove(query)
-        return sum(p["numInputRows"] for p in query.recentProgress)
+        return sum(rows.values())
 
     def run(self, run_id: int | None = None) -> int | None:
         """Ingests, processes and stores; returns the run's id, or None when a run is on already."""
@@ -93,13 +118,15 @@ class Service:
             again = not hs.run_exists(self.history.read(), run_id).isEmpty()
             log(run_id, name, schemas.RUN_CONTINUED if again else schemas.RUN_STARTED)
             if c.ingest and not self._stop.is_set():
-                fresh = pg.clean(st.stale(pg.articles(self.source.pages(self.spark)), st.complete(self.store.read())))
-                n = stages.write_raw(chunk_rows(fresh, c.max_tokens, c.overlap), f"{w}/raw")
+                log(run_id, name, schemas.INGESTION_STARTED)
+                n = self._ingest(run_id)
                 log(run_id, name, schemas.INGESTION_COMPLETED, {"count": n, "msg": "articles"})
             if c.process and not self._stop.is_set():
+                log(run_id, name, schemas.PROCESSING_STARTED)
                 n = self._wait(stages.process_stream(self.spark, f"{w}/raw", f"{w}/processed", f"{w}/checkpoint-process", self.embed))
                 log(run_id, name, schemas.PROCESSING_COMPLETED, {"count": n, "msg": "messages"})
             if c.store and not c.skip_store and not self._stop.is_set():
+                log(run_id, name, schemas.STORING_STARTED)
                 timer = stages.BatchTimer(self.history, run_id, name, c.average_interval)
                 n = self._wait(stages.store_stream(self.spark, f"{w}/processed", self.store, f"{w}/checkpoint-store", c.dimension, on_batch=timer))
                 log(run_id, name, schemas.STORING_COMPLETED, {"count": n, "msg": "messages"})
@@ -108,6 +135,21 @@ class Service:
         finally:
             self._lock.release()
 
+    def _ingest(self, run_id: int) -> int:
+        """Articles written to the first stage. A source with batches saves its progress after each, and a run that is taken up again goes on there."""
+        c, w = self.config, self.config.work_folder
+        progress = ix.Progress(self.spark, f"{w}/progress")
+        parts = self.source.batches(self.spark, progress, run_id) if hasattr(self.source, "batches") else [(self.source.pages(self.spark), None)]
+        count = 0
+        for pages, done in parts:
+            if self._stop.is_set():
+                break
+            fresh = pg.clean(st.stale(pg.articles(pages), st.complete(self.store.read())))
+            count += stages.write_raw(chunk_rows(fresh, c.max_tokens, c.overlap, tokenize=self.tokenize, detokenize=self.detokenize), f"{w}/raw")
+            if done is not None:
+                progress.save(run_id, done)
+        return count
+
     def search(self, query: str, limit: int = 10) -> DataFrame:
         """name, content, chunk_index, similarity of the nearest chunks."""
         vector = self.spark.createDataFrame([(query_text(query),)], "q string").select(self.embed(F.col("q"))).first()[0]

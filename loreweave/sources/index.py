@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .multistream import IndexSource
+
 INDEX_NAME = r"^(.+)-index(\d*)\.txt\.bz2$"
 
 
@@ -59,13 +63,33 @@ def byte_ranges(lines: DataFrame, by: str | None = None, order: str = "line_no")
     return first.select(*keys, order, F.col("offset").alias("start"), F.lead("offset").over(w).alias("end"))
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """value, line_no (from 1) of one compressed index."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "value"))
-    return lines.filter("value <> ''").select("value", (F.col("pos") + 1).alias("line_no"))
+def read_index(spark: SparkSession, *paths: str) -> DataFrame:
+    """path, line_no (from 1), value of compressed indexes; empty lines go."""
+    spark.dataSource.register(IndexSource)
+    return spark.read.format("multistream_index").option("paths", json.dumps(paths)).load()
 
 
-def after_progress(ranges: DataFrame, progress: int, order: str = "line_no") -> DataFrame:
+def after_progress(ranges: DataFrame, progress: int | Column, order: str = "line_no", by: str | None = None) -> DataFrame:
     """Ranges not fully read when `progress` lines were: the range that holds the saved line is read again."""
-    w = Window.orderBy(order)
+    w = Window.partitionBy(*([by] if by else [])).orderBy(order)
     return ranges.withColumn("_last", F.lead(order).over(w) - 1).filter(F.col("_last").isNull() | (F.col("_last") >= progress)).drop("_last")
+
+
+class Progress:
+    """Index lines whose pages are written, per file and run, in an append-only table."""
+
+    SCHEMA = "run_id long, path string, lines long"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def save(self, run_id: int, done: DataFrame) -> None:
+        """Appends done(path, lines)."""
+        done.select(F.lit(run_id).cast("long").alias("run_id"), "path", F.col("lines").cast("long").alias("lines")).coalesce(1).write.mode("append").parquet(self.folder)
+
+    def load(self, run_id: int) -> DataFrame:
+        """path, lines: the most that the run has read of each file; files it has not begun are absent."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], "path string, lines long")
+        return self.spark.read.schema(self.SCHEMA).parquet(self.folder).filter(F.col("run_id") == run_id).groupBy("path").agg(F.max("lines").alias("lines"))

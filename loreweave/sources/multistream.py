@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -58,6 +59,49 @@ class MultistreamSource(DataSource):
         return MultistreamReader(self.options)
 
 
+class IndexReader(DataSourceReader):
+    """Lines of compressed indexes; a task streams one file, so a line's number is known and no file is held whole."""
+
+    def __init__(self, options: dict):
+        self.paths = json.loads(options["paths"])
+
+    def partitions(self) -> list[InputPartition]:
+        return [Ranges(p, []) for p in self.paths] or [Ranges("", [])]
+
+    def read(self, partition: Ranges) -> Iterator[tuple]:
+        if partition.path:
+            with bz2.open(partition.path.removeprefix("file://").removeprefix("file:"), "rt", encoding="utf-8", errors="ignore", newline="\n") as f:
+                for n, line in enumerate(f, 1):
+                    if line := line.rstrip("\r\n"):
+                        yield partition.path, n, line
+
+
+class IndexSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "multistream_index"
+
+    def schema(self) -> str:
+        return "path string, line_no long, value string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return IndexReader(self.options)
+
+
+def pages_of(ranges: DataFrame) -> DataFrame:
+    """path, start, end, page, error of ranges(dump, start, end): each task reads its own ranges, which never visit the driver."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = MultistreamReader({"path": "", "ranges": "[]"})
+        for b in batches:
+            for row in b.to_pylist():  # a range at a time: its pages are what is held
+                found = list(reader.read(Ranges(row["dump"].removeprefix("file://").removeprefix("file:"), [(row["start"], row["end"])])))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["path", "start", "end", "page", "error"])
+
+    return ranges.select("dump", "start", "end").mapInArrow(read, "path string, start long, end long, page string, error string")
+
+
 def read_pages(spark: SparkSession, dump: str, ranges: list[tuple[int, int | None]], per_task: int = 16) -> DataFrame:
     """path, start, end, page, error. The ranges of one dump are metadata of its index."""
     spark.dataSource.register(MultistreamSource)

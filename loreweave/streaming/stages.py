@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
@@ -15,10 +15,11 @@ from ..operators.history import RunHistory
 
 
 def write_raw(chunks: DataFrame, folder: str) -> int:
-    """Stage 1: appends chunk messages to the stage folder; returns the number of articles."""
+    """Stage 1: appends chunk messages to the stage folder; returns the number of articles, counted by their first chunks on the way."""
+    seen = Observation()
     rows = chunks.select([F.col(f.name).cast(f.dataType) if f.name in chunks.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.RAW_MESSAGE.fields])
-    rows.write.mode("append").parquet(folder)
-    return chunks.select("pid", "source").distinct().count()
+    rows.observe(seen, F.count_if(F.col("chunk_index") == 1).alias("articles")).write.mode("append").parquet(folder)
+    return int(seen.get["articles"])
 
 
 def process_stream(spark: SparkSession, raw: str, processed: str, checkpoint: str, embed: Callable, files: int = 64, available: bool = True) -> StreamingQuery:

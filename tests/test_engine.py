@@ -14,11 +14,14 @@ from loreweave.operators import history as hs, pages as pg, search as sr, store
 from loreweave.operators.chunking import chunk_rows
 from loreweave.plans.queries import QUERIES, SQL
 from loreweave.plans.service import Service
+from loreweave.shared import numbered
 from loreweave.sources import dumps as dp, index as ix
 from loreweave.sources.multistream import read_pages
+from loreweave.streaming import stages
 
 DATA = "/root/testdata/sf0.001"
-INDEX = ["5:1:a", "5:2:b", "5:3:c", "10:4:d", "10:5:e", "10:6:f:g", "10:7:h", "111:13:i", "111:16:j", "111:17:k"]
+#: Streams at 640, 2048 (a long one), 90000 and again 640, which begins a range of its own.
+INDEX = ["640:21:Oak", "640:22:Elm", *(f"2048:{300 + k}:Fern {k}" for k in range(6)), "2048:340:Moss: a genus", "90000:41:Ivy", "640:50:Oak again"]
 
 
 def page(pid, title, body="[[Link]] text", ns=0, extra="", stamp="2024-01-02T03:04:05Z"):
@@ -43,18 +46,20 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_ranges_of_ten_lines(spark):
+def test_ranges_of_index_lines(spark):
     lines = spark.createDataFrame([(i, v) for i, v in enumerate(INDEX)], "line_no int, value string")
     parsed = ix.parse_lines(lines)
-    assert parsed.filter("pid = 6").first()["title"] == "f:g"
+    assert parsed.filter("pid = 340").first()["title"] == "Moss: a genus"
     ranges = ix.byte_ranges(parsed).orderBy("line_no")
-    assert [(r["start"], r["end"]) for r in ranges.collect()] == [(5, 10), (10, 111), (111, None)]
-    assert [r["start"] for r in ix.after_progress(ranges, 5).orderBy("line_no").collect()] == [10, 111]
+    assert [(r["start"], r["end"]) for r in ranges.collect()] == [(640, 2048), (2048, 90000), (90000, 640), (640, None)]
+    first = [r["line_no"] for r in ranges.collect()]
+    for read in range(len(INDEX)):
+        assert [r["line_no"] for r in ix.after_progress(ranges, read).orderBy("line_no").collect()] == [n for n, z in zip(first, [*first[1:], 99]) if z - 1 >= read]
 
 
 def test_malformed_last_line_keeps_the_last_range(spark):
     lines = spark.createDataFrame([(i, v) for i, v in enumerate([*INDEX, "broken"])], "line_no int, value string")
-    assert ix.byte_ranges(ix.parse_lines(lines)).filter("end is null").first()["start"] == 111
+    assert ix.byte_ranges(ix.parse_lines(lines)).filter("end is null").first()["start"] == 640
 
 
 def test_multistream_reads_ranges_and_reports_bad_ones(spark, tmp_path):
@@ -137,14 +142,14 @@ def test_upsert_of_a_whole_table(spark, tmp_path):
     langs = ("de", "en", "fr")
     rows = [(i, langs[i % 3], None if i % 5 == 0 else f"s{i % 4}", i) for i in range(1000)]
     spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    got = sorted((r["pid"], r["source"] or "", r["n"]) for r in QUERIES["upsert_all"](spark, str(tmp_path)).collect())
+    got = sorted((r["pid"], r["source"] or "", r["n"]) for r in QUERIES["upsert_by_key"](spark, str(tmp_path)).collect())
     assert got == [(i, "" if lang == "de" else s or "", n + (lang != "fr")) for i, lang, s, n in rows]
 
 
 def test_history_of_all_rows(spark, tmp_path):
     rows = [(i, i % 7, "t", dt.datetime(2024, 1, 1)) for i in range(300)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
-    assert [r["event_id"] for r in QUERIES["run_history_all"](spark, str(tmp_path)).collect()] == list(range(299, -1, -1))
+    assert [r["event_id"] for r in QUERIES["run_history_desc"](spark, str(tmp_path)).collect()] == list(range(299, -1, -1))
 
 
 def test_latest_dump_date_takes_the_newest_row(spark, tmp_path):
@@ -186,3 +191,65 @@ def test_service_end_to_end_and_again(spark, tmp_path):
     assert s.run() == run and s.store.read().count() == 4
     assert [r["status"] for r in s.run_history().collect()].count("Run Continued") == 1
     assert s.search("word", 2).count() == 2 and s.retrieve("Alpha").count() == 3
+
+
+def dump_files(folder, streams, name="enwiki-x"):
+    """A dump of bz2 streams [(pid, title), ...] and its index."""
+    head, at, raw, lines = bz2.compress(b"<mediawiki>"), 0, b"", []
+    raw, at = head, len(head)
+    for stream in streams:
+        body = bz2.compress("".join(page(i, t) for i, t in stream).encode())
+        lines += [f"{at}:{i}:{t}" for i, t in stream]
+        raw, at = raw + body, at + len(body)
+    (folder / f"{name}1.xml.bz2").write_bytes(raw)
+    (folder / f"{name}-index1.txt.bz2").write_bytes(bz2.compress(("\n".join(lines) + "\n").encode()))
+
+
+def test_ingestion_resumes_where_it_stopped(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "dumps"
+    folder.mkdir()
+    dump_files(folder, [[(10 * k + j, f"Title {k} {j}") for j in range(3)] for k in range(4)])
+    s = Service(spark, Config(content_folder=str(folder), work_folder=str(tmp_path / "work"), dimension=8, max_tokens=20, overlap=5, progress_lines=3))
+    write, calls = stages.write_raw, []
+
+    def failing(chunks, to):
+        if len(calls) == 2:
+            raise RuntimeError("stopped")
+        calls.append(write(chunks, to))
+        return calls[-1]
+
+    monkeypatch.setattr(stages, "write_raw", failing)
+    with pytest.raises(RuntimeError):
+        s.run(7)
+    assert [r["lines"] for r in ix.Progress(spark, str(tmp_path / "work/progress")).load(7).collect()] and s.store.read().isEmpty()
+    monkeypatch.setattr(stages, "write_raw", lambda chunks, to: calls.append(write(chunks, to)) or calls[-1])
+    assert s.run(7) == 7 and s.store.read().select("pid").distinct().count() == 12
+    assert sum(calls) <= 12 + 3  # the range that holds the saved line is read again, no other
+    statuses = [r["status"] for r in s.run_history().collect()]
+    assert statuses[0] == "Run Completed" and {"Run Continued", "Ingestion Started", "Processing Started", "Storing Started"} <= set(statuses)
+
+
+def test_store_keeps_a_pointer_and_refuses_a_second_writer(spark, tmp_path):
+    store = st.ChunkStore(spark, str(tmp_path / "kb"))
+    row = lambda p, c: spark.createDataFrame([(p, "n", 1, 1, c, "enwiki", dt.datetime(2024, 1, 1), [0.0])], store.read().schema)
+    for k in range(6):
+        store.upsert(row(k % 2, f"c{k}"))
+    assert sorted(r["content"] for r in store.read().collect()) == ["c4", "c5"]
+    assert len(glob.glob(f"{tmp_path}/kb/POINTER-*")) <= 4 and len(glob.glob(f"{tmp_path}/kb/v-*")) <= 5
+    number, pointer = store._pointer()
+    store._point(number + 1, pointer)
+    with pytest.raises(Exception, match="POINTER"):
+        store._point(number + 1, pointer)
+    (tmp_path / "kb" / f"POINTER-{number + 2:012d}").write_text("{")  # a writer that has not finished
+    assert store.read().count() == 2
+
+
+def test_row_numbers(spark):
+    got = numbered(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(5), "k").collect()
+    assert len(got) == 1000 and all(r["k"] == r["row_no"] for r in got)
+
+
+def test_chunks_by_another_tokenizer(spark):
+    df = spark.createDataFrame([("abcdefghij",), (None,)], "content string")
+    rows = chunk_rows(df, 4, 1, tokenize=lambda t: F.split(t, ""), detokenize=lambda w: F.array_join(w, "")).collect()
+    assert [r["content"] for r in rows] == ["abcd", "defg", "ghij", "j", None]
