@@ -108,17 +108,20 @@ def op1_spotsigs(spark, sf_dir: str) -> DataFrame:
     another empty one and unlike any other. A single row is its own next; an empty table gives no rows.
     """
     ws = Workspace(spark)
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_row", F.monotonically_increasing_id())
-    slim = ws.write(docs.select("_row", F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), F.xxhash64("text").alias("hash"), F.length("text").cast("long").alias("n_chars")), "slim")
-    ordered = numbered(slim, ["none", "down", "hash", "_row"], ws, "ordered")
-    ranked = ws.write(ordered.select("_row", "n_chars", "rank"), "ranked")
+    # a row is known by its file and its place in it: plain columns, so that both joins share one exchange of the texts
+    place = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *place)
+    slim = ws.write(docs.select("_file", "_row", F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), F.xxhash64("text").alias("hash"), F.length("text").cast("long").alias("n_chars")), "slim")
+    ordered = numbered(slim, ["none", "down", "hash", "_file", "_row"], ws, "ordered")
+    ranked = ws.write(ordered.select("_file", "_row", "down", "n_chars", "rank"), "ranked")
     total = ranked.count()
     # what each row must send to the one before it
-    before = ranked.select(F.col("_row").alias("to_row"), F.floor(F.col("n_chars") / 3).cast("int").alias("wanted"), F.expr(f"(rank + 1) % {max(total, 1)}").alias("rank"))
-    sends = ranked.select(F.col("_row").alias("from_row"), "rank").join(before, "rank").drop("rank")
-    parts = docs.join(sends, F.col("_row") == F.col("from_row"))
-    messages = parts.select("to_row", F.substr("text", F.lit(1), F.col("wanted")).alias("start"), fingerprint(signatures_of(F.col("text"))).alias("next_fp"))
-    own = docs.join(messages, F.col("_row") == F.col("to_row")).withColumn("n_chars", F.length("text"))
+    before = ranked.select(F.col("_file").alias("to_file"), F.col("_row").alias("to_row"), (-F.col("down")).alias("doc_id"), F.floor(F.col("n_chars") / 3).cast("int").alias("wanted"), F.expr(f"(rank + 1) % {max(total, 1)}").alias("rank"))
+    sends = ranked.select(F.col("_file").alias("from_file"), F.col("_row").alias("from_row"), "rank").join(before, "rank").drop("rank")
+    texts = docs.drop("doc_id")
+    parts = texts.join(sends, (F.col("_file") == F.col("from_file")) & (F.col("_row") == F.col("from_row")))
+    messages = parts.select("to_file", "to_row", "doc_id", F.substr("text", F.lit(1), F.col("wanted")).alias("start"), fingerprint(signatures_of(F.col("text"))).alias("next_fp"))
+    own = texts.join(messages, (F.col("_file") == F.col("to_file")) & (F.col("_row") == F.col("to_row"))).withColumn("n_chars", F.length("text"))
     edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")), F.col("start"))
     out = own.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), signatures_of(F.col("text")).alias("sigs"), signatures_of(edited).alias("edited"), signatures_in(F.col("next_fp")).alias("next"))
     return out.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited")).alias("near_edited"), likeness(F.col("sigs"), F.col("next")).alias("near_next"))
