@@ -248,4 +248,20 @@ def link_documents(docs: DataFrame, n_words: int = SHINGLE_WORDS, percent: int =
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """The component of every document; nulls, repeated rows and an empty table are as link_documents has them."""
     return link_documents(read_table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+l AS (SELECT r, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d),
+t AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS i, len(ws) AS n FROM l),
+g AS (SELECT r, i, n, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {SHINGLE_WORDS - 1} FOLLOWING) AS s FROM t),
+e AS (SELECT DISTINCT r, s FROM g WHERE i + {SHINGLE_WORDS} <= n OR (n < {SHINGLE_WORDS} AND i = 0)),
+n AS (SELECT r, count(*) AS n FROM e GROUP BY r),
+both_ AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM e a JOIN e b ON a.s = b.s AND a.r <> b.r GROUP BY ALL),
+links AS (SELECT a, b FROM both_ JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM d JOIN reach ON reach.a = d.r JOIN d o ON o.r = reach.b LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_spotsigs": spotsigs.OP1_SQL, "op6_rendezvous": rendezvous.OP6_SQL, "op9_host_reputation": host_reputation.OP9_SQL}
+    return {"op1_spotsigs": spotsigs.OP1_SQL, "op2_super_kmers": substrings.OP2_SQL, "op6_rendezvous": rendezvous.OP6_SQL, "op9_host_reputation": host_reputation.OP9_SQL, "op10_jaccard_join": jaccard_join.OP10_SQL}

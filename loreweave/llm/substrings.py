@@ -221,5 +221,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = MINIMISER)
 
 
 def op2_super_kmers(spark, sf_dir: str) -> DataFrame:
+    """What repeated windows leave of every text; nulls, repeated rows and an empty table are as remove_repeats has them."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP2_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d),
+t AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS i, len(ws) AS n FROM l),
+g AS (SELECT r, i, word, CASE WHEN i + {WINDOW} <= n THEN string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) END AS g FROM t),
+h AS (SELECT r, i, word, CASE WHEN g IS NOT NULL AND count(*) OVER (PARTITION BY g) > 1 THEN 1 ELSE 0 END AS again FROM g),
+k AS (SELECT r, i, word, max(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM h)
+SELECT d.doc_id, count(word)::BIGINT AS n_words, coalesce(sum(gone), 0)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r) GROUP BY d.r, d.doc_id
+"""
