@@ -7,7 +7,9 @@ travel, each packed as one string of its words, to the minimiser's bucket. There
 one with a count, and sorting the windows by content counts them exactly.
 
 A minimiser that very many super-k-mers share is divided by a second minimiser of each window, also
-a function of the window alone, so that a common line does not fill one bucket.
+a function of the window alone, so that a common line does not fill one bucket. A passage in very
+many different contexts still gives many different strings with one pair of minimisers: such a bucket
+is dealt out by its windows' own contents, and counted by an aggregation that merges before it shuffles.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import Workspace, read_table
+from .common import BROADCAST_ROWS, Workspace, read_table
 from .textblocks import gram_hashes, mix64, slices, windowed_min, word_blocks
 
 WINDOW = 35
 MINIMISER = 8
 #: Super-k-mers with one minimiser from which on a second minimiser divides them.
 CROWDED = 256
+#: Different strings in one bucket from which on it is dealt out window by window.
+DENSE = 1024
 
 
 def super_kmers(words: np.ndarray, window: int, gram: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +109,15 @@ def repeated_windows(strings: list[bytes], times: np.ndarray, window: int) -> li
     return list(out.values())
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = MINIMISER) -> DataFrame:
+def windows_of(string: bytes, window: int) -> Iterator[bytes]:
+    """The string's windows in order, each its words joined by one space."""
+    ends = np.flatnonzero(np.frombuffer(string + b" ", np.uint8) == 32)
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    for a, z in zip(begins[: len(ends) - window + 1].tolist(), ends[window - 1 :].tolist()):
+        yield string[a:z]
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = MINIMISER, dense: int = DENSE) -> DataFrame:
     """docs(doc_id, text, ...) with kept_text, n_words and n_removed added.
 
     Words are runs outside blanks, unchanged; kept_text is the words that no repeated window covers,
@@ -186,10 +198,39 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = MINIMISER)
         if sum(x.num_rows for x in held):
             yield buckets(pa.Table.from_batches(held))
 
-    strings = packed.groupBy("k1", "k2", "ph", "packed").agg(F.count("*").alias("times"))
-    bucketed = strings.select("k1", "k2", "ph", "packed", "times").repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("ph", pa.int64()), ("at", pa.int32()), ("words", pa.binary()), ("times", pa.int64())])
+        out: list[list] = [[] for _ in schema]
+        for b in batches:
+            for k1, k2, ph, string, times in zip(*(c.to_pylist() for c in b.columns)):
+                for at, words in enumerate(windows_of(string, window)):
+                    for o, v in zip(out, (k1, k2, ph, at, words, times)):
+                        o.append(v)
+                    if len(out[0]) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, schema)], schema=schema)
+                        out = [[] for _ in schema]
+        yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, schema)], schema=schema)
+
+    # narrow rows, merged before they move: a string counts once, however often it occurs
+    crowds = ws.write(packed.select("k1", "k2", "ph").distinct().groupBy("k1", "k2").count().filter(F.col("count") >= dense).select("k1", "k2"), "crowds")
+    n_crowds = crowds.count()
+    if n_crowds <= BROADCAST_ROWS:
+        crowds = F.broadcast(crowds)
+
+    def strings_of(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("k1", "k2", "ph", "packed").agg(F.count("*").alias("times")).select("k1", "k2", "ph", "packed", "times")
+
+    strings = strings_of(packed.join(crowds, ["k1", "k2"], "left_anti") if n_crowds else packed)
+    bucketed = strings.repartition("k1", "k2").sortWithinPartitions("k1", "k2")
     flags = ws.write(bucketed.mapInArrow(count, "k1 long, k2 long, ph long, starts array<int>, ends array<int>"), "flags")
     ws.release()
+    if n_crowds:
+        dealt = strings_of(packed.join(crowds, ["k1", "k2"], "left_semi")).mapInArrow(deal, "k1 long, k2 long, ph long, at int, words binary, times long")
+        dealt = ws.write(dealt.withColumn("wh", F.xxhash64("words")), "dealt")
+        again = dealt.groupBy("wh", "words").agg(F.sum("times").alias("times")).filter("times > 1").select("wh").distinct()
+        again = dealt.select("k1", "k2", "ph", "at", "wh").join(again, "wh").groupBy("k1", "k2", "ph").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+        flags = flags.unionByName(ws.write(again.withColumn("ends", F.transform("starts", lambda s: s + window)), "again"))
+        ws.release()
     covers = packed.select("k1", "k2", "ph", "doc_id", "_hash", "start").join(flags, ["k1", "k2", "ph"])
     covers = covers.select("doc_id", "_hash", F.struct(F.transform("starts", lambda s: s + F.col("start")).alias("a"), F.transform("ends", lambda s: s + F.col("start")).alias("z")).alias("c"))
     covers = ws.write(covers.groupBy(F.col("doc_id").alias("_d"), F.col("_hash").alias("_h")).agg(F.collect_set("c").alias("covers")), "covers")

@@ -66,6 +66,27 @@ def test_repeated_windows(docs, empty):
     assert ss.remove_repeats(empty).count() == 0
 
 
+def test_a_passage_in_very_many_contexts(spark):
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(50)]
+    texts = [" ".join([f"a{rng.randrange(10**6)}" for _ in range(rng.randrange(60))] + passage + [f"z{rng.randrange(10**6)}" for _ in range(rng.randrange(60))]) for _ in range(20_000)]
+    texts += ["x " * 300, texts[0], None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    count = Counter(tuple(words(t)[k : k + 35]) for t in texts for k in range(len(words(t)) - 34))
+    for dense in (ss.DENSE, 1):  # 1: every bucket is dealt out
+        part = docs if dense > 1 else docs.filter("doc_id < 300 or doc_id >= 20000")
+        kept = {i for i, in part.select("doc_id").collect()}
+        c = count if dense > 1 else Counter(tuple(words(texts[i])[k : k + 35]) for i in kept for k in range(len(words(texts[i])) - 34))
+        got = {r["doc_id"]: (r["n_removed"], r["kept_text"].encode()) for r in ss.remove_repeats(part, dense=dense).collect()}
+        for i in kept:
+            w = words(texts[i])
+            cover = [False] * len(w)
+            for k in range(len(w) - 34):
+                if c[tuple(w[k : k + 35])] > 1:
+                    cover[k : k + 35] = [True] * 35
+            assert got[i] == (sum(cover), b" ".join(x for x, g in zip(w, cover) if not g)), i
+
+
 def test_two_rows_repeat_each_other(spark):
     t = " ".join(f"q{i}" for i in range(40))
     got = ss.remove_repeats(spark.createDataFrame([(1, t), (1, t), (None, "a")], "doc_id long, text string")).orderBy("doc_id").collect()
