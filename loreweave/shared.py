@@ -43,10 +43,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """Adds `row_no` (from 0) in an order without ties: each range of rows is numbered in its own task, and the ranges' sizes are added up."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, so that both passes have the same ranges
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    """Adds `row_no` (from 0) in an order without ties: each range of rows is numbered in its own task, and the ranges' sizes are added up.
+
+    The numbered ranges are written once: dealt again, rows would fall into other ranges, as these come from a sample.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, "numbered")
+    made = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    made.write.option("compression", "zstd").parquet(path)
+    rows = spark.read.schema(made.schema).parquet(path).withColumn("_part", F.shiftright("_id", 33))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    sizes = ranged.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    out = ranged.join(F.broadcast(sizes), "_part")  # as many rows as there are ranges
+    sizes = rows.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    out = rows.join(F.broadcast(sizes), "_part")  # as many rows as there are ranges
     return out.select(*df.columns, (F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).alias("row_no"))

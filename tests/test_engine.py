@@ -247,6 +247,15 @@ def test_store_keeps_a_pointer_and_refuses_a_second_writer(spark, tmp_path):
 def test_row_numbers(spark):
     got = numbered(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(5), "k").collect()
     assert len(got) == 1000 and all(r["k"] == r["row_no"] for r in got)
+    assert numbered(spark.range(0), "id").count() == 0
+
+
+def test_batch_averages_of_a_written_table(spark, tmp_path):
+    """The averages read other columns than the ranges' sizes do: both must see the same ranges."""
+    path, n = str(tmp_path / "ticks"), 20_010
+    spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.lit("x").alias("other")).withColumn("v", F.col("k") * 2.0).repartition(6).write.parquet(path)
+    got = {r["batch_group"]: r["average"] for r in hs.batch_averages(spark.read.parquet(path), 20, "k", "v").collect()}
+    assert got == {g: 2.0 * (20 * g + 9.5) for g in range(n // 20)}
 
 
 def test_chunks_by_another_tokenizer(spark):
