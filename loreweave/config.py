@@ -29,6 +29,10 @@ class Config:
     seed: int = 0
     probes: int = 150
     lists: int = 3464
+    spill: int = 2
+    attempts: int = 3
+    concurrent: bool = False
+    token_budget: int = 65_536
     sources: tuple[str, ...] = field(default=("enwiki", "frwiki"))
 
     @classmethod
@@ -47,4 +51,5 @@ class Config:
             dimension=int(e.get("WIKIPEDIA_EMBEDDING_MAX_DIMENSION", base.dimension)),
             max_tokens=int(e.get("WIKIPEDIA_EMBEDDING_MODEL_MAX_LENGTH", base.max_tokens)),
             seed=int(e.get("WIKIPEDIA_RNG_SEED", base.seed)),
+            concurrent=truthy(e.get("SVC_KB_CONCURRENT_STAGES")),
         )

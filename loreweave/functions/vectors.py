@@ -75,8 +75,33 @@ class RandomEmbedder:
         return np.divide(out, n, out=out, where=n > 0)
 
 
-def embed_with(make: Callable[[], Embedder], batch: int = 256) -> Callable[[Column], Column]:
-    """A column function that embeds texts; the model is made once in a worker. A null text has a null vector."""
+def length_batches(lengths: np.ndarray, most: int, budget: int | None = None) -> list[np.ndarray]:
+    """Places in batches of like lengths: at most `most` texts, and padded to their longest no more than `budget` tokens (a longer text is alone)."""
+    order, out, at = np.argsort(-lengths, kind="stable"), [], 0
+    while at < len(order):
+        n = most if budget is None else max(1, min(most, budget // max(int(lengths[order[at]]), 1)))
+        out.append(order[at : at + n])
+        at += n
+    return out
+
+
+def _embedded(model: Embedder, texts: list[str]) -> list[np.ndarray | None]:
+    """A vector for each text. If a batch fails its texts are tried one by one, and those that fail have none."""
+    try:
+        return list(model.embed(texts))
+    except Exception:
+        if len(texts) == 1:
+            return [None]
+        return [v for t in texts for v in _embedded(model, [t])]
+
+
+def embed_with(make: Callable[[], Embedder], batch: int = 256, budget: int | None = None, padding=None) -> Callable[[Column], Column]:
+    """A column function that embeds texts; the model is made once in a worker. A null text, and one that the model fails on, has a null vector.
+
+    Texts go to the model in batches of like lengths, by the model's own `lengths(texts)` if it has one and by blank-separated
+    words if not, and come back in their places, so their order has no bearing on the vectors. padding is a pair of
+    accumulators for the tokens that batches are padded to and the tokens of their texts.
+    """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -84,10 +109,14 @@ def embed_with(make: Callable[[], Embedder], batch: int = 256) -> Callable[[Colu
         for s in batches:
             out = pd.Series([None] * len(s), dtype=object)
             known = np.flatnonzero(s.notna().to_numpy())
-            for at in range(0, len(known), batch):
-                some = known[at : at + batch]
-                for i, v in zip(some, model.embed(s.iloc[some].tolist())):
-                    out[i] = v
+            texts = s.iloc[known].tolist()
+            lengths = np.array(model.lengths(texts) if hasattr(model, "lengths") else [len(t.split()) for t in texts], np.int64)
+            for places in length_batches(lengths, batch, budget):
+                if padding is not None:
+                    padding[0].add(int(lengths[places].max()) * len(places))
+                    padding[1].add(int(lengths[places].sum()))
+                for i, v in zip(known[places], _embedded(model, [texts[p] for p in places])):
+                    out.iat[i] = v
             yield out
 
     return run
@@ -104,15 +133,30 @@ def encode_vector(v: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "dtype", "shape", "data_b64"])
 
 
+def _decoded(kind: str | None, dtype: str, shape, data: str) -> np.ndarray | None:
+    if kind is None:
+        return None
+    if kind not in ("numpy", "torch"):
+        raise ValueError(f"unknown vector kind: {kind}")
+    v = np.frombuffer(base64.b64decode(data, validate=True), np.dtype(dtype).newbyteorder("<")).astype(np.float32)
+    if shape is not None and len(shape):
+        v = v.reshape(tuple(int(n) for n in shape))
+    return v.ravel()
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(m: pd.DataFrame) -> pd.Series:
-    """A float vector of a message; an unknown kind is an error, a null message a null vector."""
-    out = []
-    for kind, dtype, data in zip(m["kind"], m["dtype"], m["data_b64"]):
-        if kind is None:
-            out.append(None)
-        elif kind in ("numpy", "torch"):
-            out.append(np.frombuffer(base64.b64decode(data), np.dtype(dtype).newbyteorder("<")).astype(np.float32))
-        else:
-            raise ValueError(f"unknown vector kind: {kind}")
-    return pd.Series(out, dtype=object)
+    """The floats of a message's vector, row by row if it has several; an unknown kind or a shape that does not fit is an error, a null message a null vector."""
+    return pd.Series([_decoded(*r) for r in zip(m["kind"], m["dtype"], m["shape"], m["data_b64"])], dtype=object)
+
+
+@F.pandas_udf(T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())]))
+def try_decode_vector(m: pd.DataFrame) -> pd.DataFrame:
+    """The same without errors: what is wrong with a message is said beside a null vector."""
+    vectors, errors = [], []
+    for r in zip(m["kind"], m["dtype"], m["shape"], m["data_b64"]):
+        try:
+            vectors.append(_decoded(*r)), errors.append(None)
+        except (ValueError, TypeError) as e:
+            vectors.append(None), errors.append(str(e))
+    return pd.DataFrame({"vector": pd.Series(vectors, dtype=object), "error": pd.Series(errors, dtype=object)})

@@ -21,6 +21,20 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, column: str = "em
     return scored.orderBy(F.col("_d").asc_nulls_last(), *ties).limit(k).withColumn("similarity", 1 - F.col("_d")).drop("_d")
 
 
+def all_equal(a: str, b: str, columns) -> Column:
+    """Null-safe equality of columns of two aliased tables."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
+
+def sized_lists(n: int, lists: int, probes: int) -> tuple[int, int]:
+    """(lists, probes) for n vectors: about the square root of n lists, no more than asked for, and the same share of them probed."""
+    own = max(1, min(lists, round(n**0.5)))
+    return own, max(1, -(-own * probes // lists))
+
+
 class InvertedLists:
     """Approximate search: k-means lists on unit vectors, written with the list as partition column."""
 

@@ -228,11 +228,11 @@ def rng_embed(spark, d):
     return table(spark, d, "documents").select("doc_id", run(F.col("text")).alias("embedding"))
 
 
-@query("SELECT vec_id, len(embedding)::INT AS dimension, embedding[1]::FLOAT AS first, embedding[-1]::FLOAT AS last FROM embeddings")
+@query("SELECT vec_id, (i - 1)::INT AS pos, embedding[i]::FLOAT AS value FROM embeddings, unnest(range(1, 65)) t(i)")
 def embedding_codec(spark, d):
+    """Every component of every vector, out of its message."""
     e = table(spark, d, "embeddings").select("vec_id", vc.encode_vector("embedding").alias("m"))
-    back = e.select("vec_id", vc.decode_vector(F.struct("m.kind", "m.dtype", "m.data_b64")).alias("v"))
-    return back.select("vec_id", F.size("v").alias("dimension"), F.element_at("v", 1).alias("first"), F.element_at("v", -1).alias("last"))
+    return e.select("vec_id", F.posexplode(vc.decode_vector("m")).alias("pos", "value"))
 
 
 @query("""SELECT vec_id, round(s, 6) AS similarity FROM (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q) ORDER BY s DESC, vec_id LIMIT 10""")

@@ -28,6 +28,11 @@ def remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path, removed when the driver program ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
