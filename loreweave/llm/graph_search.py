@@ -140,7 +140,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column:
 
     vectors(key, column); queries has rows of the same kind. Only vectors of equal length are
     compared. Equal vectors are one point of a graph; of each, the k + 1 smallest keys can be asked
-    for, so no more are kept with the point; ties go to the smaller key. The number of shards grows with
+    for, so no more are kept with the point; ties go to the smaller key. A key that stands on several vectors is a row with each: as a
+    query each has its own result, and the other ones are candidates. The number of shards grows with
     the square root of the number of points, which balances searches per query against the size of a
     graph. Null keys, and vectors that are null, empty, zero or hold null or non-finite components take no
     part, as rows or as queries; repeated rows count once; an empty table gives no rows. Other columns
@@ -150,10 +151,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column:
     good = valid_vectors(vectors, key, column).select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<float>").alias("v"))
     w = Window.partitionBy("v").orderBy("id")
     points = good.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("members"))
-    points = ws.write(points.select(F.element_at("members", 1).alias("point"), "v", "members", F.size("v").alias("dim")), "points")
+    points = ws.write(points.select(F.monotonically_increasing_id().alias("point"), "v", F.element_at("members", 1).alias("least"), "members", F.size("v").alias("dim")), "points")
     n = points.count()
     shards = max(1, math.ceil(math.sqrt(n) / 10), math.ceil(n / SHARD_MOST))
-    sharded = points.select("point", "v", "dim", F.pmod(F.xxhash64("point"), F.lit(shards)).cast("int").alias("shard"))
+    sharded = points.select("point", "v", "least", "dim", F.pmod(F.xxhash64("point"), F.lit(shards)).cast("int").alias("shard"))
 
     def matrix(t: pa.Table, name: str) -> np.ndarray:
         flat = t.column(name).combine_chunks()
@@ -161,23 +162,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column:
         return flat.to_numpy(zero_copy_only=False).astype(np.float32).reshape(t.num_rows, -1)
 
     def build(t: pa.Table) -> pa.Table:
-        t = t.sort_by("point")
+        t = t.sort_by([("least", "ascending"), ("point", "ascending")])  # the order of ties
         x = matrix(t, "v")
         edges, entry = build_graph(x)
-        return pa.Table.from_pylist([{"dim": t.column("dim")[0].as_py(), "shard": t.column("shard")[0].as_py(), "entry": entry, "ids": t.column("point").to_numpy().astype("<i8").tobytes(), "x": x.astype("<f4").tobytes(), "edges": edges.astype("<i4").tobytes()}], schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("entry", pa.int32()), ("ids", pa.binary()), ("x", pa.binary()), ("edges", pa.binary())]))
+        return pa.Table.from_pylist([{"dim": t.column("dim")[0].as_py(), "shard": t.column("shard")[0].as_py(), "entry": entry, "ids": np.concatenate([t.column(c).to_numpy() for c in ("point", "least")]).astype("<i8").tobytes(), "x": x.astype("<f4").tobytes(), "edges": edges.astype("<i4").tobytes()}], schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("entry", pa.int32()), ("ids", pa.binary()), ("x", pa.binary()), ("edges", pa.binary())]))
 
     # a task per shard and no fewer: building costs far more than the rows weigh
     spread = sharded.repartition(shards, "dim", "shard")
     graphs = ws.write(spread.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, entry int, ids binary, x binary, edges binary"), "graphs")
 
     asked = valid_vectors(queries, key, column).select(F.col(key).cast("long").alias("query_id"), F.col(column).cast("array<float>").alias("q")).distinct()
-    asked = ws.write(asked.withColumn("dim", F.size("q")), "queries")
+    # queries are numbered, and know the point of their own vector
+    asked = asked.join(points.select("v", F.col("point").alias("own")), F.col("q") == F.col("v"), "left").drop("v")
+    asked = ws.write(asked.withColumn("dim", F.size("q")).withColumn("query", F.monotonically_increasing_id()), "queries")
     blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
 
     def stack(t: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist([{"dim": t.column("dim")[0].as_py(), "block": t.column("block")[0].as_py(), "qids": t.column("query_id").to_numpy().astype("<i8").tobytes(), "q": matrix(t, "q").astype("<f4").tobytes()}], schema=pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("qids", pa.binary()), ("q", pa.binary())]))
+        return pa.Table.from_pylist([{"dim": t.column("dim")[0].as_py(), "block": t.column("block")[0].as_py(), "qids": t.column("query").to_numpy().astype("<i8").tobytes(), "q": matrix(t, "q").astype("<f4").tobytes()}], schema=pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("qids", pa.binary()), ("q", pa.binary())]))
 
-    packed = ws.write(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInArrow(stack, "dim int, block int, qids binary, q binary"), "query-blocks")
+    packed = ws.write(asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInArrow(stack, "dim int, block int, qids binary, q binary"), "query-blocks")
     # every block of the stated query set goes to every shard; a graph moves once and stays while its shard's blocks pass
     none = F.lit(None).cast("binary")
     left = graphs.select("dim", "shard", F.lit(-1).alias("block"), "entry", "ids", "x", "edges")
@@ -191,7 +194,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column:
                 dim, shard, block, entry, ids, x, edges = (c[i].as_py() for c in b.columns)
                 ids, x = np.frombuffer(ids, "<i8"), np.frombuffer(x, "<f4").reshape(-1, dim)
                 if block < 0:
-                    held = dim, shard, entry, ids, x, np.frombuffer(edges, "<i4").reshape(len(ids), -1).astype(np.int64)
+                    ids = ids.reshape(2, -1)
+                    held = dim, shard, entry, ids, x, np.frombuffer(edges, "<i4").reshape(ids.shape[1], -1).astype(np.int64)
                 elif held is not None and held[:2] == (dim, shard):
                     _, _, start, points_, v, links = held
                     found, _ = beam_search(v, links, start, x, beam)
@@ -201,17 +205,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column:
                         d = v[f].astype(np.float64) - x[at : at + 64, None, :].astype(np.float64)
                         score = np.sqrt((d * d).sum(2))
                         score[f < 0] = np.inf
-                        best = np.lexsort((points_[f], score), axis=1)[:, : k + 1]
+                        best = np.lexsort((f, score), axis=1)[:, : k + 1]
                         score, f = np.take_along_axis(score, best, 1), np.take_along_axis(f, best, 1)
                         keep = np.isfinite(score)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 64], keep.sum(1))), pa.array(points_[f[keep]]), pa.array(score[keep])], names=["query_id", "point", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 64], keep.sum(1))), *(pa.array(p[f[keep]]) for p in points_), pa.array(score[keep])], names=["query", "point", "least", "score"])
 
-    hits = left.unionAll(right).repartition(shards, "dim", "shard").sortWithinPartitions(*order).select(*order, "entry", "ids", "x", "edges").mapInArrow(search, "query_id long, point long, score double")
+    hits = left.unionAll(right).repartition(shards, "dim", "shard").sortWithinPartitions(*order).select(*order, "entry", "ids", "x", "edges").mapInArrow(search, "query long, point long, least long, score double")
     # a query's own vector may be among its k + 1 nearest points
-    best = Window.partitionBy("query_id").orderBy("score", "point")
-    hits = hits.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 1).drop("_r")
-    rows = hits.join(points.select("point", "members"), "point").select("query_id", "score", F.explode("members").alias("vec_id")).filter("vec_id <> query_id")
-    final = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    best = Window.partitionBy("query").orderBy("score", "least", "point")
+    hits = hits.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 1).drop("_r", "least")
+    rows = hits.join(points.select("point", "members"), "point").join(asked.select("query", "query_id", "own"), "query")
+    rows = rows.select("query", "query_id", "score", F.explode("members").alias("vec_id"), F.col("point").eqNullSafe(F.col("own")).alias("same")).filter("not (same and vec_id = query_id)")
+    final = Window.partitionBy("query").orderBy("score", "vec_id")
     return rows.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

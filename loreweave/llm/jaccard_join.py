@@ -122,11 +122,15 @@ def link_documents(docs: DataFrame, n_words: int = SHINGLE_WORDS, percent: int =
     """doc_id, n_shingles, component_id for docs(doc_id, text).
 
     Links: 100 * intersection >= percent * union of the sets. Null and empty texts have no set and
-    no links; their component is their own id. Repeated rows share a class; doc_id names one text. A null doc_id is in no
-    class and has a null component.
+    no links; their component is their own id. Repeated rows share a class; rows with one doc_id and different texts are rows
+    of their own, each in its own class. A null doc_id is in no class and has a null component. An empty table gives no rows. A very
+    long text is shingled in pieces and held alone. Other columns are ignored, whatever their names.
+
+    Classes are known by a number of their own; `doc` is the smallest doc_id in a class, and doc and `th`, the hash of a text, find
+    one of its texts again.
     """
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     common = spark.sparkContext.broadcast(common_shingles(docs, n_words))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,13 +143,13 @@ def link_documents(docs: DataFrame, n_words: int = SHINGLE_WORDS, percent: int =
                 n.append(len(s)), rare.append(r), one.append(int(key[0])), two.append(int(key[1]))
                 bits.append(parity_bits(s))
                 first.append(ordered[: len(s) - -(-percent * len(s) // 100) + 1].view(np.int64) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n", "rare", "one", "two", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "th", "n", "rare", "one", "two", "prefix", "bits"])
 
-    sets = ws.write(docs.mapInArrow(prefixes, "doc_id long, n long, rare long, one long, two long, prefix array<long>, bits array<long>"), "sets")
-    classes = sets.filter("n > 0 and doc_id is not null").groupBy("one", "two", "n").agg(F.min("doc_id").alias("id"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    wide = ws.write(classes, "classes-wide")
-    classes = ws.write(wide.select("one", "two", "n", "id"), "classes")
-    sets = ws.write(sets.drop("prefix", "bits", "rare"), "members")
+    sets = ws.write(docs.mapInArrow(prefixes, "doc_id long, th long, n long, rare long, one long, two long, prefix array<long>, bits array<long>"), "sets")
+    classes = sets.filter("n > 0 and doc_id is not null").groupBy("one", "two", "n").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    wide = ws.write(classes.select("one", "two", "n", F.col("of.doc_id").alias("doc"), F.col("of.th").alias("th"), "rare", "prefix", "bits").withColumn("id", F.monotonically_increasing_id()), "classes-wide")
+    classes = ws.write(wide.select("one", "two", "n", "id", "doc", "th"), "classes")
+    sets = ws.write(sets.drop("prefix", "bits", "rare", "th"), "members")
     ws.drop("sets")
     ws.release()
 
@@ -196,7 +200,8 @@ def link_documents(docs: DataFrame, n_words: int = SHINGLE_WORDS, percent: int =
 
     def cut_sets(wanted: DataFrame, name: str) -> DataFrame:
         """Segments of the sets of wanted(id, n, leader, leads), from the whole texts."""
-        texts = docs.join(wanted, F.col("doc_id") == F.col("id")).select("id", "n", "leader", "leads", "text").dropDuplicates(["id"])
+        found = wanted.join(classes.select("id", "doc", F.col("th").alias("_th")), "id")
+        texts = docs.join(found, (F.col("doc_id") == F.col("doc")) & F.col("th").eqNullSafe(F.col("_th"))).select("id", "n", "leader", "leads", "text").dropDuplicates(["id"])
         out = ws.write(texts.mapInArrow(segments, "id long, n long, leader long, leads boolean, fragment int, shingles array<long>"), name)
         ws.release()
         return out
@@ -242,7 +247,9 @@ def link_documents(docs: DataFrame, n_words: int = SHINGLE_WORDS, percent: int =
     ws.drop("segments-2")
     ws.release()
     final = components(first.unionAll(second), ws, "components")
-    of_class = classes.select("one", "two", "n", "id").join(final, "id", "left").select("one", "two", "n", F.coalesce("component", "id").alias("component_id"))
+    # a component goes by the smallest doc_id of its classes
+    named = ws.write(final.join(classes.select("id", "doc"), "id").groupBy("component").agg(F.min("doc").alias("least")), "named")
+    of_class = classes.join(final.join(named, "component").select("id", "least"), "id", "left").select("one", "two", "n", F.coalesce("least", "doc").alias("component_id"))
     out = sets.select("doc_id", "one", "two", "n").join(of_class, ["one", "two", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -3,19 +3,20 @@
 Each source's documents, in doc_id order, form one stream of words cut into blocks. Output shards
 draw how many of their slots each source fills; a source's slots are numbered through all shards,
 and slot j holds the block at place j of the source's pseudorandom permutation, which starts anew
-after each pass. Slots and blocks meet in a join by source and block index, so a hot source spreads
+after each pass and ends with the short block, if there is one. Slots and blocks meet in a join by source and block index, so a hot source spreads
 over as many tasks as it has blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Workspace, read_table, with_ranks
+from .common import BROADCAST_ROWS, Workspace, numbered, read_table, with_ranks
 from .textblocks import mix64
 
 BLOCK_WORDS = 64
@@ -69,12 +70,13 @@ def mix_spans(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 
     spans: shard, slot, source, block, doc_id, first_word, n_words - a row per document in a slot's
     block. sources: source, source_size, target; a null source is one of its own and comes last.
-    Weights repeat over the sources by code point. Documents without words are in no span. Draws
+    Weights repeat over the sources by code point. Documents without words are in no span; an empty table gives no rows. Draws
     are seeded and documents ordered by doc_id, so reruns agree. The totals of the sources, a row
     each, are what the driver holds, as the weights are per source too.
 
-    A shard's slots are shared as the targets are: whole parts first, then the odd slots by one
-    multinomial draw on the fractions, so that totals stay near the targets.
+    A source's slots are as many as its target takes, and its last one is cut to the words still wanted, so each source comes to its
+    target rounded to a word, whatever its size. Each shard draws all its slots by one multinomial; over all shards a source
+    may so have more or fewer than it needs, and slots beyond the need go to the sources that lack some.
     """
     spark, ws = sized.sparkSession, Workspace(sized.sparkSession)
     sized = ws.write(sized.select("doc_id", "source", "size", *(c for c in order if c != "doc_id")), "sized")
@@ -84,52 +86,72 @@ def mix_spans(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), most)
     sources = spark.createDataFrame([(r["source"], n, g) for r, n, g in zip(found, sizes, goal)], "source string, source_size long, target double")
 
-    blocks = np.array([-(-n // block_words) for n in sizes], np.int64)
-    want = np.array([g * b / n if n else 0.0 for g, b, n in zip(goal, blocks, sizes)])
-    slots = int(round(want.sum()))
+    n_words = np.array(sizes, np.int64)
+    wanted = np.array([math.floor(g + 0.5) for g in goal], np.int64)
+    blocks, full = -(-n_words // block_words), n_words // block_words
+    passes = wanted // np.maximum(n_words, 1)
+    rest = wanted - passes * n_words
+    need = passes * blocks + -(-rest // block_words)
+    slots = int(need.sum())
     n_shards = max(1, -(-slots // shard_slots))
-    chance = want / want.sum() if slots else want
+    chance = need / max(slots, 1)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for shard in b["id"]:
                 n = min(shard_slots, slots - int(shard) * shard_slots)
-                sure = np.floor(n * chance + 1e-9).astype(np.int64)
-                odd = n * chance - sure
-                rng = np.random.Generator(np.random.Philox(key=[seed, int(shard)]))
-                got = sure + (rng.multinomial(n - sure.sum(), odd.clip(0) / odd.clip(0).sum()) if n > sure.sum() else 0)
+                got = np.random.Generator(np.random.Philox(key=[seed, int(shard)])).multinomial(n, chance)
                 yield pd.DataFrame({"shard": shard, "src": np.arange(len(got)), "n": got, "at": np.cumsum(got) - got, "of": n})
 
-    drawn = ws.write(spark.range(n_shards if slots else 0).mapInPandas(draw, "shard long, src int, n long, at long, of long"), "draws")
+    drawn = ws.write(spark.range(n_shards if slots else 0).mapInPandas(draw, "shard long, src int, n long, at long, of long").filter("n > 0"), "draws")
     w = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    runs = drawn.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).filter("n > 0")
-    limit = np.floor(most * blocks).astype(np.int64)
+    # need and draws of a source: as many rows as the driver's list of them
+    drawn_of = {r["src"]: int(r["n"]) for r in drawn.groupBy("src").agg(F.sum("n").alias("n")).collect()}
+    needs = spark.createDataFrame([(i, int(x)) for i, x in enumerate(need)], "src int, need long")
+    runs = drawn.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).join(needs, "src")
+    runs = ws.write(runs.withColumn("kept", F.least("n", F.greatest(F.col("need") - F.col("before"), F.lit(0)))), "runs")
+    main = runs.filter("kept > 0").select("shard", "src", F.col("kept").alias("n"), "at", "of", "before")
+    # the slots beyond the need, one by one, and the lacking ones, by one and the same number
+    spare = runs.filter("kept < n").select("shard", "of", F.explode(F.sequence(F.col("at") + F.col("kept"), F.col("at") + F.col("n") - 1)).alias("at"))
+    spare = numbered(spare, ["shard", "at"], ws, "spare")
+    lack, first = [], 0
+    for i, x in enumerate(need.tolist()):
+        if (n := x - drawn_of.get(i, 0)) > 0:
+            lack.append((i, first, n, drawn_of.get(i, 0)))
+            first += n
+    lacking = spark.createDataFrame(lack, "src int, first long, n long, before long").select("src", F.posexplode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("pos", "before"), "first")
+    moved = spare.join(lacking.select("src", "before", (F.col("first") + F.col("pos")).alias("rank")), "rank").select("shard", "src", F.lit(1).cast("long").alias("n"), "at", "of", "before")
 
     def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples(index=False):
-                j = row.before + np.arange(row.n)
+                j, s = row.before + np.arange(row.n), row.src
                 place = np.arange(row.at, row.at + row.n)
-                j, place = j[j < limit[row.src]], place[j < limit[row.src]]
-                size = np.full(len(j), blocks[row.src])
-                key = mix64(np.uint64(seed) + np.uint64(row.src) * np.uint64(1 << 32) + (j // size).astype(np.uint64))
+                at = j % blocks[s]
+                key = mix64(np.uint64(seed) + np.uint64(s) * np.uint64(1 << 32) + (j // blocks[s]).astype(np.uint64))
+                block = at.copy()  # a short block comes last in each pass
+                inner = at < full[s]
+                block[inner] = permute(at[inner], np.full(int(inner.sum()), full[s]), key[inner])
+                left = np.where(j == need[s] - 1, wanted[s] - (j // blocks[s]) * n_words[s] - at * block_words, block_words)
                 slot = permute(place, np.full(len(j), row.of), np.full(len(j), mix64(np.array([row.shard + (seed << 40)], np.uint64))[0]))
-                yield pd.DataFrame({"shard": row.shard, "slot": slot, "src": row.src, "block": permute(j % size, size, key)})
+                yield pd.DataFrame({"shard": row.shard, "slot": slot, "src": s, "block": block, "most": left})
 
     # a run of slots is a row: dealt over all tasks before they are laid out, as its size is not a row's
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = runs.repartition(parallel, "shard", "src").mapInPandas(lay, "shard long, slot long, src int, block long")
+    laid = main.unionByName(moved).repartition(parallel, "shard", "src", "at").mapInPandas(lay, "shard long, slot long, src int, block long, most long")
     # null-safe numbers for the sources; their table is as small as the driver's list of them
     numbers = spark.createDataFrame([(r["source"], i) for i, r in enumerate(found)], "_s string, src int")
     streams = with_ranks(sized.filter("size > 0"), "source", list(order), "size", ws, "streams")
     parts = (
-        streams.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("_s")))
+        streams.join(F.broadcast(numbers) if len(found) <= BROADCAST_ROWS else numbers, F.col("source").eqNullSafe(F.col("_s")))
         .withColumn("block", F.explode(F.sequence(F.expr(f"before div {block_words}"), F.expr(f"(before + size - 1) div {block_words}"))))
         .withColumn("first_word", F.greatest(F.lit(0), F.col("block") * block_words - F.col("before")))
         .withColumn("n_words", F.least(F.col("size"), (F.col("block") + 1) * block_words - F.col("before")) - F.col("first_word"))
+        .withColumn("inside", F.col("before") + F.col("first_word") - F.col("block") * block_words)
     )
     # both sides grow with the input, whatever size the planner expects of them
-    spans = laid.hint("merge").join(parts.select("src", "block", "source", "doc_id", "first_word", "n_words"), ["src", "block"])
+    spans = laid.hint("merge").join(parts.select("src", "block", "source", "doc_id", "first_word", "n_words", "inside"), ["src", "block"])
+    spans = spans.withColumn("n_words", F.least("n_words", F.col("most") - F.col("inside"))).filter("n_words > 0")
     return spans.select("shard", "slot", "source", "block", "doc_id", "first_word", "n_words"), sources
 
 
@@ -145,7 +167,7 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
     sized = ws.write(sized_documents(read_table(spark, sf_dir, "documents"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row")), "documents")
     spans, sources = mix_spans(sized.withColumnsRenamed({"doc_id": "key", "row": "doc_id"}), order=ROW_ORDER)
     taken = spans.groupBy(F.col("doc_id").alias("row")).agg(F.sum("n_words").alias("taken"))
-    sources = F.broadcast(sources.withColumnRenamed("source", "_s"))
+    sources = sources.withColumnRenamed("source", "_s")  # Spark sends it out if it is small
     out = sized.join(taken, "row", "left").join(sources, F.col("source").eqNullSafe(F.col("_s")), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -153,19 +175,19 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each text replaced by the words that the mix takes of it, in their order, a second pass after the first.
 
-    Documents of which nothing is taken go. Null texts and texts without words are in no block and go too.
+    Documents of which nothing is taken go; an empty table gives no rows. Null texts and texts without words are in no block and go too.
     Rows are told apart by a number of their own, so a null or repeated doc_id loses none and mixes up no texts;
     n_chars is counted anew; other columns stay.
     """
     rows = Workspace(docs.sparkSession).write(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     sized = sized_documents(rows.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("key"), "source", "text"), F.col("key"), F.xxhash64("text").alias("hash"))
     spans, _ = mix_spans(sized, order=ROW_ORDER, **options)
-    # a block taken twice has one span with a count of 2
-    times = spans.groupBy("doc_id", "first_word", "n_words").agg(F.count("*").alias("times"))
-    lists = times.groupBy(F.col("doc_id").alias("_row")).agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words", "times"))).alias("_spans"))
+    # a block taken twice has one span with two lengths, the longer one first
+    times = spans.groupBy("doc_id", "first_word").agg(F.sort_array(F.collect_list("n_words"), asc=False).alias("ns"))
+    lists = times.groupBy(F.col("doc_id").alias("_row")).agg(F.sort_array(F.collect_list(F.struct("first_word", "ns"))).alias("_spans"))
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    most = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: F.greatest(a, s["times"]))
-    copies = F.flatten(F.transform(F.sequence(F.lit(1).cast("long"), most), lambda k: F.filter("_spans", lambda s: s["times"] >= k)))
+    most = F.aggregate("_spans", F.lit(0), lambda a, s: F.greatest(a, F.size(s["ns"])))
+    copies = F.flatten(F.transform(F.sequence(F.lit(1), most), lambda k: F.transform(F.filter("_spans", lambda s: F.size(s["ns"]) >= k), lambda s: F.struct(s["first_word"].alias("first_word"), F.get(s["ns"], k - 1).alias("n_words")))))
 
     def taken(w):
         return F.array_join(F.flatten(F.transform(copies, lambda s: F.slice(w, (s["first_word"] + 1).cast("int"), s["n_words"].cast("int")))), " ")
