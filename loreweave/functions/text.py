@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+from . import markup
+
 BLANKS = "[ \\t\\n\\r]+"
 
 
@@ -39,34 +41,17 @@ def chunks(text: Column, size: int, overlap: int = 10, tokenize: Callable[[Colum
     return F.element_at(F.transform(F.array(tokenize(text)), cut), 1)
 
 
-#: Markup that goes, in this order: comments, tables, references, templates, files, tags; then links and emphasis keep their text.
-_MARKUP = (
-    (r"(?s)<!--.*?-->", ""), (r"(?s)\{\|.*?\|\}", ""), (r"(?is)<ref[^>/]*/>", ""), (r"(?is)<ref[^>]*>.*?</ref>", ""),
-    (r"\{\{[^{}]*\}\}", ""), (r"\{\{[^{}]*\}\}", ""), (r"\{\{[^{}]*\}\}", ""), (r"(?i)\[\[(?:File|Image|Category|Fichier|Catégorie):[^\[\]]*(?:\[\[[^\[\]]*\]\][^\[\]]*)*\]\]", ""),
-    (r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "$1"), (r"\[(?:https?|ftp)://[^\s\]]+\s+([^\]]*)\]", "$1"), (r"\[(?:https?|ftp)://[^\s\]]+\]", ""),
-    (r"'{2,5}", ""), (r"(?m)^=+\s*(.*?)\s*=+\s*$", "$1"), (r"<[^<>]+>", ""),
-)
-
-
-#: XML entities and what they stand for; the ampersand comes last, so that one level is decoded.
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#91;", "["), ("&#93;", "]"), ("&#123;", "{"), ("&#125;", "}"), ("&#61;", "="), ("&nbsp;", " "), ("&amp;", "&"))
-
-
 def escape_markup(text: Column) -> Column:
     """Text that strip_markup gives back as it was."""
-    for name, char in reversed(_ENTITIES):
+    for name, char in reversed(markup.ENTITIES):
         if char != " ":
             text = F.replace(text, F.lit(char), F.lit(name))
     return text
 
 
 def strip_markup(text: Column) -> Column:
-    """Plain text of wiki markup, then one level of XML entities is decoded."""
-    for pattern, to in _MARKUP:
-        text = F.regexp_replace(text, pattern, to)
-    for name, char in _ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Plain text of wiki markup; one level of XML entities is decoded."""
+    return markup.strip_markup(text)
 
 
 def source_of(name: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import cosine_distance, l2_normalise
 
@@ -21,6 +25,33 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, column: str = "em
     return scored.orderBy(F.col("_d").asc_nulls_last(), *ties).limit(k).withColumn("similarity", 1 - F.col("_d")).drop("_d")
 
 
+def top_k_of(vectors: DataFrame, queries: DataFrame, k: int, key: str, column: str = "embedding") -> DataFrame:
+    """query_id, key of the k nearest by cosine for each of a stated set of queries(query_id, vector), ties to the smaller key.
+
+    The set goes to every task, which scores its rows against all of it in blocks and gives k a query. Vectors of another length, null and zero ones are left out.
+    """
+    rows = [r for r in queries.select("query_id", "vector").collect() if r["vector"] and any(r["vector"])]  # the stated set
+    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}"
+    if not rows:
+        return vectors.sparkSession.createDataFrame([], kind)
+    ids, q = [r["query_id"] for r in rows], np.array([r["vector"] for r in rows], float)
+    held = vectors.sparkSession.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = held.value
+        for b in batches:
+            if b.num_rows:
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                near = -((v @ q.T) / np.linalg.norm(v, axis=1, keepdims=True)).T
+                least = np.lexsort((np.broadcast_to(b.column(0).to_numpy(), near.shape), near), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(least.shape[1])]), b.column(0).take(pa.array(least.ravel())), pa.array(np.take_along_axis(near, least, 1).ravel())], names=["query_id", key, "d"])
+
+    good = vectors.filter((F.size(column) == q.shape[1]) & F.exists(column, lambda c: c != 0) & ~F.exists(column, lambda c: c.isNull() | F.isnan(c)))
+    scored = good.select(key, F.col(column).cast("array<double>")).mapInArrow(score, f"{kind}, d double")
+    ranked = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", key))).filter(F.col("_r") <= k)
+    return ranked.select("query_id", key)
+
+
 def all_equal(a: str, b: str, columns) -> Column:
     """Null-safe equality of columns of two aliased tables."""
     out = F.lit(True)
@@ -47,8 +78,6 @@ class InvertedLists:
 
     def search(self, query: list[float], k: int = 10, probes: int = 150, ties: tuple[str, ...] = ()) -> DataFrame:
         """top_k over the lists whose centres are nearest; other partitions are not read."""
-        import numpy as np
-
         c, q = np.array(self.centres), np.array(query, float)
         near = np.argsort(-(c @ q) / np.maximum(np.linalg.norm(c, axis=1), 1e-12))[:probes]
         rows = self.spark.read.parquet(self.folder).filter(F.col("list_id").isin([int(x) for x in near]))

@@ -262,9 +262,20 @@ class ChunkStore:
         self._put(incoming, True)
 
     def append(self, pieces: DataFrame) -> None:
-        """Adds chunks to their articles' versions. A version is seen once it has as many chunks as chunk_count says; adding a piece again changes nothing."""
+        """Adds chunks to their articles' versions. A version is seen once it has as many chunks as chunk_count says; adding a piece again changes nothing.
+
+        Versions count in the order in which they come; of pieces that come late, `without_older` takes out those that a newer version has overtaken.
+        """
         self._put(pieces, False)
 
+    def without_older(self, pieces: DataFrame) -> DataFrame:
+        """Pieces but those of articles that are stored in a newer version. For a few late pieces, as it looks their articles up."""
+        pids = [r[0] for r in pieces.select("pid").distinct().limit(1001).collect()]
+        stored = self.articles(pids) if len(pids) <= 1000 else self.read()
+        newest = stored.groupBy(F.col("pid").alias("_pid"), F.col("source").alias("_source")).agg(F.max("last_modified_date").alias("_date"))
+        late = F.col("pid").eqNullSafe(F.col("_pid")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_date") > F.coalesce("last_modified_date", F.lit("0001-01-01").cast("timestamp")))
+        return pieces.join(newest, late, "left_anti")
+
     def delete(self, keys: DataFrame) -> None:
         """Takes the articles of keys(pid, source) out."""
         gone = keys.select(F.col("pid").cast("long").alias("pid"), "source").distinct()

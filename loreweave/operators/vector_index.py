@@ -142,7 +142,7 @@ class VectorIndex:
 
     def add(self, vectors: DataFrame, column: str = "embedding") -> None:
         """Puts vectors into their lists, by the model as it is. Null, zero and wrongly sized vectors, and those with components that are no numbers, are left out."""
-        spark, d, n_keys = self.spark, self.model.dimension, len(self.keys)
+        spark, d, names, n_keys = self.spark, self.model.dimension, self.keys, len(self.keys)
         good = vectors.filter((F.size(column) == d) & F.exists(column, lambda c: c != 0) & ~F.exists(column, lambda c: c.isNull() | F.isnan(c)))
         held = spark.sparkContext.broadcast(self.model)
 
@@ -154,7 +154,7 @@ class VectorIndex:
                 v = _matrix(b.column(n_keys), d)
                 lists = m.nearest_lists(v, m.spill)
                 codes = np.stack([m.codes(v, lists[:, s]) for s in range(lists.shape[1])], 1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists[:, 0].astype(np.int32)), pa.array(list(lists.astype(np.int32)), pa.list_(pa.int32())), pa.array([[bytes(c) for c in row] for row in codes], pa.list_(pa.binary()))], names=[*self.keys, "vector", "home", "lists", "codes"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists[:, 0].astype(np.int32)), pa.array(list(lists.astype(np.int32)), pa.list_(pa.int32())), pa.array([[bytes(c) for c in row] for row in codes], pa.list_(pa.binary()))], names=[*names, "vector", "home", "lists", "codes"])
 
         path = scratch(spark, "encoded")
         picked = good.select(*(F.col(k).cast(t) for k, t in zip(self.keys, self.key_types)), F.col(column).cast("array<float>").alias("vector"))
@@ -187,7 +187,7 @@ class VectorIndex:
         good = queries.select(query_id, F.col(vector).cast("array<float>").alias("q")).filter((F.size("q") == d) & F.exists("q", lambda c: c != 0) & ~F.exists("q", lambda c: c.isNull() | F.isnan(c)))
         path = scratch(spark, "queries")
         good.withColumn("_n", F.monotonically_increasing_id()).write.parquet(path)
-        asked, parts, n_keys = spark.read.parquet(path), [], len(self.keys)
+        asked, parts, names, n_keys = spark.read.parquet(path), [], self.keys, len(self.keys)
         total = asked.count()
         blocks = -(-total // QUERIES)
         for block in range(blocks):
@@ -213,7 +213,7 @@ class VectorIndex:
                             score = to_centre[i, x] + tables[i][np.arange(codes.shape[1]), codes].sum(1)
                             best = np.argpartition(-score, most - 1)[:most] if len(score) > most else np.arange(len(score))
                             some = b.take(pa.array(at[best]))
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), numbers[i])), *some.columns[: n_keys + 1], pa.array(score[best].astype(np.float64))], names=["_n", *self.keys, "home", "near"])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), numbers[i])), *some.columns[: n_keys + 1], pa.array(score[best].astype(np.float64))], names=["_n", *names, "home", "near"])
 
             parts.append(self.codes(sorted(by_list)).select(*self.keys, "home", "list_id", "code").mapInArrow(scan, f"_n long, {self._key_schema()}, home int, near double"))
         if not parts:

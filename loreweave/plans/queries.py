@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..config import Config
 from ..functions import text as tx, vectors as vc
 from ..operators import history as hs, pages as pg, search as sr, store as st
 from ..operators.chunking import chunk_rows
-from ..shared import scratch
-from ..sources import dumps as dp, index as ix
+from ..operators.vector_index import VectorIndex
+from ..shared import numbered, scratch
+from ..sources import dumps as dp, index as ix, multistream as ms
+from . import service as sv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,11 +73,14 @@ def content_hashes(spark, d):
 @query("""WITH o AS (SELECT doc_id, doc_id // 10 AS g, n_chars FROM documents), b AS (SELECT g, sum(n_chars)::BIGINT AS n FROM o GROUP BY g), s AS (SELECT g, coalesce(sum(n) OVER (ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM b)
 SELECT a AS start, lead(a) OVER (ORDER BY a) AS "end" FROM s""")
 def offset_ranges(spark, d):
-    """Ten documents to a stream; offsets are running sums of n_chars."""
+    """Ten documents to a stream; offsets are running sums of n_chars, and an index holds a hundred streams."""
     docs = table(spark, d, "documents").select("doc_id", "n_chars", F.expr("doc_id div 10").alias("g"))
-    sizes = docs.groupBy("g").agg(F.sum("n_chars").alias("n"))
-    offsets = sizes.select("g", F.coalesce(F.sum("n").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    return ix.byte_ranges(docs.join(offsets, "g").select(F.col("doc_id").alias("line_no"), "offset")).select("start", "end")
+    sizes = numbered(docs.groupBy("g").agg(F.sum("n_chars").alias("n")), "g", add="n").select("g", F.col("before").alias("offset"))
+    lines = docs.join(sizes, "g").select(F.col("doc_id").alias("line_no"), "offset", F.expr("g div 100").alias("index_file"))
+    ranges = ix.byte_ranges(lines, by="index_file")
+    # the last range of an index ends where the next index begins
+    first = sizes.groupBy((F.expr("g div 100") - 1).alias("index_file")).agg(F.min("offset").alias("next"))
+    return ranges.join(first, "index_file", "left").select("start", F.coalesce("end", "next").alias("end"))
 
 
 @query("WITH r AS (SELECT value, (row_number() OVER (ORDER BY event_id) - 1) // 20 AS g FROM events) SELECT g::BIGINT AS batch_group, round(avg(value), 6) AS average FROM r GROUP BY g HAVING count(*) = 20")
@@ -119,10 +125,18 @@ def delete_by_key(spark, d):
 
 @query("""SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_partkey = (SELECT min(p_partkey) FROM part WHERE p_name = (SELECT min(p_name) FROM part))""")
 def retrieve_by_title(spark, d):
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("pid"), F.col("p_name").alias("name"), F.lit("enwiki").alias("source"))
+    """Lines of orders are chunks of their part's article; they are stored, and found by name through the file index."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
     title = part.agg(F.min("name")).first()[0]
-    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("pid"), "l_orderkey", "l_linenumber", "l_quantity")
-    return lines.join(F.broadcast(st.pid_of_title(part, title, "enwiki")), "pid", "left_semi").select("l_orderkey", "l_linenumber", "l_quantity")
+    lines = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
+    content = F.to_json(F.struct("l_orderkey", "l_linenumber", "l_quantity"))
+    # an article's chunks are numbered by order and line
+    number = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber"))
+    chunks = lines.join(part, "l_partkey").select(F.col("l_partkey").cast("int").alias("pid"), "name", number.alias("chunk_index"), F.lit(1).alias("chunk_count"), content.alias("content"), F.lit("enwiki").alias("source"), F.lit(None).cast("timestamp").alias("last_modified_date"), F.lit(None).cast("array<float>").alias("embedding"))
+    store = st.ChunkStore(spark, scratch(spark, "store"))
+    store.upsert(chunks)
+    back = F.from_json("content", "l_orderkey long, l_linenumber int, l_quantity double")
+    return store.retrieve(title).select(back.alias("b")).select("b.*")
 
 
 @query("SELECT event_id, user_id, event_type, ts FROM events ORDER BY event_id DESC")
@@ -242,3 +256,58 @@ def ivf_topk(spark, d):
     lists = sr.InvertedLists(e, scratch(spark, "lists"), 8)
     q = e.filter("vec_id = 1").select("embedding").first()[0]
     return lists.search(q, 10, probes=8, ties=("vec_id",)).select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+def _index(spark, d, lists: int, spill: int) -> VectorIndex:
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    index = VectorIndex.train(e, scratch(spark, "index"), ["vec_id"], lists, spill=spill)
+    index.add(e)
+    return index
+
+
+@query("SELECT count(*)::BIGINT AS queries, 4 AS probes, 32 AS lists, true AS reached FROM embeddings WHERE vec_id % 10 = 0")
+def ann_recall(spark, d):
+    """Whether a search of an eighth of the lists finds nine tenths of the ten nearest others of each tenth vector."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = _index(spark, d, 32, 6).search(asked, 11, probes=4).select("query_id", "vec_id").filter("query_id <> vec_id")
+    exact = sr.top_k_of(e, asked, 11, "vec_id").filter("query_id <> vec_id")
+    share = exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left").agg(F.count("hit").alias("hits"), F.count("*").alias("all"), F.count_distinct("query_id").alias("queries"))
+    return share.select("queries", F.lit(4).alias("probes"), F.lit(32).alias("lists"), (F.col("hits") >= 0.9 * F.col("all")).alias("reached"))
+
+
+@query()
+def ann_topk(spark, d):
+    """The approximate search's own answer for each hundredth vector."""
+    e = table(spark, d, "embeddings")
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return _index(spark, d, 32, 6).search(asked, 10, probes=4)
+
+
+def _dump(spark, d) -> str:
+    """A folder with every document as a page of a dump; a fifth are of another namespace."""
+    folder = scratch(spark, "dumps")
+    ns = F.when(F.col("doc_id") % 5 == 4, "1").otherwise("0")
+    head = [F.lit("<page><title>T"), "doc_id", F.lit("</title><ns>"), ns, F.lit("</ns><id>"), "doc_id", F.lit('</id><timestamp>2024-01-02T03:04:05Z</timestamp><text bytes="1">[[Link|]]')]
+    page = F.concat(*head, tx.escape_markup(F.col("text")), F.lit("</text></page>"))
+    ms.write_dump(table(spark, d, "documents").select(F.col("doc_id").alias("pid"), F.concat(F.lit("T"), "doc_id").alias("title"), page.alias("xml")), folder)
+    return folder
+
+
+@query("SELECT doc_id::INT AS pid, 'T' || doc_id AS name, md5(text) AS content_md5 FROM documents")
+def range_scan(spark, d):
+    """Every document as a page of a multistream dump, found by the byte ranges of its index, decompressed, parsed and cleaned."""
+    pages = pg.clean(sv.Dumps(Config(content_folder=_dump(spark, d))).pages(spark))
+    return pages.select("pid", "name", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query("""WITH t AS (SELECT doc_id, text, string_split_regex(text, '[ \\t\\n\\r]+') AS w FROM documents WHERE doc_id % 5 <> 4),
+s AS (SELECT doc_id, text, w, unnest(CASE WHEN len(w) <= 128 THEN [0] ELSE range(0, len(w), 118) END) AS a, CASE WHEN len(w) <= 128 THEN 1 ELSE len(range(0, len(w), 118)) END AS n FROM t)
+SELECT doc_id::INT AS pid, 'T' || doc_id AS name, (a // 118 + 1)::INT AS chunk_index, n::INT AS chunk_count, md5(CASE WHEN len(w) <= 128 THEN text ELSE array_to_string(w[a + 1 : a + 128], ' ') END) AS content_md5, 'enwiki' AS source, 16 AS dimension FROM s""")
+def stream_pipeline(spark, d):
+    """A dump through the three stages as streams that run at once: pages in, chunks with vectors, store."""
+    config = Config(content_folder=_dump(spark, d), work_folder=scratch(spark, "work"), dimension=16, max_tokens=128, overlap=10, concurrent=True)
+    service = sv.Service(spark, config)
+    service.INDEXED = 1 << 60  # nothing is searched
+    service.run()
+    return service.store.read().select("pid", "name", "chunk_index", "chunk_count", F.md5(F.col("content").cast("binary")).alias("content_md5"), "source", F.size("embedding").alias("dimension"))

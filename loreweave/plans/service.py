@@ -18,7 +18,9 @@ from ..operators import history as hs, pages as pg, search as sr, store as st
 from ..operators.chunking import chunk_rows
 from ..operators.vector_index import VectorIndex
 from ..sources import index as ix
+from ..sources.dumps import Fetch
 from ..sources.multistream import pages_of
+from ..sources.refresh import DumpRefresh
 from ..streaming import stages
 from ..streaming.quarantine import Quarantine
 
@@ -267,13 +269,7 @@ class Service:
 
     def _again(self) -> int:
         """Messages in quarantine are tried once in a run, and with every batch."""
-
-        def accept(rows: DataFrame) -> None:
-            self.store.append(rows.select(*st.COLUMNS))
-            if (index := self.index()) is not None:
-                index.add(rows.select(*st.COLUMNS))
-
-        return self.quarantine.retry(f"run-{uuid.uuid4().hex}", lambda rows: stages.judged(rows, self.config.dimension, self.embed), accept)
+        return self.quarantine.retry(f"run-{uuid.uuid4().hex}", lambda rows: stages.judged(rows, self.config.dimension, self.embed), stages.accepting(self.store, self.index))
 
     # ---- search
 
@@ -323,6 +319,11 @@ class Service:
         a, b = hits.alias("a"), stored[0].alias("b")
         return a.join(b, sr.all_equal("a", "b", self.INDEX_KEYS)).orderBy("rank").select("b.name", "b.content", "b.chunk_index", "a.similarity")
 
+    def check_new_dumps(self, feeds: dict[str, tuple[str, str]], fetch: Fetch) -> dict[str, str | None]:
+        """By wiki, the date of a dump that was new and is now in the content folder, or None; feeds are (content, index) by wiki."""
+        refresh = DumpRefresh(self.history, self.config.content_folder, fetch)
+        return {key: refresh.check(key, *urls) for key, urls in feeds.items()}
+
     def retrieve(self, title: str, source: str = "enwiki") -> DataFrame:
         return self.store.retrieve(title, source)
 

@@ -47,16 +47,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
+def numbered(df: DataFrame, *order: str, add: str | None = None) -> DataFrame:
     """Adds `row_no` (from 0) in an order without ties: each range of rows is numbered in its own task, and the ranges' sizes are added up.
 
-    The numbered ranges are written once: dealt again, rows would fall into other ranges, as these come from a sample.
+    With `add` also `before`, the sum of that column over the rows before. The numbered ranges are written once: dealt again, rows would
+    fall into other ranges, as these come from a sample.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, "numbered")
     made = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     made.write.option("compression", "zstd").parquet(path)
     rows = spark.read.schema(made.schema).parquet(path).withColumn("_part", F.shiftright("_id", 33))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    sizes = rows.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("count"), (F.sum(add) if add else F.lit(0)).alias("_sum"))
+    sizes = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_added"))
     out = rows.join(F.broadcast(sizes), "_part")  # as many rows as there are ranges
-    return out.select(*df.columns, (F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).alias("row_no"))
+    number = (F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).alias("row_no")
+    if add is None:
+        return out.select(*df.columns, number)
+    inner = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)  # a range is one task's rows
+    return out.select(*df.columns, number, (F.coalesce(F.sum(add).over(inner), F.lit(0)) + F.col("_added")).alias("before"))

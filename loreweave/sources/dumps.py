@@ -55,29 +55,35 @@ def download(url: str, folder: str, fetch: Fetch) -> str:
     return target
 
 
+def feed_of(fetch: Fetch, url: str) -> tuple[str | None, str | None]:
+    """(publication date, first link of the first item) of a feed."""
+    xml = b"".join(fetch(url)).decode("utf-8", "ignore")
+    date = re.search(r"<pubDate>\s*(.*?)\s*</pubDate>", xml, re.DOTALL)
+    item = re.search(r"<item>.*?<description>(.*?)</description>", xml, re.DOTALL)
+    inner = item[1].replace("&lt;", "<").replace("&gt;", ">").replace("&quot;", '"').replace("&amp;", "&").replace("<![CDATA[", "") if item else ""
+    link = re.search(r'<a[^>]+href="([^"]+)"', inner)
+    return (date[1] or None) if date else None, link[1] if link else None
+
+
+def checksum_in(text: str, name: str) -> str | None:
+    """The checksum of a file of just that name, from lines of checksum and name."""
+    return next((p[0] for p in map(str.split, text.splitlines()) if len(p) > 1 and p[1].lstrip("*") == name), None)
+
+
 def refresh(feeds: list[tuple[str, str]], md5_url: str, folder: str, last_date: str | None, fetch: Fetch) -> str | None:
     """Downloads what the feeds [(feed url, part)] link to if their date is new; the new date once all files are right, else None."""
-    found, date = [], None
+    links, date = [], None
     for url, _ in feeds:
-        xml = b"".join(fetch(url)).decode("utf-8", "ignore")
-        m = re.search(r"<pubDate>\s*(.*?)\s*</pubDate>", xml, re.DOTALL)
-        if not m:
-            return None
-        date = m[1]
-        if date == (last_date or ""):
-            return None
-        item = re.search(r"<item>.*?<description>(.*?)</description>", xml, re.DOTALL)
-        inner = item[1].replace("&lt;", "<").replace("&gt;", ">").replace("&quot;", '"').replace("<![CDATA[", "") if item else ""
-        link = re.search(r'<a[^>]+href="([^"]+)"', inner)
-        if not link:
+        date, link = feed_of(fetch, url)
+        if date is None or link is None or date == (last_date or ""):
             return None
-        found.append(link[1])
-    sums = [line.split() for line in b"".join(fetch(md5_url)).decode().splitlines() if line.strip()]
-    for link in found:
+        links.append(link)
+    sums = b"".join(fetch(md5_url)).decode("utf-8", "ignore")
+    for link in links:
         path = download(link, folder, fetch)
-        good = next((s[0] for s in sums if os.path.basename(path) in " ".join(s)), None)
+        good = checksum_in(sums, os.path.basename(path))
+        if good is None:
+            os.remove(path)
         if good is None or not md5_matches(path, good):
-            if good is None:
-                os.remove(path)
             return None
     return date

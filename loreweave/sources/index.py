@@ -55,7 +55,7 @@ def byte_ranges(lines: DataFrame, by: str | None = None, order: str = "line_no")
     """start, end (null: to the end) of each run of equal offsets, per file.
 
     The last range is emitted whatever the last line looks like. A window orders the lines of one
-    file only, which an index bounds.
+    file only, which an index bounds; lines of several files need `by`.
     """
     w = Window.partitionBy(*([by] if by else [F.lit(1)])).orderBy(order)
     keys = [by] if by else []

@@ -46,8 +46,8 @@ class Quarantine:
     def run(self, batch: DataFrame, batch_id: str, judge: Callable[[DataFrame], DataFrame], accept: Callable[[DataFrame], None]) -> int:
         """Judges a batch together with the messages that wait, gives the good rows to accept and notes the others; returns the number of good rows.
 
-        judge keeps all rows, may add columns, and adds `error` (null: good). accept has to bear rows that it has had before: it
-        comes before the ledger, so nothing is lost in between.
+        judge keeps all rows, may add columns, and adds `error` (null: good). accept gets them with `again`, whether they have
+        waited, and has to bear rows that it has had before: it comes before the ledger, so nothing is lost in between.
         """
         names = [f.name for f in self.schema.fields]
         new = batch.select(names).withColumn("_text", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}))
@@ -60,7 +60,7 @@ class Quarantine:
         judged = self.spark.read.parquet(path)
         counts = judged.agg(F.count_if(F.col("error").isNull()).alias("good"), F.count_if(F.col("error").isNotNull() | F.col("_again")).alias("noted")).first()
         if counts["good"]:
-            accept(judged.filter("error is null").drop("error", "_text", "_id", "_again"))
+            accept(judged.filter("error is null").withColumnRenamed("_again", "again").drop("error", "_text", "_id"))
         if counts["noted"]:
             notes = judged.filter(F.col("error").isNotNull() | F.col("_again")).select(F.col("_id").alias("message_id"), F.lit(batch_id).alias("batch"), F.when(F.col("error").isNull(), DONE).otherwise(FAILED).alias("status"), "error", F.col("_text").alias("message"), F.current_timestamp().alias("tried_at"))
             notes.dropDuplicates(["message_id"]).write.mode("append").parquet(self.folder)

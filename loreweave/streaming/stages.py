@@ -62,6 +62,21 @@ def judged(rows: DataFrame, dimension: int, embed: Callable[[Column], Column] |
     return checked.withColumn("error", error).drop("_d")
 
 
+def accepting(store: st.ChunkStore, index: Callable[[], VectorIndex | None] | None = None) -> Callable[[DataFrame], None]:
+    """What takes good rows into the store and the index. Rows that have waited may have been overtaken by a newer version."""
+
+    def accept(rows: DataFrame) -> None:
+        good = rows.filter("not again").select(*st.COLUMNS)
+        late = rows.filter("again").select(*st.COLUMNS)
+        if not late.isEmpty():
+            good = good.unionByName(store.without_older(late))
+        store.append(good)
+        if index is not None and (found := index()) is not None:
+            found.add(good)
+
+    return accept
+
+
 def store_stream(spark: SparkSession, processed: str, store: st.ChunkStore, checkpoint: str, dimension: int, files: int = 64, available: bool = True, on_batch: Callable[[int, float], None] | None = None, quarantine: Quarantine | None = None, embed: Callable[[Column], Column] | None = None, index: Callable[[], VectorIndex | None] | None = None) -> StreamingQuery:
     """Stage 3: adds each micro-batch to the store and to the index; a batch that is replayed changes nothing.
 
@@ -69,18 +84,14 @@ def store_stream(spark: SparkSession, processed: str, store: st.ChunkStore, chec
     quarantine, the others of their batch on; without a quarantine such a message is an error.
     """
 
-    def accept(rows: DataFrame) -> None:
-        good = rows.select(*st.COLUMNS)
-        store.append(good)
-        if index is not None and (found := index()) is not None:
-            found.add(good)
+    accept = accepting(store, index)
 
     def put(batch: DataFrame, number: int) -> None:
         began = time.perf_counter()
         if quarantine is not None:
             n = quarantine.run(batch, f"batch-{number}", lambda rows: judged(rows, dimension, embed), accept)
         else:
-            rows = judged(batch, dimension, embed).persist()
+            rows = judged(batch, dimension, embed).withColumn("again", F.lit(False)).persist()
             bad = rows.filter("error is not null").select("error").first()
             if bad is not None:
                 rows.unpersist()
