@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import BROADCAST_ROWS, Workspace, read_table
 
-#: Suffixes of two labels that count as one, besides the last label of any host.
-WIDE_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
+#: Second labels that make a suffix of two labels with a country's label of two letters (fixed values): public registries' usual branches.
+BRANCHES = "ac co com edu gob gov go gv mil ne net nom or org".split()
 FLOOR = 0.5
 BOUND_Z = 1.6448536269514722
 WEAKEST, STRONGEST = 1.0, 1000.0
@@ -47,15 +47,30 @@ def path_of(url: Column) -> Column:
     return F.coalesce(rest, F.lit(""))
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: a label more than the suffix; a host without dots is its own."""
-    wide = F.substring_index(host, ".", -2).isin(*WIDE_SUFFIXES)
-    return F.when(wide, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def site_of(host: Column) -> Column:
+    """A host without user, port and closing dots: what a reputation belongs to."""
+    return F.regexp_replace(F.regexp_replace(host, "(?s)^.*@", ""), r"\.*(?::[0-9]*)?$", "")
 
 
-def suffix_of(host: Column) -> Column:
-    wide = F.substring_index(host, ".", -2).isin(*WIDE_SUFFIXES)
-    return F.when(wide, F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
+def _labels(site: Column, suffixes: tuple[str, ...]) -> Column:
+    """Labels of a site's suffix: two for a branch of a country or a suffix that is given, else one; a number or literal address is one label."""
+    two = F.substring_index(site, ".", -2)
+    wide = two.rlike(rf"^(?:{'|'.join(BRANCHES)})\.[a-z][a-z]$")
+    return F.when(wide | two.isin(*suffixes) if suffixes else wide, 2).otherwise(1)
+
+
+def _is_address(site: Column) -> Column:
+    return site.rlike(r"^[0-9.]+$|^\[")
+
+
+def domain_of(site: Column, suffixes: tuple[str, ...] = ()) -> Column:
+    """The registered domain: a label more than the suffix; a site without dots, and an address, is its own."""
+    return F.when(_is_address(site), site).when(_labels(site, suffixes) == 2, F.substring_index(site, ".", -3)).otherwise(F.substring_index(site, ".", -2))
+
+
+def suffix_of(site: Column, suffixes: tuple[str, ...] = ()) -> Column:
+    """The public suffix; addresses have one in common, which is empty."""
+    return F.when(_is_address(site), F.lit("")).when(_labels(site, suffixes) == 2, F.substring_index(site, ".", -2)).otherwise(F.substring_index(site, ".", -1))
 
 
 def rule_for(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column, Column]:
@@ -84,13 +99,13 @@ def _level(counts: DataFrame, key: str, parents: DataFrame | None, up: str | Non
     return base.join(F.broadcast(fit)).select(*counts.columns, (F.col("k") + F.col("s") * F.col("m")).alias("a"), (F.col("n") - F.col("k") + F.col("s") * (1 - F.col("m"))).alias("b"), "s")
 
 
-def reputations(outcomes: DataFrame, ws: Workspace) -> dict[str, DataFrame]:
+def reputations(outcomes: DataFrame, ws: Workspace, suffixes: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Beta posteriors (a, b) by host, domain and suffix of outcomes(host, good 0/1); null outcomes are no evidence.
 
     Each level is written before the next one reads it: it is read for its own strength and for the level below.
     """
     hosts = outcomes.filter("good is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("good").cast("double").alias("k"))
-    hosts = ws.write(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
+    hosts = ws.write(hosts.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes)), "hosts")
     domains = ws.write(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
     suffixes = ws.write(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "suffixes")
     s = ws.write(_level(suffixes, "suffix", None, None), "suffix-posteriors")
@@ -103,9 +118,11 @@ def upper_bound(a: Column, b: Column, z: float = BOUND_Z) -> Column:
     return mean + z * F.sqrt(mean * (1 - mean) / (a + b + 1))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, floor: float = FLOOR, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, floor: float = FLOOR, broadcast_rows: int = BROADCAST_ROWS, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """Adds host, path, rule, bound and verdict to pages(url, ...); clashing columns are replaced.
 
+    A host's user, port and closing dots stay in host and path and have no bearing on its reputation. suffixes are
+    public suffixes of two labels besides the branches of countries, as a user's own list has them.
     outcomes(url, good): 1 for a good page, 0 for a bad one, null for none. A url that is null or has no
     `://` has an empty host and path and is judged like any host. Unknown hosts fall back to their domain,
     then their suffix, and are allowed when nothing is known of either; a bound at the floor is allowed.
@@ -115,9 +132,9 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] =
     none of them hot, meet theirs by a shuffle.
     """
     spark, ws = pages.sparkSession, Workspace(pages.sparkSession)
-    known = reputations(outcomes.select(host_of(F.col("url")).alias("host"), F.col("good")), ws)
-    hosts = pages.select(host_of(F.col("url")).alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
-    hosts = ws.write(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "page-hosts")
+    known = reputations(outcomes.select(site_of(host_of(F.col("url"))).alias("host"), F.col("good")), ws, suffixes)
+    hosts = pages.select(site_of(host_of(F.col("url"))).alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
+    hosts = ws.write(hosts.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes)), "page-hosts")
     judged = hosts
     for level, post in known.items():
         prior = post.select(F.col(level).alias("_k"), F.col("a").alias(f"a_{level}"), F.col("b").alias(f"b_{level}"), F.col("s").alias(f"s_{level}"))
@@ -129,18 +146,18 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] =
 
     bound = F.coalesce(upper_bound(F.col("a_host"), F.col("b_host")), shrunk("domain"), shrunk("suffix"), F.lit(1.0))
     judged = ws.write(judged.select(F.col("host").alias("_h"), bound.alias("bound"), "pages"), "judged")
-    base = pages.drop("bound").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    base = pages.drop("bound").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("_site", site_of(F.col("host")))
     n, total = judged.agg(F.count("*"), F.sum("pages")).first()
     narrow = judged.drop("pages")
     if n <= broadcast_rows:
-        out = base.join(F.broadcast(narrow), F.col("host") == F.col("_h"))
+        out = base.join(F.broadcast(narrow), F.col("_site") == F.col("_h"))
     else:
         hot = F.broadcast(judged.filter(F.col("pages") * 1000 >= total).drop("pages"))
-        out = base.join(hot, F.col("host") == F.col("_h"))
-        cold = base.join(hot, F.col("host") == F.col("_h"), "left_anti").join(narrow.hint("merge"), F.col("host") == F.col("_h"))
+        out = base.join(hot, F.col("_site") == F.col("_h"))
+        cold = base.join(hot, F.col("_site") == F.col("_h"), "left_anti").join(narrow.hint("merge"), F.col("_site") == F.col("_h"))
         out = out.unionByName(cold)
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    return out.drop("_h").withColumn("rule", name).withColumn("verdict", F.coalesce(verdict, F.when(F.col("bound") < floor, "block").otherwise("allow")))
+    return out.drop("_h", "_site").withColumn("rule", name).withColumn("verdict", F.coalesce(verdict, F.when(F.col("bound") < floor, "block").otherwise("allow")))
 
 
 def op9_host_reputation(spark, sf_dir: str) -> DataFrame:
@@ -157,16 +174,17 @@ def op9_host_reputation(spark, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-WITH p AS (
+WITH q AS (
   SELECT page_id,
     coalesce(CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END, '') AS host,
     coalesce(CASE WHEN instr(url, '://') > 0 THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) END, '') AS path
   FROM pages),
+p AS (SELECT *, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), '\\.*(?::[0-9]*)?$', '') AS site FROM q),
 l AS (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END AS good FROM labels),
-h0 AS (SELECT host, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS k FROM p JOIN l ON page_id = doc_id WHERE good IS NOT NULL GROUP BY host),
-names AS (SELECT host, string_split(host, '.') AS parts FROM (SELECT DISTINCT host FROM p)),
-wide AS (SELECT host, parts, len(parts) AS c, array_to_string(parts[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br') AS w FROM names),
-named AS (SELECT host, array_to_string(CASE WHEN w THEN parts[-3:] ELSE parts[-2:] END, '.') AS domain, array_to_string(CASE WHEN w THEN parts[-2:] ELSE parts[-1:] END, '.') AS suffix FROM wide),
+h0 AS (SELECT site AS host, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS k FROM p JOIN l ON page_id = doc_id WHERE good IS NOT NULL GROUP BY site),
+names AS (SELECT host, string_split(host, '.') AS parts FROM (SELECT DISTINCT site AS host FROM p)),
+wide AS (SELECT host, parts, regexp_matches(host, '^[0-9.]+$|^\\[') AS ip, regexp_matches(array_to_string(parts[-2:], '.'), '^(?:ac|co|com|edu|gob|gov|go|gv|mil|ne|net|nom|or|org)\\.[a-z][a-z]$') AS w FROM names),
+named AS (SELECT host, CASE WHEN ip THEN host ELSE array_to_string(CASE WHEN w THEN parts[-3:] ELSE parts[-2:] END, '.') END AS domain, CASE WHEN ip THEN '' ELSE array_to_string(CASE WHEN w THEN parts[-2:] ELSE parts[-1:] END, '.') END AS suffix FROM wide),
 h AS (SELECT h0.*, domain, suffix FROM h0 JOIN named USING (host)),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
@@ -186,14 +204,14 @@ j AS (
     sp.a / (sp.a + sp.b) + 1.6448536269514722 * sqrt(sp.a / (sp.a + sp.b) * (1 - sp.a / (sp.a + sp.b)) / (sp.st + 1)), 1.0) AS bound
   FROM named LEFT JOIN hp USING (host) LEFT JOIN dp USING (domain) LEFT JOIN sp USING (suffix)),
 r AS (
-  SELECT page_id, host, path, CASE
+  SELECT page_id, host, path, site, CASE
     WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
     WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
   FROM p)
-SELECT page_id, host, path, rule,
+SELECT page_id, r.host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound < 0.5 THEN 'block' ELSE 'allow' END AS verdict, round(bound, 6) AS bound
-FROM r JOIN j USING (host)
+FROM r JOIN j ON j.host = r.site
 """

@@ -96,16 +96,23 @@ def risk_gradient(z: np.ndarray, is_pos: np.ndarray, prior: float) -> np.ndarray
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = ROUNDS, l2: float = 1e-4, rate: float = 0.1) -> Model:
-    """Fits the model by Adam on the whole sample; without any positive text every score is that of the prior."""
+    """Fits the model by Adam on the whole sample.
+
+    Without positive or unlabelled texts, and without any word that tells them apart, nothing speaks for a text's being positive: every
+    score is that of the prior, and below 0.5 whatever the prior.
+    """
     weights = np.zeros(BUCKETS)
     prior = min(max(prior, 1e-3), 0.999)
+    no_evidence = Model(weights, float(np.log(min(prior, 0.499) / (1 - min(prior, 0.499)))))
     positive, unlabelled = one_of_each(positive), one_of_each(unlabelled)
     if not positive or not unlabelled:
-        return Model(weights, float(np.log(prior / (1 - prior))))
+        return no_evidence
     n_pos, n_unl = len(positive), len(unlabelled)
     a, b = counted(positive), counted(unlabelled)
     words = np.flatnonzero(a + b >= LEAST_TEXTS)
     words = words[telling(a[words].astype(float), b[words].astype(float), n_pos, n_unl)]
+    if not len(words):
+        return no_evidence
     place = np.full(BUCKETS, -1, np.int32)
     place[words] = np.arange(len(words))
     kept = [p[p >= 0] for p in (place[t] for t in positive + unlabelled)]
@@ -185,7 +192,7 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     """Every document's score. Null and empty texts score as a text without words; a null doc_id is held out as the empty text is not.
 
     Rows with a repeated doc_id are scored each for itself; equal texts have equal scores. An empty
-    table gives no rows, and without labels every score is that of the prior.
+    table gives no rows, and without labels every score is that of the prior, below 0.5. A very long text is split into words in pieces.
     """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, read_table(spark, sf_dir, "labels"))
