@@ -111,7 +111,8 @@ def op1_spotsigs(spark, sf_dir: str) -> DataFrame:
     a null doc_id comes last. Texts then move once by the row's number, and only the needed start of a text and its
     fingerprint go on to the row before it. Rows are told apart by that number, so repeated rows stay as
     often as they occur and equal ones follow each other. A null text is empty: without signatures, like
-    another empty one and unlike any other. A single row is its own next; an empty table gives no rows.
+    another empty one and unlike any other. A single row is its own next; an empty table gives no rows. A very long text
+    is one row's work, by functions that hold its words. Letters are lower-cased as Java does, which differs from other rules in a few (U+0130).
     """
     ws = Workspace(spark)
     # a row is known by its file and its place in it: plain columns, so that both joins share one exchange of the texts
@@ -124,12 +125,13 @@ def op1_spotsigs(spark, sf_dir: str) -> DataFrame:
     # what each row must send to the one before it
     before = ranked.select(F.col("_file").alias("to_file"), F.col("_row").alias("to_row"), (-F.col("down")).alias("doc_id"), F.floor(F.col("n_chars") / 3).cast("int").alias("wanted"), F.expr(f"(rank + 1) % {max(total, 1)}").alias("rank"))
     sends = ranked.select(F.col("_file").alias("from_file"), F.col("_row").alias("from_row"), "rank").join(before, "rank").drop("rank")
-    texts = docs.drop("doc_id")
+    # a text's signatures are found once and go with it
+    texts = docs.drop("doc_id").withColumn("sigs", message(signatures_of(F.col("text"))))
     parts = texts.join(sends, (F.col("_file") == F.col("from_file")) & (F.col("_row") == F.col("from_row")))
-    messages = parts.select("to_file", "to_row", "doc_id", F.substr("text", F.lit(1), F.col("wanted")).alias("start"), message(signatures_of(F.col("text"))).alias("next_sigs"))
+    messages = parts.select("to_file", "to_row", "doc_id", F.substr("text", F.lit(1), F.col("wanted")).alias("start"), F.col("sigs").alias("next_sigs"))
     own = texts.join(messages, (F.col("_file") == F.col("to_file")) & (F.col("_row") == F.col("to_row"))).withColumn("n_chars", F.length("text"))
     edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")), F.col("start"))
-    out = own.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), signatures_of(F.col("text")).alias("sigs"), signatures_of(edited).alias("edited"), signatures_in(F.col("next_sigs")).alias("next"))
+    out = own.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), signatures_in(F.col("sigs")).alias("sigs"), signatures_of(edited).alias("edited"), signatures_in(F.col("next_sigs")).alias("next"))
     return out.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited")).alias("near_edited"), likeness(F.col("sigs"), F.col("next")).alias("near_next"))
 
 
