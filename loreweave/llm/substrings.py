@@ -226,9 +226,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = MINIMISER,
     ws.release()
     if n_crowds:
         dealt = strings_of(packed.join(crowds, ["k1", "k2"], "left_semi")).mapInArrow(deal, "k1 long, k2 long, ph long, at int, words binary, times long")
-        dealt = ws.write(dealt.withColumn("wh", F.xxhash64("words")), "dealt")
-        again = dealt.groupBy("wh", "words").agg(F.sum("times").alias("times")).filter("times > 1").select("wh").distinct()
-        again = dealt.select("k1", "k2", "ph", "at", "wh").join(again, "wh").groupBy("k1", "k2", "ph").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+        # 128 bits, by two hashes, stand for a window's words, which would be 35 times as much as the strings
+        dealt = ws.write(dealt.withColumn("wh", F.xxhash64("words")).withColumn("wh2", F.xxhash64(F.lit("w"), F.reverse(F.hex("words")))).drop("words"), "dealt")
+        again = dealt.groupBy("wh", "wh2").agg(F.sum("times").alias("times")).filter("times > 1").select("wh", "wh2")
+        again = dealt.select("k1", "k2", "ph", "at", "wh", "wh2").join(again, ["wh", "wh2"]).groupBy("k1", "k2", "ph").agg(F.sort_array(F.collect_set("at")).alias("starts"))
         flags = flags.unionByName(ws.write(again.withColumn("ends", F.transform("starts", lambda s: s + window)), "again"))
         ws.release()
     covers = packed.select("k1", "k2", "ph", "doc_id", "_hash", "start").join(flags, ["k1", "k2", "ph"])
