@@ -11,7 +11,10 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; its labels are those of the table."""
+    """Documents that the classifier rejects go; its labels are those of the table.
+
+    Null and empty texts, and all texts where nothing tells toxic ones apart, are not rejected. Repeated rows share their fate.
+    """
     model = toxicity.fit(docs, common.read_table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs, model).filter("predicted = 0").select(*docs.columns)
 
@@ -31,30 +34,35 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words inside repeated windows go; so do documents that had words and have none left."""
+    """Words inside repeated windows go; so do documents that had words and have none left.
+
+    A text of which nothing goes stays as it is, also a null or blank one. Equal texts repeat each other, so both lose their windows.
+    """
     kept = substrings.remove_repeats(docs).filter("n_removed < n_words or n_words = 0")
     return kept.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))).withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts hold what the mix takes of them."""
+    """Texts hold what the mix takes of them; documents of which it takes nothing go, and with them null and blank texts."""
     return mixing.mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every token of every document in a sequence of at most 1024."""
+    """Every token of every document in a sequence of at most 1024. A null text is empty and has its end token; repeated rows are packed each for itself."""
     return packing.pack_documents(docs)
 
 
 STAGES = [("toxicity", drop_toxic), ("near copies", drop_near_copies), ("substrings", drop_repeated_passages), ("mixing", mix), ("packing", pack)]
-#: Learning, hashing and tokenizing have no SQL form; tests hold the operators behind the stages against plain Python.
+#: Learning and tokenizing have no SQL form; tests/llm holds all stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written and read again."""
-    ws = common.Workspace(spark)  # its tables go when the driver program ends
+    """Applies the stages to documents; each result is written and read again, and the one before it goes. An empty table passes through."""
+    ws = common.Workspace(spark)  # the last table goes when the driver program ends
     docs = common.read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = ws.write(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            ws.drop(f"stage-{k - 1}")
     return docs
