@@ -1,4 +1,4 @@
-"""All settings in one frozen object, read from the environment."""
+"""All settings in one frozen object, read from the environment. Names of variables and defaults are fixed values of the interface."""
 
 from __future__ import annotations
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import iso_timestamp, safe_name, strip_markup
 
-#: Lazy bodies: a nested alternation can exhaust the JVM's stack on long texts.
+#: What a page is told by (fixed values of the dump format). Lazy bodies: a nested alternation can exhaust the JVM's stack on long texts.
 TITLE, PAGE_ID, BODY, STAMP = r"(?s)<title>(.*?)</title>", r"(?s)<title>.*?<id>(\d+)</id>", r"(?s)<id>\d+</id>.*?<text[^>]*>(.*?)</text>", r"<timestamp>([^<]+)</timestamp>"
 WIKILINK = r"\[\[[^\]]+\]\]"
 

@@ -67,14 +67,17 @@ def sized_lists(n: int, lists: int, probes: int) -> tuple[int, int]:
 
 
 class InvertedLists:
-    """Approximate search: k-means lists on unit vectors, written with the list as partition column."""
+    """Whole vectors in k-means lists, written with the list as partition column; trained on SAMPLE_OF_LIST vectors a list. VectorIndex is the one that grows."""
 
-    def __init__(self, vectors: DataFrame, folder: str, lists: int, column: str = "embedding", seed: int = 1, sample: float = 1.0):
+    SAMPLE_OF_LIST = 256
+
+    def __init__(self, vectors: DataFrame, folder: str, lists: int, column: str = "embedding", seed: int = 1):
         self.spark, self.folder, self.column = vectors.sparkSession, folder, column
+        sample = min(1.0, self.SAMPLE_OF_LIST * lists / max(vectors.count(), 1))
         unit = vectors.withColumn("_v", array_to_vector(l2_normalise(F.col(column))))
         model = KMeans(k=lists, seed=seed, featuresCol="_v", predictionCol="list_id").fit(unit.sample(sample, seed) if sample < 1 else unit)
         self.centres = [c.tolist() for c in model.clusterCenters()]
-        model.transform(unit).drop("_v").repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(folder)
+        model.transform(unit).drop("_v").withColumn("_m", F.rand(seed)).repartitionByRange("list_id", "_m").drop("_m").write.mode("overwrite").partitionBy("list_id").parquet(folder)
 
     def search(self, query: list[float], k: int = 10, probes: int = 150, ties: tuple[str, ...] = ()) -> DataFrame:
         """top_k over the lists whose centres are nearest; other partitions are not read."""

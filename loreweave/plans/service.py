@@ -319,6 +319,14 @@ class Service:
         a, b = hits.alias("a"), stored[0].alias("b")
         return a.join(b, sr.all_equal("a", "b", self.INDEX_KEYS)).orderBy("rank").select("b.name", "b.content", "b.chunk_index", "a.similarity")
 
+    def search_answer(self, query: str, limit: int = 10) -> dict:
+        """The search as its interface answers it: the query and a row for each result."""
+        return {"query": query, "results": [r.asDict() for r in self.search(query, limit).collect()]}
+
+    def retrieve_answer(self, title: str, source: str = "enwiki") -> list[dict]:
+        """An article's chunks as the interface answers them."""
+        return [r.asDict() for r in self.retrieve(title, source).collect()]
+
     def check_new_dumps(self, feeds: dict[str, tuple[str, str]], fetch: Fetch) -> dict[str, str | None]:
         """By wiki, the date of a dump that was new and is now in the content folder, or None; feeds are (content, index) by wiki."""
         refresh = DumpRefresh(self.history, self.config.content_folder, fetch)

@@ -1,4 +1,4 @@
-"""Fixed schemas of the knowledge store, the run history and the stage messages."""
+"""Schemas of the knowledge store, the run history and the stage messages. Names and types are fixed values, as stored data have them."""
 
 from pyspark.sql import types as T
 

@@ -115,6 +115,8 @@ def test_the_service_searches_through_the_index(spark, tmp_path):
     assert s.index() is not None
     through = [tuple(r) for r in s.search("text 7", 5).collect()]
     assert [r[:3] for r in through] == [r[:3] for r in before] and np.allclose([r[3] for r in through], [r[3] for r in before], atol=1e-6)
+    answer = s.search_answer("text 7", 2)
+    assert answer["query"] == "text 7" and [r["name"] for r in answer["results"]] == [r[0] for r in before[:2]] and s.retrieve_answer(before[0][0])[0]["chunk_index"] == 1
     # what was replaced or deleted is not found; what came later is
     query = vc.query_text("text 7")
     better = spark.createDataFrame([(int(before[0][0][1:]), before[0][0], 1, 1, "other", "enwiki", dt.datetime(2024, 1, 2), (-e.embed([query])[0]).tolist()), (777, "best", 1, 1, "best", "enwiki", dt.datetime(2024, 1, 2), e.embed([query])[0].tolist())], s.store.schema)
