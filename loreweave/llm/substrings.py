@@ -122,7 +122,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = MINIMISER,
 
     Words are runs outside blanks, unchanged; kept_text is the words that no repeated window covers,
     joined by one space. A null text has no words and an empty kept_text. Rows are told apart by
-    doc_id and text, so a row that occurs twice repeats itself. Clashing columns are replaced.
+    doc_id and text, so a row that occurs twice repeats itself. Clashing columns are replaced. An empty table gives
+    no rows. A very long text is hashed in pieces and cut whole.
     """
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession)
     gram = min(gram, window)
@@ -229,6 +230,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = MINIMISER,
         # 128 bits, by two hashes, stand for a window's words, which would be 35 times as much as the strings
         dealt = ws.write(dealt.withColumn("wh", F.xxhash64("words")).withColumn("wh2", F.xxhash64(F.lit("w"), F.reverse(F.hex("words")))).drop("words"), "dealt")
         again = dealt.groupBy("wh", "wh2").agg(F.sum("times").alias("times")).filter("times > 1").select("wh", "wh2")
+        again = ws.write(again, "repeated")  # a side of its own in the join: the rows of a window in very many strings can be split over tasks
         again = dealt.select("k1", "k2", "ph", "at", "wh", "wh2").join(again, ["wh", "wh2"]).groupBy("k1", "k2", "ph").agg(F.sort_array(F.collect_set("at")).alias("starts"))
         flags = flags.unionByName(ws.write(again.withColumn("ends", F.transform("starts", lambda s: s + window)), "again"))
         ws.release()
