@@ -73,13 +73,13 @@ def fingerprint(sigs: Column) -> Column:
 
 
 def message(sigs: Column) -> Column:
-    """The set as one string that signatures_in cuts in one pass: an array's slots would take three times the room."""
-    return F.array_join(sigs, " ")
+    """The set as bytes, half a byte for a digit: an array's slots would take six times the room."""
+    return F.unhex(F.array_join(sigs, ""))
 
 
 def signatures_in(sent: Column) -> Column:
-    """The set that a message holds."""
-    return F.when(sent != "", F.split(sent, " ")).otherwise(F.array().cast("array<string>"))
+    """The set that a message holds, cut in one pass."""
+    return F.regexp_extract_all(F.lower(F.hex(sent)), F.lit(f".{{{SIGNATURE_DIGITS}}}"), F.lit(0))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
