@@ -1,11 +1,12 @@
 """Exact top-k search over an impact-ordered index, processed score at a time.
 
 Components are turned into integers. In each shard every dimension has its postings cut into segments of like components;
-a segment's impact for a query is the most that one of its postings can add to a score. Segments are
-processed by descending impact, which gives each point an upper bound: what its postings seen so far add at most, and for each
-dimension not yet seen the impact of the next segment. Points whose bound reaches the k-th best exact score known
-are possible members. Processing stops when scoring all of them exactly costs less than the next segments: what is
-left out is proven to be outside, what is possible is scored, so the result is exact.
+a segment's impact for a query is the most that one of its postings can add to a score. Segments of the highest impact are
+processed for each query. They name the likeliest points, whose exact scores say what a member must reach, and give each point an upper
+bound: what its postings seen so far add at most, and for each dimension not yet seen the impact of the next segment. Points
+whose bound falls short are proven to be outside. The others are checked exactly, for all queries of a block together, and a
+score counts only if it reaches what its query has so far. A posting costs some 10 ns and a component of that check 0.2 ns, so
+processing further segments to leave out more points costs more than it saves.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ SEGMENTS = 32
 SHARD_MOST, SHARD_LEAST = 65_536, 4_096
 #: Query vectors that visit a shard together.
 QUERY_BLOCK = 512
-#: Parts of all postings after which bounds are looked at.
-ROUNDS = 12
+#: One part of so many of all postings is processed for a query before its points are checked.
+PARTS = 32
+#: Points that are checked at once; a point that is checked alone costs as much as so many of them together.
+CHECKED, ALONE = 4_096, 8
 _LONG = (1 << 63) - 1
 
 
@@ -56,32 +59,57 @@ class ImpactIndex:
         """Whether all sums for a query are exact."""
         return self.d > 0 and self.d * self.most * float(np.abs(q).max(initial=0)) < self.mark / 2
 
-    def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(points, exact scores, postings processed) of the k highest inner products, ties to the smaller point."""
+    def _process(self, q: np.ndarray, k: int) -> tuple[float, np.ndarray, int]:
+        """(what a member must reach at least, points that may, postings processed) from the segments of the highest impact."""
         impact = np.maximum(q[self.dims] * self.lows, q[self.dims] * self.highs)
         order = np.argsort(-impact, kind="stable")
-        impact, starts, sizes = impact[order], self.starts[order], self.sizes[order]
-        ends = np.cumsum(sizes)
-        step = -(-self.n * self.d // ROUNDS)
-        sums, least, at, done = np.zeros(self.n), -np.inf, 0, 0
-        possible = np.arange(self.n)
-        while at < len(order):
-            to = min(int(np.searchsorted(ends, done + step)) + 1, len(order))
-            run = sizes[at:to]
-            places = np.repeat(starts[at:to] - (ends[at:to] - run - done), run) + np.arange(ends[to - 1] - done)
-            sums += np.bincount(self.postings[places], np.repeat(impact[at:to] + self.mark, run), self.n)
-            at, done = to, int(ends[to - 1])
-            seen = np.rint(sums / self.mark)
-            reach = sums - seen * self.mark + (self.d - seen) * (impact[at] if at < len(order) else 0.0)
-            if self.n > 4 * k:  # exact scores of the likeliest raise what a member must reach
-                likely = np.argpartition(-reach, 4 * k)[: 4 * k]
-                least = max(least, float(np.partition(self.x[likely] @ q, 3 * k)[3 * k]))
-            possible = np.flatnonzero(reach >= least)
-            if len(possible) * self.d <= step:
-                break
-        scores = self.x[possible] @ q
-        best = np.lexsort((possible, -scores))[:k]
-        return possible[best], scores[best], done
+        ends = np.cumsum(self.sizes[order])
+        to = min(int(np.searchsorted(ends, -(-self.n * self.d // PARTS))) + 1, len(order))
+        top, run, done = order[:to], self.sizes[order[:to]], int(ends[to - 1])
+        places = np.repeat(self.starts[top] - (ends[:to] - run), run) + np.arange(done)
+        sums = np.bincount(self.postings[places], np.repeat(impact[top] + self.mark, run), self.n)
+        seen = np.rint(sums / self.mark)
+        reach = sums - seen * self.mark + (self.d - seen) * (impact[order[to]] if to < len(order) else 0.0)
+        likely = np.argpartition(-reach, 4 * k)[: 4 * k]
+        least = float(np.partition(self.x[likely] @ q, 3 * k)[3 * k])
+        return least, np.flatnonzero(reach >= least), done
+
+    def search_all(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(row of queries, point, exact score, postings processed) of the k highest inner products of each query, ties to the smaller point."""
+        held, total = [np.zeros(0, int), np.zeros(0, int), np.zeros(0)], 0
+        least = np.full(len(queries), -np.inf)
+        wide = []
+
+        def merge(who: np.ndarray, points: np.ndarray, scores: np.ndarray) -> None:
+            who, points, scores = (np.concatenate(c) for c in zip(held, (who, points, scores)))
+            order = np.lexsort((points, -scores, who))
+            first = np.searchsorted(who[order], who[order])
+            order = order[np.arange(len(order)) - first < k]
+            held[:] = who[order], points[order], scores[order]
+            full = np.flatnonzero(np.arange(len(order)) - np.searchsorted(held[0], held[0]) == k - 1)
+            least[held[0][full]] = np.maximum(least[held[0][full]], held[2][full] + 1)  # scores are whole, and later points lose a tie
+
+        for i, q in enumerate(queries):
+            if self.n <= 4 * k:
+                wide.append(i)
+                continue
+            least[i], possible, done = self._process(q, k)
+            total += done
+            if len(possible) * ALONE > self.n:
+                wide.append(i)
+            else:
+                merge(np.full(len(possible), i), possible, self.x[possible] @ q)
+        for at in range(0, self.n if wide else 0, CHECKED):
+            scores = queries[wide] @ self.x[at : at + CHECKED].T
+            who, points = np.nonzero(scores >= least[wide, None])
+            if len(who):
+                merge(np.array(wide)[who], at + points, scores[who, points])
+        return (*held, total)
+
+    def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(points, exact scores, postings processed) of the k highest inner products, ties to the smaller point."""
+        _, points, scores, done = self.search_all(q[None], k)
+        return points, scores, done
 
 
 def _whole_search(x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +151,8 @@ def search_exactly(vectors: DataFrame, queries: Callable[[Column], Column], key:
     members = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "row"))).alias("members"))
     points = ws.write(members.withColumn("point", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "points")
     n = points.count()
-    shards = max(1, math.ceil(n / SHARD_MOST), min(spark.sparkContext.defaultParallelism, n // SHARD_LEAST))
+    cores = spark.sparkContext.defaultParallelism
+    shards = max(1, min(cores * math.ceil(n / (cores * SHARD_MOST)), n // SHARD_LEAST))  # as much for each core
     sharded = points.select("point", "v", F.col("members")[0]["id"].alias("id"), F.col("members")[0]["row"].alias("row"), "dim", F.pmod(F.xxhash64("point"), F.lit(shards)).cast("int").alias("shard"))
     shape = "dim int, shard int, block int, ids binary, x binary, postings binary"
 
@@ -136,8 +165,8 @@ def search_exactly(vectors: DataFrame, queries: Callable[[Column], Column], key:
         ids = np.concatenate([t.column(c).to_numpy() for c in ("point", "id", "row")])
         return blob(keys[0].as_py(), keys[1].as_py(), -1, ids, x, ImpactIndex(x).postings.astype("<i4").tobytes())
 
-    # a task per shard and no fewer: building costs far more than the rows weigh
-    index = ws.write(sharded.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, shape), "index")
+    # more tasks than shards, as some hold several of them: building costs far more than the rows weigh
+    index = ws.write(sharded.repartition(4 * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, shape), "index")
 
     asked = ws.write(rows.filter(queries(F.col("id"))).join(points.select("v", "point"), "v").select("row", F.col("id").alias("query_id"), F.col("point").alias("query")), "asked")
     asking = ws.write(asked.select(F.col("query").alias("point")).distinct().join(points.select("point", "v", "dim"), "point"), "asking")
@@ -160,13 +189,17 @@ def search_exactly(vectors: DataFrame, queries: Callable[[Column], Column], key:
                     own = ids.reshape(3, -1)
                     here, held = (dim, shard), ImpactIndex(np.frombuffer(x, "<f8").reshape(-1, dim) if dim else np.zeros((own.shape[1], 0)), np.frombuffer(postings, "<i4"))
                 elif here == (dim, shard):
-                    got: list[tuple] = []
-                    for query, q in zip(ids, np.frombuffer(x, "<f8").reshape(len(ids), dim)):
-                        found, scores = held.search(q, k + 1)[:2] if held.in_doubles(q) else _whole_search(held.x, q, k + 1)
+                    asked = np.frombuffer(x, "<f8").reshape(len(ids), dim)
+                    exact = np.array([held.in_doubles(q) for q in asked], bool)
+                    who, found, scores, _ = held.search_all(asked[exact], k + 1)
+                    got = [(ids[exact][who], scores.astype(np.int64), *(a[found] for a in own))]
+                    for query, q in zip(ids[~exact], asked[~exact]):
+                        found, scores = _whole_search(held.x, q, k + 1)
                         got.append((np.full(len(found), query), scores.astype(np.int64), *(a[found] for a in own)))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], names=["query", "score", "point", "id", "row"])
 
-    sent = index.unionByName(visits).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "block")
+    # a task per shard: dealt by a hash some tasks would have several and others none
+    sent = index.unionByName(visits).repartitionById(shards, F.col("shard")).sortWithinPartitions("dim", "shard", "block")
     hits = sent.select(*index.columns).mapInArrow(search, "query long, score long, point long, id long, row long")
 
     def top(df: DataFrame) -> DataFrame:

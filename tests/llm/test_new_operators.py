@@ -124,6 +124,19 @@ def test_an_early_stop_is_a_proof():
     assert early > 30
 
 
+def test_a_block_of_queries_costs_few_postings_on_vectors_without_structure():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.floor(256 * rng.standard_normal((9000, 16)) / 4), np.zeros((3, 16))])
+    x[5000:5100] = x[0]  # ties
+    index = im.ImpactIndex(x)
+    asked = np.concatenate([x[::300], np.zeros((1, 16))])
+    who, points, scores, done = index.search_all(asked, 6)
+    for i, q in enumerate(asked):
+        want = np.lexsort((np.arange(len(x)), -(x @ q)))[:6]
+        assert (points[who == i] == want).all() and (scores[who == i] == (x @ q)[want]).all()
+    assert done < 0.1 * len(asked) * x.size
+
+
 def test_impact_search_query(spark, tmp_path):
     rows = [(i, v) for i, v in vectors() if i is None or i < 150 or i >= 151]
     against_sql(spark, tmp_path / "a", "op12_impact_search", "embeddings", spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
