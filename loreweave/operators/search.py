@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import cosine_distance, l2_normalise
 
+#: Vectors of a shard at most (about), and vectors that make a shard of its own worth while.
+SHARD_MOST, SHARD_LEAST = 65_536, 4_096
+#: Queries and vectors of a shard that are scored at once.
+BLOCK, POINTS = 256, 4_096
+
 
 def query_vector(values: list[float] | list[list[float]]) -> Column:
     """A literal; of a matrix the first row."""
@@ -25,29 +31,75 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, column: str = "em
     return scored.orderBy(F.col("_d").asc_nulls_last(), *ties).limit(k).withColumn("similarity", 1 - F.col("_d")).drop("_d")
 
 
+def _unit(column: pa.Array, dimension: int) -> np.ndarray:
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), dimension)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _nearest(x: np.ndarray, q: np.ndarray, k: int) -> list[np.ndarray]:
+    """[row of q, row of x, inner product] of the k highest of each row of q, ties to the earlier row of x; POINTS rows of x are scored at once."""
+    held = [np.zeros(0, int), np.zeros(0, int), np.zeros(0)]
+    least = np.full(len(q), -np.inf)
+    for at in range(0, len(x), POINTS):
+        scores = q @ x[at : at + POINTS].T
+        if not at and scores.shape[1] > k:
+            least = np.partition(scores, -k, axis=1)[:, -k]
+        who, points = np.nonzero(scores >= least[:, None])
+        if not len(who):
+            continue
+        who, points, found = (np.concatenate(c) for c in zip(held, (who, at + points, scores[who, points])))
+        order = np.lexsort((points, -found, who))
+        place = np.arange(len(order)) - np.searchsorted(who[order], who[order])
+        order, last = order[place < k], order[place == k - 1]
+        held = [who[order], points[order], found[order]]
+        least[who[last]] = found[last]
+    return held
+
+
 def top_k_of(vectors: DataFrame, queries: DataFrame, k: int, key: str, column: str = "embedding") -> DataFrame:
     """query_id, key of the k nearest by cosine for each of a stated set of queries(query_id, vector), ties to the smaller key.
 
-    The set goes to every task, which scores its rows against all of it in blocks and gives k a query. Vectors of another length, null and zero ones are left out.
+    Vectors are dealt into shards of bounded size, a task each. The queries go to every shard, by shuffle, and pass by in blocks; a shard
+    gives k a query. A task holds its shard and the scores of one block against POINTS of it. Only vectors of a query's length are compared; null and zero ones,
+    and those with components that are no numbers, are left out.
     """
-    rows = [r for r in queries.select("query_id", "vector").collect() if r["vector"] and any(r["vector"])]  # the stated set
-    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}"
-    if not rows:
-        return vectors.sparkSession.createDataFrame([], kind)
-    ids, q = [r["query_id"] for r in rows], np.array([r["vector"] for r in rows], float)
-    held = vectors.sparkSession.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
+    spark, asked_type, key_type = vectors.sparkSession, queries.schema["query_id"].dataType, vectors.schema[key].dataType
+    kind = f"query_id {asked_type.simpleString()}, `{key}` {key_type.simpleString()}"
+
+    def good(c: str) -> Column:
+        return F.col(c).isNotNull() & F.exists(c, lambda x: x != 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x))
+
+    points = vectors.filter(good(column)).select(F.lit(False).alias("_asks"), F.col(key).alias("_key"), F.lit(None).cast(asked_type).alias("_query"), F.col(column).cast("array<double>").alias("_v"))
+    n, cores = points.count(), spark.sparkContext.defaultParallelism
+    shards = max(1, min(cores * math.ceil(n / (cores * SHARD_MOST)), n // SHARD_LEAST))
+    dealt = points.withColumn("_row", F.monotonically_increasing_id()).withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int")).drop("_row")
+    asks = queries.filter(good("vector")).select(F.lit(True).alias("_asks"), F.lit(None).cast(key_type).alias("_key"), F.col("query_id").alias("_query"), F.col("vector").cast("array<double>").alias("_v"))
+    sent = dealt.unionByName(asks.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))).withColumn("_dim", F.size("_v"))
+    sent = sent.repartitionById(shards, F.col("_shard")).sortWithinPartitions("_dim", "_asks", "_key")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = held.value
+        here, keys, parts = None, [], []
         for b in batches:
-            if b.num_rows:
-                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
-                near = -((v @ q.T) / np.linalg.norm(v, axis=1, keepdims=True)).T
-                least = np.lexsort((np.broadcast_to(b.column(0).to_numpy(), near.shape), near), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(least.shape[1])]), b.column(0).take(pa.array(least.ravel())), pa.array(np.take_along_axis(near, least, 1).ravel())], names=["query_id", key, "d"])
-
-    good = vectors.filter((F.size(column) == q.shape[1]) & F.exists(column, lambda c: c != 0) & ~F.exists(column, lambda c: c.isNull() | F.isnan(c)))
-    scored = good.select(key, F.col(column).cast("array<double>")).mapInArrow(score, f"{kind}, d double")
+            dims, asks = b.column(3).to_numpy(), b.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(2 * dims + asks)) + 1).tolist(), b.num_rows]
+            for a, z in zip(cuts, cuts[1:]):
+                if a == z:
+                    continue
+                run, dim = b.slice(a, z - a), int(dims[a])
+                if dim != here:
+                    here, keys, parts = dim, [], []
+                v = _unit(run.column(4), dim)
+                if not asks[a]:
+                    keys.append(run.column(1)), parts.append(v)
+                    continue
+                if not parts:
+                    continue
+                keys, parts = [pa.concat_arrays(keys)], [np.concatenate(parts)] if len(parts) > 1 else parts
+                for at in range(0, len(v), BLOCK):
+                    who, found, scores = _nearest(parts[0], v[at : at + BLOCK], k)
+                    yield pa.RecordBatch.from_arrays([run.column(2).take(pa.array(at + who)), keys[0].take(pa.array(found)), pa.array(-scores)], names=["query_id", key, "d"])
+
+    scored = sent.select("_asks", "_key", "_query", "_dim", "_v").mapInArrow(score, f"{kind}, d double")
     ranked = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", key))).filter(F.col("_r") <= k)
     return ranked.select("query_id", key)
 

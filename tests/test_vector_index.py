@@ -104,6 +104,20 @@ def test_exact_search_of_a_stated_set(spark, clustered):
     assert got == {i: set(exact(clustered[:300], clustered[i : i + 1], 5)[0].tolist()) for i in range(0, 300, 50)}
 
 
+def test_exact_search_in_shards_and_blocks_with_queries_of_two_lengths(spark, clustered, monkeypatch):
+    monkeypatch.setattr(sr, "SHARD_LEAST", 50), monkeypatch.setattr(sr, "POINTS", 16), monkeypatch.setattr(sr, "BLOCK", 7)
+    x = clustered[:300].copy()
+    x[200:210] = x[50]  # ties go to the smaller key
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v[:3].tolist()) for i, v in enumerate(x[:9])]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    asked = df.filter("id % 5 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    got = {}
+    for r in sr.top_k_of(df, asked, 5, "id").collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    assert {i: g for i, g in got.items() if i < 1000} == {i: set(exact(x, x[i : i + 1], 5)[0].tolist()) for i in range(0, 300, 5)}
+    assert set(got) == {*range(0, 300, 5), 1000, 1005} and len(got[1000]) == 5 and min(got[1000]) >= 1000
+
+
 def test_the_service_searches_through_the_index(spark, tmp_path):
     s = Service(spark, Config(content_folder=str(tmp_path), work_folder=str(tmp_path / "w"), dimension=16, lists=8, probes=8))
     s.INDEXED = 100
