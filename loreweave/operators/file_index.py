@@ -27,7 +27,7 @@ def write(rows: DataFrame, pid: str, name: str, folder: str) -> int:
         stats.unpersist()
         return 0
     width = max(1, math.ceil(total[1] * BITS * 1.1 / BITMAP))
-    places = own.filter("name is not null").select("file", F.explode(F.array(*(F.pmod(_hash(F.col("name"), k), F.lit(width * BITMAP)) for k in range(HASHES)))).alias("at"))
+    places = own.filter("name is not null").select("file", "name").distinct().select("file", F.explode(F.array(*(F.pmod(_hash(F.col("name"), k), F.lit(width * BITMAP)) for k in range(HASHES)))).alias("at"))
     bits = places.groupBy("file", F.floor(F.col("at") / BITMAP).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.col("at") % BITMAP).alias("bits"))
     found = stats.drop("names").join(bits, "file", "left").select("file", "rows", "least", "most", F.lit(width).alias("width"), "bucket", "bits")
     found.write.option("compression", "zstd").parquet(folder)

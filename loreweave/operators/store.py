@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from .. import schemas
+from ..shared import TASK_ROWS, tasks_of
 from . import file_index
 
 KEY = ("pid", "source", "chunk_index")
@@ -57,6 +58,12 @@ def retrieve(store: DataFrame, title: str, source: str = "enwiki") -> DataFrame:
     return store.filter(F.col("source") == source).join(F.broadcast(one), "pid", "left_semi").orderBy("chunk_index").select("name", "content", "chunk_index")
 
 
+def by_range(rows: DataFrame, n: int, *columns: str) -> DataFrame:
+    """n rows dealt by ranges of columns; as many ranges as bound a task's rows, where that is more than the session has."""
+    tasks = tasks_of(rows.sparkSession, n)
+    return rows.repartitionByRange(tasks, *columns) if tasks else rows.repartitionByRange(*columns)
+
+
 class ChunkStore:
     """The store in a folder that all executors share, as runs that are only ever added and merged.
 
@@ -239,16 +246,20 @@ class ChunkStore:
         _, pointer = self._pointer()
         fields = pointer["fields"]
         names = [f["name"] for f in fields]
-        # dealt by source and pid once; what follows needs an article's rows together and stays in its task
-        dealt = incoming.select(*names).repartitionByRange("source", "pid")
+        # dealt once, by pid alone, as a source that is a literal would make Spark deal again by a hash; and sorted once:
+        # what follows needs an article's rows together and stays in its task and its order
+        dealt = by_range(incoming.select(*names), incoming.count(), "pid").sortWithinPartitions("source", "pid", "chunk_index")
         date = F.coalesce("last_modified_date", F.lit("0001-01-01").cast("timestamp"))
         newest = dealt.withColumn("_newest", F.max(date).over(Window.partitionBy("source", "pid"))).filter(date == F.col("_newest"))
-        rows = newest.groupBy("source", "pid", "chunk_index").agg(F.max_by(F.struct(*names), F.struct("content" if "content" in names else "name")).alias("r")).select("r.*").sortWithinPartitions("source", "pid", "chunk_index")
+        rows = newest.groupBy("source", "pid", "chunk_index").agg(F.max_by(F.struct(*names), F.struct("content" if "content" in names else "name")).alias("r"))
+        rows = rows.select(*(n if n in KEY else F.col(f"r.{n}").alias(n) for n in names)).sortWithinPartitions("source", "pid", "chunk_index")
         run = self._make_run(rows, fields)
         if not run["rows"]:
             return
         stored = self._rows_of(run | {"seq": 0}, fields)
-        entries = stored.groupBy("pid", "source", F.col("last_modified_date").alias("date")).agg(F.array_sort(F.collect_set("chunk_index")).alias("chunks"), F.lit(0) if whole else F.max("chunk_count").alias("of"))  # chunks of one article
+        # by ranges before it is grouped: a task that reads small files together would group the rows of all of them
+        dealt = stored.select("pid", "source", "last_modified_date", "chunk_index", "chunk_count").repartitionByRange(-(-run["rows"] // TASK_ROWS), "pid")
+        entries = dealt.groupBy("pid", "source", F.col("last_modified_date").alias("date")).agg(F.array_sort(F.collect_set("chunk_index")).alias("chunks"), F.lit(0) if whole else F.max("chunk_count").alias("of"))  # chunks of one article
         keyed = self._make_entries(run, entries.select(F.col("pid").cast("long"), "source", F.lit(whole).alias("whole"), "date", "chunks", F.coalesce(F.col(entries.columns[-1]), F.lit(0)).cast("int").alias("of")))
         self._add(keyed)
 
@@ -303,7 +314,7 @@ class ChunkStore:
         """Merges the runs from `first` on; what other writers add meanwhile stays behind it. False if they have merged themselves."""
         _, pointer = self._pointer()
         fields, old = pointer["fields"], pointer["runs"][first:]
-        rows = self._visible(old, fields, hide=False).drop("_seq").repartitionByRange("source", "pid").sortWithinPartitions("source", "pid", "chunk_index")
+        rows = by_range(self._visible(old, fields, hide=False).drop("_seq"), sum(r["rows"] for r in old), "source", "pid").sortWithinPartitions("source", "pid", "chunk_index")
         run = self._make_run(rows, fields)
         keyed = [r for r in old if r["keys"]]
         if keyed:

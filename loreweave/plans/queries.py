@@ -11,7 +11,7 @@ from ..functions import text as tx, vectors as vc
 from ..operators import history as hs, pages as pg, search as sr, store as st
 from ..operators.chunking import chunk_rows
 from ..operators.vector_index import VectorIndex
-from ..shared import numbered, scratch
+from ..shared import numbered, scratch, tasks_of
 from ..sources import dumps as dp, index as ix, multistream as ms
 from . import service as sv
 
@@ -129,6 +129,8 @@ def retrieve_by_title(spark, d):
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
     title = part.agg(F.min("name")).first()[0]
     lines = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
+    if tasks := tasks_of(spark, lines.count()):
+        lines = lines.repartition(tasks, "l_partkey")  # an article's lines are numbered in one task
     content = F.to_json(F.struct("l_orderkey", "l_linenumber", "l_quantity"))
     # an article's chunks are numbered by order and line
     number = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber"))

@@ -9,6 +9,9 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+#: Rows that a task of a shuffle sorts, about.
+TASK_ROWS = 250_000
+
 
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
@@ -47,6 +50,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def tasks_of(spark: SparkSession, n: int) -> int | None:
+    """Tasks among which n rows are dealt so that none has many more than TASK_ROWS; None where the session's shuffle has as many."""
+    tasks = -(-n // TASK_ROWS)
+    return tasks if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def numbered(df: DataFrame, *order: str, add: str | None = None) -> DataFrame:
     """Adds `row_no` (from 0) in an order without ties: each range of rows is numbered in its own task, and the ranges' sizes are added up.
 

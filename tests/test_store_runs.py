@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loreweave import shared
 from loreweave.operators import file_index as fi, store as st
 
 DAY = [dt.datetime(2024, 1, d) for d in range(1, 20)]
@@ -166,3 +167,13 @@ def test_filters_hold_all_names(spark, tmp_path):
     found = [fi.with_name(spark, str(tmp_path / "files"), n) for n in names[::500]]
     assert all(found) and sum(map(len, found)) <= len(found) + 1
     assert len(fi.with_pids(spark, str(tmp_path / "files"), [10])) == 1 and fi.with_pids(spark, str(tmp_path / "files"), [99_999]) == []
+
+
+def test_a_large_write_is_dealt_to_as_many_tasks_as_bound_their_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 20)
+    store = st.ChunkStore(spark, f"file://{tmp_path}/many")
+    rows = spark.range(600).selectExpr("cast(id div 3 as int) pid", "concat('n', id div 3) name", "cast(id % 3 + 1 as int) chunk_index", "3 chunk_count", "concat('c', id) content", "'enwiki' source", "cast(null as timestamp) last_modified_date", "cast(null as array<float>) embedding")
+    store.upsert(rows)
+    assert len(list((tmp_path / "many").glob("v-*/data/*.parquet"))) > 20
+    assert [r["content"] for r in store.retrieve("n7").collect()] == ["c21", "c22", "c23"]
+    assert store.read().count() == 600
