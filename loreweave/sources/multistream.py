@@ -11,7 +11,7 @@ import codecs
 import json
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -22,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 PIECE, TASK_BYTES = 1 << 20, 64 << 20
 #: How a bz2 stream begins (fixed value).
 STREAM = b"BZh"
+#: Columns of pages as they are read.
+PAGES = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("page", pa.string()), ("error", pa.string())])
 
 
 class Ranges(InputPartition):
@@ -98,6 +100,23 @@ def read_ranges(path: str, ranges: list) -> Iterator[tuple]:
             yield path, start, end, None, f"{type(e).__name__}: {e}"
 
 
+def page_batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of read_ranges in batches of about PIECE characters. Spark batches tuples by number, ten thousand pages of any length at once."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), PAGES)], schema=PAGES)
+
+    for row in rows:
+        held.append(row)
+        size += len(row[3] or "") + len(row[0])
+        if size > PIECE:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
+
 def by_length(ranges: list, most: int) -> Iterator[list]:
     """Consecutive ranges in groups of about `most` bytes; an open range counts as `most`."""
     group, size = [], 0
@@ -124,8 +143,8 @@ class MultistreamReader(DataSourceReader):
         groups = by_length(r, self.task_bytes) if self.per_task is None else (r[i : i + int(self.per_task)] for i in range(0, len(r), int(self.per_task)))
         return [Ranges(self.path, g) for g in groups] or [Ranges(self.path, [])]
 
-    def read(self, partition: Ranges) -> Iterator[tuple]:
-        return read_ranges(partition.path, partition.ranges)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        return page_batches(read_ranges(partition.path, partition.ranges))
 
 
 class MultistreamSource(DataSource):
@@ -172,21 +191,9 @@ class IndexSource(DataSource):
 def pages_of(ranges: DataFrame) -> DataFrame:
     """path, start, end, page, error of ranges(dump, start, end): each task reads its own ranges, which never visit the driver."""
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["path", "start", "end", "page", "error"])
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                held, size = [], 0
-                for found in read_ranges(local(row["dump"]), [(row["start"], row["end"])]):
-                    held.append(found)
-                    size += len(found[3] or "")
-                    if size > PIECE:
-                        yield batch(held)
-                        held, size = [], 0
-                if held:
-                    yield batch(held)
+        rows = (row for b in batches for row in b.to_pylist())
+        return page_batches(found for row in rows for found in read_ranges(local(row["dump"]), [(row["start"], row["end"])]))
 
     return ranges.select("dump", "start", "end").mapInArrow(read, "path string, start long, end long, page string, error string")
 
@@ -221,7 +228,8 @@ def write_dump(pages: DataFrame, folder: str, name: str = "enwiki", stream_pages
                     out.write(bz2.compress("".join(held).encode()))
                     held.clear()
 
-            for b in batches:
+            parts = (b.slice(at, stream_pages) for b in batches for at in range(0, b.num_rows, stream_pages))  # texts of no more than a stream or two are held
+            for b in parts:
                 for pid, title, xml in zip(*(c.to_pylist() for c in b.columns)):
                     lines.write(f"{out.tell()}:{pid}:{title}\n")
                     held.append(xml)

@@ -16,10 +16,11 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader
 
 from .index import INDEX_NAME
-from .multistream import TASK_BYTES, Ranges, by_length, local, read_ranges
+from .multistream import TASK_BYTES, Ranges, by_length, local, page_batches, read_ranges
 
 
 def dumps_of(folder: str) -> dict[str, str]:
@@ -127,6 +128,13 @@ class PageStreamReader(DataSourceStreamReader):
         return read_ranges(partition.path, partition.ranges)
 
 
+class BatchedReader(PageStreamReader):
+    """The same pages in batches of bounded length, as Spark takes them."""
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        return page_batches(super().read(partition))
+
+
 class PageStreamSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -136,4 +144,4 @@ class PageStreamSource(DataSource):
         return "path string, start long, end long, page string, error string"
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return PageStreamReader(self.options)
+        return BatchedReader(self.options)

@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,13 @@ def test_alternating_opens_and_closes_in_linear_time():
 def test_column_of_texts(spark):
     df = spark.createDataFrame([("[[a|b]] {{t}}",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(tx.strip_markup(F.col("t"))).collect()] == ["b ", None, ""]
+
+
+def test_a_batch_is_not_held_as_strings():
+    """A batch of Arrow of any size is stripped piece by piece."""
+    texts = pa.array(["[[a|%s]]" % ("x" * 100_000), None, ""] * 200)
+    given = mk.strip_markup.func(iter([texts, texts.slice(0, 0)]))
+    first = next(given)
+    assert first.nbytes < 2 << 20  # of 20 MB
+    got = [t for part in [first, *given] for t in part.to_pylist()]
+    assert got == ["x" * 100_000, None, ""] * 200

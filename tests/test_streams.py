@@ -19,7 +19,7 @@ from loreweave.config import Config
 from loreweave.functions import vectors as vc
 from loreweave.plans.service import Service
 from loreweave.sources import index as ix, multistream as ms
-from loreweave.sources.page_stream import IndexCursor, PageStreamReader
+from loreweave.sources.page_stream import IndexCursor, PageStreamReader, PageStreamSource
 from loreweave.streaming import stages
 from loreweave.streaming.quarantine import Quarantine
 
@@ -287,3 +287,17 @@ def test_batches_of_like_lengths(spark):
         for r in df.select("t", run(F.col("t")).alias("v")).collect():
             assert r["v"] == (None if r["t"] is None or "poison" in r["t"] else [len(r["t"]), len(r["t"].split())])
     assert padding[1].value <= padding[0].value < 1.35 * padding[1].value
+
+
+def test_pages_come_in_batches_of_bounded_length(spark, tmp_path):
+    """Spark would batch ten thousand tuples, whatever the pages' length."""
+    pages = [(k, f"T{k}", "<page>%d %s</page>" % (k, "x" * 50_000)) for k in range(400)]
+    ms.write_dump(spark.createDataFrame(pages, "pid int, title string, xml string").coalesce(1), str(tmp_path))
+    source = PageStreamSource({"folder": str(tmp_path), "state": str(tmp_path / "state.json")})
+    reader = source.streamReader(source.schema())
+    batches = [b for part in reader.partitions({}, reader.latestOffset()) for b in reader.read(part)]
+    assert max(b.nbytes for b in batches) < 2 << 20  # of 20 MB
+    assert [int(p.split(" ")[0]) for b in batches for p in b.column("page").to_pylist()] == list(range(400))
+    (dump,) = tmp_path.glob("*.xml.bz2")
+    plain = ms.MultistreamSource({"path": str(dump), "ranges": "[[0, null]]"}).reader(None)
+    assert [b.nbytes < 2 << 20 for part in plain.partitions() for b in plain.read(part)] == [True] * len(batches)
