@@ -2,8 +2,8 @@
 
 Byte-level BPE splits a text by a fixed pattern and merges inside the pieces only, so a piece's ids
 do not depend on its surroundings. Texts of ASCII and Latin-1 letters are cut by that pattern and
-looked up piece by piece. Pieces not found go to the library together, as lines of one string whose
-ids are cut by the bytes that each token stands for. Any other text goes to the library whole.
+looked up piece by piece. Pieces not found go to the library's model, spelt in the letters that
+byte-level vocabularies write bytes in. Any other text goes to the library whole.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -19,7 +20,7 @@ import numpy as np
 CACHED, LONGEST = 500_000, 48
 #: Characters cut at once, and texts and characters that are held together.
 SEGMENT, SLICE_TEXTS, SLICE_CHARS = 1 << 18, 500, 1 << 20
-#: Pieces that go to the library in one string.
+#: Pieces that go to the model before their ids are checked.
 TOGETHER = 2000
 #: Bytes of texts that may be cut here: ASCII but for a few control characters, and letters of Latin-1.
 _USUAL = bytes([*range(0x1C), *range(0x20, 0x7F), 0xC3, *range(0x80, 0xC0)])
@@ -29,6 +30,16 @@ _LETTERS, _BLANKS = "A-Za-zÀ-ÖØ-öø-ÿ", "\\t-\\r "
 _PIECES = re.compile(f" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^{_BLANKS}{_LETTERS}0-9]+|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+")
 
 
+def _letters() -> dict[int, str]:
+    """Byte -> the letter that byte-level vocabularies write it as (fixed values)."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTER = _letters()
+
+
 def default_tokenizer() -> str:
     """Path of the public byte-level vocabulary, on the machine that asks."""
     import public_tokenizers
@@ -44,6 +55,7 @@ class IdEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path or default_tokenizer())
+        self.model = self.library.model
         vocabulary = self.library.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a character per byte
@@ -55,16 +67,14 @@ class IdEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _together(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, encoded as one string. A piece starts with a space or follows a line break, which is a piece of its own."""
-        lines = ["\n" + p if p[0] != " " else p for p in pieces]
-        ids = np.array(self.library.encode_batch_fast(["".join(lines)], add_special_tokens=False)[0].ids, "<u4")
-        sizes, ends = np.array([len(p.encode()) for p in pieces]), np.cumsum([len(p.encode()) for p in lines])
-        reached = np.concatenate([[0], np.cumsum(self.bytes_of[ids])])
-        starts, stops = np.searchsorted(reached, ends - sizes), np.searchsorted(reached, ends)
-        if reached[-1] != ends[-1] or (reached[starts] != ends - sizes).any() or (reached[stops] != ends).any():
+        """Ids of pieces by the model; should they not stand for the pieces' bytes, by the library."""
+        spelt = [p.replace(" ", _LETTER[32]) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_LETTER) for p in pieces]
+        found = [[t.id for t in self.model.tokenize(p)] for p in spelt]
+        ids, ends = np.array(list(chain.from_iterable(found)), "<u4"), np.cumsum([0, *map(len, found)])
+        if (np.diff(np.concatenate([[0], np.cumsum(self.bytes_of[ids])])[ends]) != list(map(len, spelt))).any():  # a letter a byte
             return self._whole(pieces)
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * z] for a, z in zip(starts.tolist(), stops.tolist())]
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:z] for a, z in zip(ends, ends[1:])]
 
     def _new(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pieces that are not young; they are young from now on."""

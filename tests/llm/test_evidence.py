@@ -64,3 +64,25 @@ def test_queries_of_odd_and_of_no_rows(spark, tmp_path):
     assert [tuple(r) for r in queries["op5_graph_search"](spark, f"{tmp_path}/a").collect()] == [(0, 1, 8, 1.0)]
     for name in ("op3_toxicity", "op9_host_reputation", "op5_graph_search"):
         assert queries[name](spark, f"{tmp_path}/b").count() == 0
+
+
+def test_new_pieces_go_to_the_model_alone():
+    """The library's own cutting of texts is left out for pieces that are cut already; the ids are the library's."""
+    from loreweave.llm import tokens as tk
+
+    texts = ["Ordinary words, ordinary 123 signs: don't (stop)!", "Été à l'œil" .replace("œ", "oe"), "tab\there\n\n  two   blanks ", "\x00\x01 odd \x7e\x1b~", "ÀÿÖØ ¡½§ ­x"]
+    e = tk.IdEncoder(None)
+    library = e.library
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert e.encode(texts) == want and tk.IdEncoder(None).encode(texts[::-1]) == want[::-1]
+
+    class Gone:
+        def __getattr__(self, name):
+            raise AssertionError("the library was asked for pieces that are words")
+
+    pieces = [" quite", " new", "Pieçes", "!?", " 4711", "\x00\x01"]
+    e.library = Gone()
+    assert e._together(pieces) == [np.array(library.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in pieces]
+    e.library = library
+    e.bytes_of = e.bytes_of * 0  # ids that do not stand for a piece's bytes are not taken
+    assert e._together(pieces[:1]) == e._whole(pieces[:1])
