@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import BROADCAST_ROWS, Workspace, read_table
 from .textblocks import slices
-from .tokens import encoder, in_slices
+from .tokens import encoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -198,19 +198,15 @@ def token_pieces(docs: DataFrame, ws: Workspace, capacity: int = CAPACITY, end_i
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for b in slices(batches, 1):
             out: list[list] = [[] for _ in range(6)]
-            docs_, texts_ = b.column(0).to_pylist(), b.column(1).to_pylist()
-            at = 0
-            for texts in in_slices(texts_):
-                for raw in enc.encode(texts):
-                    raw += end
-                    n = len(raw) // 4
-                    start, piece, size = 0, 0, (n - 1) % capacity + 1
-                    while start < n:
-                        out[0].append(docs_[at]), out[1].append(piece), out[2].append(start), out[3].append(size)
-                        out[4].append(zlib.crc32(raw[4 * start : 4 * (start + size)])), out[5].append(int(seen[size]))
-                        seen[size] += 1
-                        start, piece, size = start + size, piece + 1, capacity
-                    at += 1
+            for key, raw in zip(b.column(0).to_pylist(), enc.encode_column(b.column(1))):
+                raw += end
+                n = len(raw) // 4
+                start, piece, size = 0, 0, (n - 1) % capacity + 1
+                while start < n:
+                    out[0].append(key), out[1].append(piece), out[2].append(start), out[3].append(size)
+                    out[4].append(zlib.crc32(raw[4 * start : 4 * (start + size)])), out[5].append(int(seen[size]))
+                    seen[size] += 1
+                    start, piece, size = start + size, piece + 1, capacity
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:5]), pa.array(np.full(len(out[0]), part, np.int32)), pa.array(out[5], pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     return ws.write(docs.select("doc_id", "text").mapInArrow(cut, PIECES), "pieces")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import BROADCAST_ROWS, Workspace
 from .textblocks import slices
-from .tokens import encoder, in_slices
+from .tokens import encoder
 
 #: Selector -> (ids in a word, bits of each); 0 and 1 are runs of id 0, 15 is the escape.
 LAYOUTS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -38,7 +38,6 @@ def pack_all(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     left = np.repeat(np.cumsum(counts), counts) - np.arange(n)
     wide = np.frexp(ids.astype(np.float64))[1].astype(np.int8)
     wide[ids == 0] = 0
-    takes = np.ones(n, np.int16)
     select = np.full(n, 15, np.int8)
     # from the narrowest count up, so that the largest count that fits is written last
     reach = {1: wide}
@@ -52,9 +51,8 @@ def pack_all(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
             grown[: n - step] = np.maximum(m[: n - step], m[step:]) if step < n else m[: n - step]
             have += step
             reach = {have: grown}
-        fits = reach[have] <= bits
-        takes[fits] = np.minimum(count, left[fits])
-        select[fits] = s
+        np.copyto(select, s, where=reach[have] <= bits)
+    takes = np.minimum(np.array([c for c, _ in LAYOUTS])[select], left)
     heads, i, step = [], 0, takes.tolist()
     while i < n:
         heads.append(i)
@@ -130,16 +128,13 @@ def write_token_files(docs: DataFrame, ws: Workspace, name: str = "token-files",
             return pa.RecordBatch.from_pylist([{"shard": shard, "block": number, "start": start, "doc_ids": ids, "counts": counts.tolist(), "offsets": offsets.tolist(), "payload": words.astype("<u8").tobytes()}], schema=fields)
 
         for b in slices(batches, 1):
-            at, docs_ = 0, b.column(0).to_pylist()
-            for texts in in_slices(b.column(1).to_pylist()):
-                for raw in enc.encode(texts):
-                    if held and size + len(raw) // 4 >= BLOCK_IDS:
-                        yield flush()
-                        number, start = number + 1, start + size
-                        ids, held, size = [], [], 0
-                    ids.append(docs_[at]), held.append(raw + end)
-                    size += len(raw) // 4 + 1
-                    at += 1
+            for key, raw in zip(b.column(0).to_pylist(), enc.encode_column(b.column(1))):
+                if held and size + len(raw) // 4 >= BLOCK_IDS:
+                    yield flush()
+                    number, start = number + 1, start + size
+                    ids, held, size = [], [], 0
+                ids.append(key), held.append(raw + end)
+                size += len(raw) // 4 + 1
         if held:
             yield flush()
 
@@ -149,8 +144,9 @@ def write_token_files(docs: DataFrame, ws: Workspace, name: str = "token-files",
     return ws.write(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(block, BLOCKS), name)
 
 
-def read_token_files(files: DataFrame) -> DataFrame:
-    """Decodes the files: doc_id, start (ids of all documents before it), n_tokens, ids (binary, little-endian unsigned 32-bit)."""
+def read_token_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Decodes the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and if asked for ids (binary, little-endian unsigned 32-bit)."""
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     totals = files.groupBy("shard").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     w = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard file
     before = totals.select("shard", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
@@ -165,10 +161,11 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 ends = np.cumsum(counts)
                 starts = row["before"] + row["start"] + ends - counts
                 parts = [ids[a:z].tobytes() for a, z in zip(ends - counts, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(counts), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                out = [pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(counts), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(out[: 4 + with_ids], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids])
 
     rows = files.join(before, "shard").select("start", "before", "doc_ids", "counts", "offsets", "payload")
-    return rows.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return rows.mapInArrow(decode, schema)
 
 
 def op8_simple8b(spark, sf_dir: str) -> DataFrame:
@@ -177,4 +174,4 @@ def op8_simple8b(spark, sf_dir: str) -> DataFrame:
 
     ws = Workspace(spark)
     files = write_token_files(read_table(spark, sf_dir, "documents"), ws)
-    return read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_token_files(files, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -86,3 +86,23 @@ def test_new_pieces_go_to_the_model_alone():
     e.library = library
     e.bytes_of = e.bytes_of * 0  # ids that do not stand for a piece's bytes are not taken
     assert e._together(pieces[:1]) == e._whole(pieces[:1])
+
+
+def test_texts_are_cut_on_their_bytes_and_each_piece_is_looked_up_once(monkeypatch):
+    """Random texts of the pattern's odd cases, alone, together and in segments: the library's ids."""
+    import random
+
+    from loreweave.llm import tokens as tk
+
+    rnd, signs = random.Random(3), ["'", "'s", "re", "ve", "ll", "l", "t", " ", " ", "\n", "\t", "a", "É", "9", "!", "\x00", "\x1b", "<|endoftext|>", "œ", "×"]
+    texts = ["".join(rnd.choices(signs[: 17 + 3 * (k % 7 == 0)], k=rnd.randrange(60))) for k in range(400)] + [None, "", "don't they've 'tis we'll'd"]
+    e = tk.IdEncoder(None)
+    want = [np.array(e.library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert e.encode(texts) == want
+    monkeypatch.setattr(tk, "SEGMENT", 16)
+    assert tk.IdEncoder(None).encode(texts) == want
+    monkeypatch.undo()
+    asked, look_up = [], e._look_up
+    monkeypatch.setattr(e, "_look_up", lambda pieces: asked.extend(pieces) or look_up(pieces))
+    e.encode(["the same words, the same words"] * 50)
+    assert sorted(asked) == [b" same", b" the", b" words", b",", b"the"]
