@@ -106,3 +106,18 @@ def test_texts_are_cut_on_their_bytes_and_each_piece_is_looked_up_once(monkeypat
     monkeypatch.setattr(e, "_look_up", lambda pieces: asked.extend(pieces) or look_up(pieces))
     e.encode(["the same words, the same words"] * 50)
     assert sorted(asked) == [b" same", b" the", b" words", b",", b"the"]
+
+
+def test_slices_of_a_column_keep_their_own_texts():
+    """op4 and op8 encode slices of Arrow columns, whose offsets do not start at 0, with nulls and one long text."""
+    import pyarrow as pa
+
+    from loreweave.llm import tokens as tk
+
+    texts = ["first", None, "Été 12 don't", "", "漢字 odd", "word's end " * 300_000, "last\n"]
+    e = tk.encoder()
+    want = [np.array(e.library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(texts, kind)
+        assert list(e.encode_column(column)) == want
+        assert list(e.encode_column(column.slice(2, 4))) == want[2:6] and list(e.encode_column(column.slice(6, 0))) == []
